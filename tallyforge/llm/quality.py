@@ -191,3 +191,38 @@ def keep_good(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
     verdicts = quality_verdicts(docs, rules)
     bad = verdicts.where(~F.col("kept")).select(F.col("doc_id").alias("_bad")).distinct()
     return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_bad"]), "left_anti")
+
+
+OP6_SQL = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(source, '') AS host, coalesce(text, '') AS text,
+    regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+spots AS (SELECT r, w, unnest(range(1, len(w) - 3)) AS i FROM docs WHERE len(w) >= 5),
+wins AS (SELECT r, i, array_to_string(w[i : i + 4], ' ') AS win FROM spots),
+twice AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, win) AS k FROM wins) WHERE k > 1),
+rep AS (SELECT r, count(DISTINCT p) AS n_repeat FROM (SELECT r, unnest(range(i, i + 5)) AS p FROM twice) GROUP BY r),
+counted AS (
+  SELECT r, doc_id, host, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
+    length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
+    list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines,
+    coalesce(n_repeat, 0)::BIGINT AS n_repeat_words
+  FROM docs LEFT JOIN rep USING (r)),
+judged AS (
+  SELECT *, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines,
+    n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM counted),
+failed AS (
+  SELECT *, 100 * n_symbols > 10 * n_words OR 100 * n_dup_lines > 30 * len(lines)
+    OR word_chars < 2 * n_words OR word_chars > 15 * n_words AS soft_failed FROM judged),
+hosts AS (
+  SELECT host, count(*)::DOUBLE AS n, (count(*) FILTER (base_failed OR soft_failed))::DOUBLE AS x FROM failed GROUP BY host),
+totals AS (SELECT count(*) AS k, sum(n) AS n, sum(x) AS x, sum(n * (x / n) * (x / n)) AS sq FROM hosts),
+moments AS (
+  SELECT (x + 0.5) / (n + 1) AS mean, greatest(sq / n - (x / n) * (x / n), 0) AS spread, n / k AS per FROM totals),
+prior AS (
+  SELECT mean, CASE WHEN spread - mean * (1 - mean) / per <= 0 THEN 1000.0
+    ELSE least(greatest(mean * (1 - mean) / (spread - mean * (1 - mean) / per) - 1, 1.0), 1000.0) END AS strength FROM moments),
+rates AS (SELECT host, (x + mean * strength) / (n + strength) AS host_rate FROM hosts, prior)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND NOT (host_rate > 0.5 AND soft_failed) AS kept
+FROM failed JOIN rates USING (host)
+"""

@@ -162,10 +162,17 @@ def op1_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def redact(docs: DataFrame, rules: list[Rule] = RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def redact(
+    docs: DataFrame,
+    rules: list[Rule] = RULES,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    count_col: str = "n_chars",
+) -> DataFrame:
     """docs with every secret replaced by ``[kind]``; a text without one stays as it is, null included.
 
-    Overlapping spans are replaced as one, under the first one's kind.
+    Overlapping spans are replaced as one, under the first one's kind. A changed
+    text's ``count_col``, if there is one, becomes its new length.
     """
     kinds = F.array(*[F.lit(f"[{r.kind}]") for r in rules])
     found = find_secrets(docs, rules, id_col, text_col)
@@ -185,7 +192,11 @@ def redact(docs: DataFrame, rules: list[Rule] = RULES, id_col: str = "doc_id", t
         ),
         lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))),
     )
-    return found.withColumn(text_col, F.when(F.size("_spans") > 0, cut).otherwise(text)).select(*docs.columns)
+    found = found.withColumn(text_col, F.when(F.size("_spans") > 0, cut).otherwise(text))
+    if count_col in docs.columns:
+        counted = F.length(text).cast(docs.schema[count_col].dataType)
+        found = found.withColumn(count_col, F.when(F.size("_spans") > 0, counted).otherwise(F.col(count_col)))
+    return found.select(*docs.columns)
 
 
 OP1_SQL = r"""
