@@ -28,7 +28,8 @@ def clauses(pattern: str) -> list[frozenset[str]] | None:
         if len(found) * len(group) > MOST:
             continue  # leaving out a conjunct keeps every match
         found = {a | b for a, b in product(found, group)}
-    return sorted(found, key=sorted)
+    # A clause that holds another one's trigrams adds nothing.
+    return sorted((c for c in found if not any(other < c for other in found)), key=sorted)
 
 
 def _trigrams(text: str) -> frozenset[str]:
@@ -89,8 +90,8 @@ def _class(items) -> set[str] | None:
     for op, arg in items:
         if op is code.LITERAL:
             out.add(chr(arg).lower())
-        elif op is code.RANGE and arg[1] - arg[0] < 4:
+        elif op is code.RANGE and arg[1] - arg[0] < 8:
             out |= {chr(c).lower() for c in range(arg[0], arg[1] + 1)}
         else:
             return None
-    return out if len(out) <= 4 else None
+    return out if len(out) <= 8 else None
