@@ -81,19 +81,19 @@ def read_tsv(spark: SparkSession, path: str, header: list[str], selected: list[s
     are no UTF-8 in a selected field, gets a ``_structural`` reason. Unselected
     fields are not looked at.
     """
-    lines = spark.read.option("encoding", "ISO-8859-1").text(path)
+    lines = spark.read.text(path)
     first = lines.limit(1).collect()
     if not first or first[0][0].split("\t") != header:
         raise IngestError("the header differs from the contract")
-    title = first[0][0]
-    fields = F.split("value", "\t", -1)
-    rows = lines.where(F.col("value") != title).select(fields.alias("_f"))
-    raw = {c: F.encode(F.get("_f", F.lit(header.index(c))), "ISO-8859-1") for c in selected}
+    rows = lines.where(F.col("value") != "\t".join(header))
+    # These functions work on bytes, so a field keeps what the file holds, valid or not.
+    raw = {c: F.substring_index(F.substring_index("value", "\t", header.index(c) + 1), "\t", -1) for c in selected}
+    fields = F.octet_length("value") - F.octet_length(F.replace("value", F.lit("\t"), F.lit(""))) + 1
     bad = F.lit(False)
     for c in raw.values():
-        bad = bad | ~F.coalesce(F.is_valid_utf8(c.cast("string")), F.lit(True))
-    reason = F.when(F.size("_f") != len(header), "field_count").when(bad, "invalid_utf8")
-    values = [F.nullif(F.try_validate_utf8(v.cast("string")), F.lit("")).alias(c) for c, v in raw.items()]
+        bad = bad | ~F.is_valid_utf8(c)
+    reason = F.when(fields != len(header), "field_count").when(bad, "invalid_utf8")
+    values = [F.nullif(F.try_validate_utf8(v), F.lit("")).alias(c) for c, v in raw.items()]
     return rows.select(*values, reason.alias("_structural"))
 
 
@@ -171,9 +171,9 @@ def load_snapshot(rows: DataFrame, folder: str, start: str, cutoff: str, digest:
     spark, final = rows.sparkSession, f"{folder}/source_digest={digest}"
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
     fs = path(final).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    done = path(f"{final}/_RUN.json")
+    done = path(f"{final}/run.json")
     if fs.exists(done):
-        text = spark.read.text(f"{final}/_RUN.json", wholetext=True).first()[0]
+        text = spark.read.text(f"{final}/run.json", wholetext=True).first()[0]
         return json.loads(text) | {"replayed": True}
     staging = f"{final}.staging"
     fs.delete(path(staging), True)
@@ -186,7 +186,7 @@ def load_snapshot(rows: DataFrame, folder: str, start: str, cutoff: str, digest:
         good.write.option("compression", "zstd").partitionBy("filing_year").parquet(f"{staging}/accepted")
         back.where("outcome = 'rejected'").groupBy("reason").count().write.parquet(f"{staging}/quarantine")
         fs.delete(path(f"{staging}/triaged"), True)
-        stream = fs.create(path(f"{staging}/_RUN.json"))
+        stream = fs.create(path(f"{staging}/run.json"))
         stream.write(bytearray(json.dumps(counts, sort_keys=True).encode()))
         stream.close()
         if not fs.rename(path(staging), path(final)):
