@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import json
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -51,3 +54,25 @@ def bit_is_set(bits: Column, n_bits: int, hashed: Column) -> Column:
     at = hashed.bitwiseAND(F.lit(n_bits - 1))
     word = F.get(bits, F.shiftright(at, 6).cast("int"))
     return F.call_function("shiftrightunsigned", word, at.bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1)) == 1
+
+
+def literal_rows(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A few constant rows as a plan of constants; no Python worker makes them."""
+    struct = T.StructType.fromDDL(schema)
+    data = json.dumps([dict(zip(struct.names, r, strict=True)) for r in rows])
+    return spark.range(0, 1, 1, 1).select(F.inline(F.from_json(F.lit(data), T.ArrayType(struct))))
+
+
+def content_hash(*names: str) -> Column:
+    """Tells apart rows of one id by what they hold."""
+    return F.xxhash64(*[F.col(n) for n in names])
+
+
+def without(docs: DataFrame, rejected: DataFrame, id_col: str, content: Column) -> DataFrame:
+    """The rows of docs but for those with the id and the content hash of a rejected row.
+
+    Only ids and hashes of rejected rows are moved to the documents, if they are few.
+    """
+    gone = rejected.select(F.col(id_col).alias("_gone"), F.col("content_hash").alias("_hash")).distinct()
+    same = docs[id_col].eqNullSafe(gone["_gone"]) & (content == gone["_hash"])
+    return docs.join(gone, same, "left_anti")

@@ -28,7 +28,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.llm.columns import LOWER, UPPER, bit_is_set, indices, long_array, matches, text_or_empty
+from tallyforge.llm.columns import LOWER, UPPER, bit_is_set, content_hash, indices, long_array, matches, text_or_empty, without
 from tallyforge.llm.scratch import Scratch
 
 #: ASCII letters and digits, and everything beyond ASCII; either case, as lower-casing follows.
@@ -102,7 +102,10 @@ def contamination(
     item_id_col: str = "item_id",
     item_text_col: str = "text",
 ) -> DataFrame:
-    """One row for each row of docs: id, n_words, n_hit, n_items, items_sha256, contaminated."""
+    """One row for each row of docs: id, n_words, n_hit, n_items, items_sha256, contaminated, content_hash.
+
+    The hash of the text tells apart rows that share an id.
+    """
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession)
     bench = benchmark_windows(items, scratch, item_id_col, item_text_col)
     lengths = sorted(r["length"] for r in bench.select("length").distinct().collect())  # WINDOW values at most
@@ -115,8 +118,12 @@ def contamination(
         anchors[n] = bit_set(grams.distinct())
         whole[n] = bit_set(own.select(_gram(F.col("hashes"), F.lit(0), n).alias("h")).distinct())
 
-    step = docs.select(F.col(id_col).alias("_id"), matches(text_or_empty(text_col), WORDS).alias("_words"))
-    step = step.select("_id", "_words", F.size("_words").alias("_n"), _hashes(F.col("_words")).alias("_h"))
+    step = docs.select(
+        F.col(id_col).alias("_id"),
+        content_hash(text_col).alias("content_hash"),
+        matches(text_or_empty(text_col), WORDS).alias("_words"),
+    )
+    step = step.select("_id", "content_hash", "_words", F.size("_words").alias("_n"), _hashes(F.col("_words")).alias("_h"))
     h, size = F.col("_h"), F.col("_n")
     maybe = F.lit(False)
     for n in lengths:
@@ -138,7 +145,11 @@ def contamination(
     # Rows are numbered where they are written, so rows that share an id stay apart.
     rows = scratch.save(
         step.select(
-            F.monotonically_increasing_id().alias("_row"), "_id", F.col("_n").cast("long").alias("n_words"), windows.alias("_windows")
+            F.monotonically_increasing_id().alias("_row"),
+            "_id",
+            "content_hash",
+            F.col("_n").cast("long").alias("n_words"),
+            windows.alias("_windows"),
         ),
         "documents",
     )
@@ -165,6 +176,7 @@ def contamination(
         F.size(names).cast("long").alias("n_items"),
         F.sha2(F.array_join(names, ","), 256).alias("items_sha256"),
         ((n_hit > 0) & (20 * n_hit >= F.col("n_words"))).alias("contaminated"),
+        "content_hash",
     )
 
 
@@ -193,13 +205,12 @@ def _covered(at: Column) -> Column:
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(
         spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    )
+    ).drop("content_hash")
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The documents that are not contaminated, with their columns."""
-    bad = contamination(docs, items).where("contaminated").select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_bad"]), "left_anti")
+    return without(docs, contamination(docs, items).where("contaminated"), "doc_id", content_hash("text"))
 
 
 _ASCII = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"

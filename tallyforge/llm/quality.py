@@ -20,7 +20,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.llm.columns import WORD, covered_words, matches, text_or_empty
+from tallyforge.llm.columns import WORD, content_hash, covered_words, matches, text_or_empty, without
 from tallyforge.llm.scratch import Scratch
 
 REPEAT_WORDS = 5
@@ -40,10 +40,11 @@ class Rules:
 
 
 def text_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
-    """id, host and the counts of every whole text."""
+    """id, host, content hash and the counts of every whole text."""
     step = docs.select(
         F.col(id_col).alias("_id"),
         F.coalesce(F.col(host_col).cast("string"), F.lit("")).alias("_host"),
+        content_hash(text_col, host_col).alias("content_hash"),
         text_or_empty(text_col).alias("_text"),
     )
     bare = F.col("_text")
@@ -52,6 +53,7 @@ def text_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     step = step.select(
         "_id",
         "_host",
+        "content_hash",
         F.transform(matches(F.col("_text"), WORD), lambda w: F.xxhash64(w)).alias("_hashes"),
         F.length(bare).cast("long").alias("word_chars"),
         F.length(F.regexp_replace("_text", r"[^#*$%&|<>]+", "")).cast("long").alias("n_symbols"),
@@ -61,6 +63,7 @@ def text_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     step = step.select(
         "_id",
         "_host",
+        "content_hash",
         "word_chars",
         "n_symbols",
         F.size("_hashes").cast("long").alias("n_words"),
@@ -88,6 +91,7 @@ def text_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return step.select(
         F.col("_id").alias(id_col),
         F.col("_host").alias("host"),
+        "content_hash",
         "n_words",
         "word_chars",
         "n_symbols",
@@ -184,13 +188,11 @@ def op6_quality_rules(spark, sf_dir: str) -> DataFrame:
 def keep_good(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
     """The documents that pass, with their columns: the pipeline's first stage.
 
-    The verdict needs a second look at each document; it is brought back by id
-    and only rejected ids are moved, so kept texts are not shuffled when few
-    documents fail.
+    The verdict needs a second look at each document. Rejected rows are found
+    again by id and content.
     """
-    verdicts = quality_verdicts(docs, rules)
-    bad = verdicts.where(~F.col("kept")).select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_bad"]), "left_anti")
+    rejected = quality_verdicts(docs, rules).where(~F.col("kept"))
+    return without(docs, rejected, "doc_id", content_hash("text", "source"))
 
 
 OP6_SQL = r"""

@@ -23,7 +23,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.llm.columns import matches, text_or_empty
+from tallyforge.llm.columns import literal_rows, matches, text_or_empty
 from tallyforge.llm.scratch import Scratch
 from tallyforge.llm.trigrams import clauses
 
@@ -69,7 +69,7 @@ def candidates(spark: SparkSession, index: DataFrame, rules: list[Rule]) -> Data
         (r.kind, k, t, len(c)) for r in rules for k, c in enumerate(clauses(r.pattern) or []) for t in sorted(c)
     ]
     # The clauses are as many as the rules make them, whatever the corpus.
-    clause = spark.createDataFrame(wanted, "kind string, clause int, trigram string, needed int")
+    clause = literal_rows(spark, wanted, "kind string, clause int, trigram string, needed int")
     return (
         index.distinct()
         .join(F.broadcast(clause), "trigram")

@@ -24,7 +24,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.llm.columns import LOWER, UPPER, bit_is_set, long_array
+from tallyforge.llm.columns import LOWER, UPPER, bit_is_set, literal_rows, long_array
 
 HASHES = 3
 MAX_BITS = 1 << 23
@@ -201,8 +201,8 @@ def _joined(urls: DataFrame, named: DataFrame, hosts: DataFrame, lengths: list[i
 
 def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
-    rules = spark.createDataFrame(RULES, "host string, path string, verdict string")
-    blocked = spark.createDataFrame([(h,) for h in BLOCKED_HOSTS], "host string")
+    rules = literal_rows(spark, RULES, "host string, path string, verdict string")
+    blocked = literal_rows(spark, [(h,) for h in BLOCKED_HOSTS], "host string")
     return url_verdicts(pages, rules, blocked)
 
 
