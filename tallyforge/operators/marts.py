@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tallyforge.functions.semantics import UNSUPPORTED, age_band, ratio
@@ -126,10 +125,19 @@ def data_coverage(facts: DataFrame, promoted: DataFrame) -> DataFrame:
 
 
 def comparable_cases(case_rows: DataFrame, promoted: DataFrame) -> DataFrame:
-    """Every case with the number of cases like it, itself included."""
+    """Every case with the number of cases like it, itself included.
+
+    The groups are few and may hold a large share of all cases, so they are
+    counted where the cases lie and joined back, which Spark can broadcast or
+    split; a window would sort a whole group in one task.
+    """
     rows = with_matches(case_rows, promoted).withColumn("nature_family", family())
-    like = W.partitionBy("district_code", "nature_family", "jurisdiction_code", "origin_code")
-    return rows.select(
+    keys = ["district_code", "nature_family", "jurisdiction_code", "origin_code"]
+    like = rows.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(F.count("*").alias("_like"))
+    same = F.lit(True)
+    for k in keys:
+        same = same & rows[k].eqNullSafe(like[f"_{k}"])
+    return rows.join(like, same).select(
         "case_identifier",
         "source_record_identifier",
         "district_code",
@@ -143,6 +151,6 @@ def comparable_cases(case_rows: DataFrame, promoted: DataFrame) -> DataFrame:
         "origin_code",
         "intake_procedural_cohort",
         F.col("matched").alias("has_recap_match"),
-        F.count("*").over(like).alias("comparable_group_support_count"),
+        F.col("_like").alias("comparable_group_support_count"),
         F.col("source_snapshot_cutoff").alias("as_of_date"),
     )

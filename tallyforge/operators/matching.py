@@ -179,11 +179,14 @@ def review_sample(candidates: DataFrame, size: int) -> DataFrame:
         }
     )
     ties = ["review_order", "case_identifier", "recap_docket_id"]
-    first = F.lit(False)
-    for stratum in ("court_id", "filing_year_band", "evidence_band"):
-        low = F.min(F.struct(*ties)).over(W.partitionBy(stratum))
-        first = first | (F.struct(*ties) == low)
-    rows = rows.withColumn("_later", ~first).orderBy("_later", *ties).limit(size)
+    # The first of each stratum comes from partial minima: a row for each stratum, however large it is.
+    firsts = [
+        rows.groupBy(stratum).agg(F.min(F.struct(*ties)).alias("low")).select("low.*")
+        for stratum in ("court_id", "filing_year_band", "evidence_band")
+    ]
+    first = firsts[0].unionByName(firsts[1]).unionByName(firsts[2]).distinct().withColumn("_later", F.lit(False))
+    rows = rows.join(first, ties, "left").withColumn("_later", F.coalesce("_later", F.lit(True)))
+    rows = rows.orderBy("_later", *ties).limit(size)
     item = F.row_number().over(W.orderBy("_later", *ties)).alias("review_item")
     return rows.select(
         item, "case_identifier", "recap_docket_id", "district_code", "court_id", "office_code", "docket_number_core", "filed_date"

@@ -31,7 +31,11 @@ def record_semantics(records: DataFrame) -> DataFrame:
 
 
 def identity_quality(records: DataFrame) -> DataFrame:
-    """How many records share a natural key. One window instead of a count and a join: one shuffle."""
+    """How many records share a natural key. One window instead of a count and a join: one shuffle.
+
+    Natural keys are nearly unique, so no task gets a large group; a key that
+    very many records share would be sorted, with spill, in one task.
+    """
     n = F.count("*").over(W.partitionBy("natural_case_identifier"))
     return records.withColumn("source_record_count", n).withColumn(
         "identity_quality_status", F.when(F.col("source_record_count") == 1, "canonical").otherwise("collision")
