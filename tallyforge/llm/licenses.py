@@ -95,18 +95,16 @@ def winnow(hashes: np.ndarray, window: int = WINNOW) -> np.ndarray:
 
 @dataclass
 class Index:
-    """gram size -> (sorted hashes, template, place); and each template's words."""
+    """(gram size, whether all grams are kept) -> (sorted hashes, template, place); and each template's words."""
 
     names: list[str]
     texts: list[np.ndarray]
-    by_size: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]
-    full: set[int]
+    by_size: dict[tuple[int, bool], tuple[np.ndarray, np.ndarray, np.ndarray]]
 
 
 def build_index(templates: dict[str, str]) -> Index:
     names, texts = [], []
-    rows: dict[int, list[tuple[int, int, int]]] = {}
-    full: set[int] = set()
+    rows: dict[tuple[int, bool], list[tuple[int, int, int]]] = {}
     for name, text in sorted(templates.items()):
         raw = np.frombuffer(text.encode(), np.uint8)
         *_, words = _words(raw, np.array([0, len(raw)]))
@@ -117,21 +115,18 @@ def build_index(templates: dict[str, str]) -> Index:
         size = min(GRAM, max(1, (len(words) + 1) // 2))
         hashes = grams(words, size)
         # Only a template as long as the guarantee needs is winnowed.
-        if size == GRAM and len(words) >= 4 * (GRAM + WINNOW):
-            places = winnow(hashes)
-        else:
-            places = np.arange(len(hashes))
-            full.add(size)
-        rows.setdefault(size, []).extend((int(hashes[p]), t, int(p)) for p in places)
+        whole = size < GRAM or len(words) < 2 * (GRAM + WINNOW)
+        places = np.arange(len(hashes)) if whole else winnow(hashes)
+        rows.setdefault((size, whole), []).extend((int(hashes[p]), t, int(p)) for p in places)
     by_size = {}
-    for size, entries in rows.items():
+    for key, entries in rows.items():
         entries.sort()
-        by_size[size] = (
+        by_size[key] = (
             np.array([e[0] for e in entries], np.uint64),
             np.array([e[1] for e in entries]),
             np.array([e[2] for e in entries]),
         )
-    return Index(names, texts, by_size, full)
+    return Index(names, texts, by_size)
 
 
 def align(doc: np.ndarray, template: np.ndarray, diagonal: int, band: int = BAND) -> tuple[int, int, int]:
@@ -173,11 +168,11 @@ def align(doc: np.ndarray, template: np.ndarray, diagonal: int, band: int = BAND
 def scan_words(words: np.ndarray, index: Index, min_coverage: float) -> list[tuple[int, int, int, int]]:
     """(template, matched, first word, last word + 1) of every accepted region of one document."""
     found: dict[int, list[tuple[int, int]]] = {}
-    for size, (known, owner, place) in index.by_size.items():
+    for (size, whole), (known, owner, place) in index.by_size.items():
         hashes = grams(words, size)
         if not len(hashes):
             continue
-        kept = np.arange(len(hashes)) if size in index.full else winnow(hashes)
+        kept = np.arange(len(hashes)) if whole else winnow(hashes)
         low = np.searchsorted(known, hashes[kept], "left")
         high = np.searchsorted(known, hashes[kept], "right")
         for p in np.flatnonzero(high > low):
@@ -231,7 +226,7 @@ def _scan(index: Index, min_coverage: float):
 def _with_hits(words: np.ndarray, bounds: np.ndarray, index: Index) -> np.ndarray:
     """Documents of a slice with any gram in the index, from one look-up over the whole slice."""
     hit = np.zeros(len(bounds) - 1, bool)
-    for size, (known, _, _) in index.by_size.items():
+    for (size, _), (known, _, _) in index.by_size.items():
         hashes = grams(words, size)
         place = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
         found = np.flatnonzero(known[place] == hashes) if len(hashes) else np.zeros(0, np.int64)
