@@ -39,6 +39,8 @@ from tallyforge.llm.scratch import Scratch
 
 CAPACITY = 1024
 END_ID = 2
+#: The vocabulary's one added token (fixed values); the tokenizer finds it in texts as well, before it splits them.
+SPECIAL, SPECIAL_ID = "<|endoftext|>", 50256
 #: Pre-tokens that a worker remembers; the table starts again beyond it.
 REMEMBERED = 250_000
 
@@ -71,6 +73,11 @@ class Encoder(dict):
         return found
 
     def ids(self, text: str) -> bytes:
+        if SPECIAL in text:
+            return np.array([SPECIAL_ID], "<u4").tobytes().join(map(self._ordinary, text.split(SPECIAL)))
+        return self._ordinary(text)
+
+    def _ordinary(self, text: str) -> bytes:
         if not _PLAIN.fullmatch(text):
             # A text with other characters is encoded whole; surrogates cannot occur in UTF-8 data.
             return np.array(self._full.encode_ordinary(text), "<u4").tobytes()

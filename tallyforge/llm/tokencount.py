@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.llm.packing import _PLAIN, _SPLIT, default_ranks, encoder
+from tallyforge.llm.packing import _PLAIN, _SPLIT, SPECIAL, default_ranks, encoder
 
 BLOCK = 256
 
@@ -77,7 +77,7 @@ class CountedText:
     def __init__(self, text: str, encode):
         self.encode = encode
         self.encoded_chars = len(text)
-        self.plain = bool(_PLAIN.fullmatch(text))
+        self.plain = bool(_PLAIN.fullmatch(text)) and SPECIAL not in text
         leaves = self._leaves(text)
         self.blocks = [leaves[i : i + BLOCK] for i in range(0, len(leaves), BLOCK)] or [[]]
         self._sum()
@@ -109,7 +109,7 @@ class CountedText:
         """Puts ``new`` in place of start:end; returns the characters that were encoded again."""
         start = min(max(start, 0), self.chars)
         end = min(max(end, start), self.chars)
-        if not self.plain or not _PLAIN.fullmatch(new):
+        if not self.plain or not _PLAIN.fullmatch(new) or self._makes_special(start, end, new):
             text = self.text()
             encoded = self.encoded_chars
             self.__init__(text[:start] + new + text[end:], self.encode)
@@ -179,6 +179,21 @@ class CountedText:
             self._sum()
         return encoded
 
+    def _makes_special(self, start: int, end: int, new: str) -> bool:
+        """Whether an edit puts the added token's text together."""
+        n = len(SPECIAL) - 1
+        return SPECIAL in self._part(max(0, start - n), start) + new + self._part(end, end + n)
+
+    def _part(self, start: int, end: int) -> str:
+        block, at = self.tree.find(start)
+        out = []
+        while block < len(self.blocks) and at < end:
+            for w, _ in self.blocks[block]:
+                out.append(w[max(0, start - at) : max(0, end - at)])
+                at += len(w)
+            block += 1
+        return "".join(out)
+
     def _leaf_of(self, block: int, at: int, char: int) -> int:
         """How many leaves from this block on end at or before a character, 2 at most."""
         n = 0

@@ -57,6 +57,7 @@ TEXTS = [
     "\n\n tabs\tand\r\nlines   ",
     "été Ünïcode ÀÉ × ÷ ª º µ 1² ½ ٣ 漢字   wide\x1cseps\x85   nb",
     "under_score __x__ <|endoftext|> 'S 'll",
+    "été<|endoftext|><|endoftext|>\n漢 <|endoftext|",
     "word " * 3000,
     "x" * 5000,
     "mixed été 12,5 % — “quotes” …",
@@ -65,7 +66,6 @@ TEXTS = [
 
 def test_pieces_against_tokenizer(spark):
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
     rows = [(i % 7 if i % 5 else None, t, "x") for i, t in enumerate(TEXTS)] + [(1, TEXTS[0], "x")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, piece string")
     out = packing.pack(docs).collect()

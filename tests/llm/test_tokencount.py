@@ -8,7 +8,7 @@ from hypothesis import strategies as st
 from tallyforge.llm import tokencount
 from tallyforge.llm.packing import default_ranks, encoder
 
-PIECES = ["word", " ", "  ", "\n", "\n\n", "'s", "'", "!", "?!", "12", "3", "été", " x", "\t", "don't", "A", "漢", ""]
+PIECES = ["word", " ", "  ", "\n", "\n\n", "'s", "'", "!", "?!", "12", "3", "été", " x", "\t", "don't", "A", "漢", "", "<|endof", "text|>", "<|endoftext|>"]
 TEXT = st.lists(st.sampled_from(PIECES), max_size=40).map("".join)
 EDITS = st.lists(st.tuples(st.integers(0, 90), st.integers(0, 20), st.lists(st.sampled_from(PIECES), max_size=4).map("".join)), max_size=4)
 
