@@ -15,10 +15,12 @@ words and one unseen word, like the base model. It starts as the base model
 (biases at the logarithm of the counts).
 
 Training. Truncated backpropagation in numpy. Tasks train copies of the model
-on windows of their own training documents and Spark averages the copies by
-documents trained, for ``ROUNDS`` rounds. Every training document takes part
-with the same share of its windows (one in ``STRIDE``), so the work and what is
-gathered grow with the corpus.
+on their own training documents and Spark averages the copies by documents
+trained, for ``ROUNDS`` rounds. Every training document is read whole, its
+windows in order and the end token included: ``LANES`` documents go side by
+side, the state is carried from window to window, and a document that ends
+makes room for the next, which starts from a zero state. Each window has the
+same weight, however many documents are left beside it.
 
 Scoring. Whole documents go through the network in batches of similar length;
 the state is carried from window to window, from the first word to the end.
@@ -48,7 +50,8 @@ HEAD = 1 << 18
 VOCAB = 2046
 HIDDEN = 16
 WINDOW = 16
-STRIDE = 16
+#: Documents that a task trains on side by side.
+LANES = 64
 ROUNDS = 2
 RATE = 0.5
 #: Documents that go through the network side by side, and tokens from which a task picks documents of like length.
@@ -100,29 +103,58 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 
 def step(m: Model, h: np.ndarray, symbols: np.ndarray) -> tuple[np.ndarray, ...]:
     """(next state, update, reset, candidate)."""
+    return _cell(m, h, m.embed[symbols])
+
+
+def _cell(m: Model, h: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, ...]:
     n = h.shape[1]
-    x = m.embed[symbols]
     zr = _sigmoid(x[:, : 2 * n] + h @ m.recur)
     z, r = zr[:, :n], zr[:, n:]
     c = np.tanh(x[:, 2 * n :] + (r * h) @ m.cand)
     return h + z * (c - h), z, r, c
 
 
-def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(1, keepdims=True)
-    return x - np.log(np.exp(x).sum(1, keepdims=True))
+def _row_sums(x: np.ndarray) -> np.ndarray:
+    return x @ np.ones((x.shape[1], 1), x.dtype)
+
+
+def _log_softmax_at(x: np.ndarray, column: np.ndarray) -> np.ndarray:
+    """The logarithm of each row's softmax in the row's own column; x is overwritten."""
+    x -= x.max(1, keepdims=True)
+    own = x[np.arange(len(x)), column]
+    return own - np.log(_row_sums(np.exp(x, out=x))[:, 0])
+
+
+def _softmax(x: np.ndarray) -> np.ndarray:
+    """Each row's softmax, written over x."""
+    x -= x.max(1, keepdims=True)
+    np.exp(x, out=x)
+    x /= _row_sums(x)
+    return x
+
+
+def _by_class(m: Model, cls: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+    """The order that sorts rows by class, and (class, first row, last + 1) of each class that occurs."""
+    order = np.argsort(cls, kind="stable")
+    edges = np.searchsorted(cls[order], np.arange(len(m.class_b) + 1))
+    return order, [(int(k), int(edges[k]), int(edges[k + 1])) for k in np.flatnonzero(np.diff(edges))]
+
+
+def _word_logits(m: Model, states: np.ndarray, cls: np.ndarray, runs: list[tuple[int, int, int]]) -> np.ndarray:
+    """The words' logits inside each row's class; rows sorted by class."""
+    out = m.word_b[cls]
+    for k, a, b in runs:
+        out[a:b] += states[a:b] @ m.word_w[k].T
+    return out
 
 
 def log_probs(m: Model, states: np.ndarray, symbols: np.ndarray) -> np.ndarray:
     """Natural logarithm of each symbol's probability after its state."""
     size = m.word_b.shape[1]
     cls = symbols // size
-    out = _log_softmax(states @ m.class_w + m.class_b)[np.arange(len(cls)), cls].astype(np.float64)
-    order = np.argsort(cls, kind="stable")
-    edges = np.searchsorted(cls[order], np.arange(len(m.class_b) + 1))
-    for c in np.flatnonzero(np.diff(edges)):
-        own = order[edges[c] : edges[c + 1]]
-        out[own] += _log_softmax(states[own] @ m.word_w[c].T + m.word_b[c])[np.arange(len(own)), symbols[own] % size]
+    out = _log_softmax_at(states @ m.class_w + m.class_b, cls).astype(np.float64)
+    order, runs = _by_class(m, cls)
+    out[order] += _log_softmax_at(_word_logits(m, states[order], cls[order], runs), symbols[order] % size)
     return out
 
 
@@ -130,56 +162,62 @@ def train_window(m: Model, h: np.ndarray, prev: np.ndarray, target: np.ndarray,
     """One step of truncated backpropagation over (time, batch) symbols; target -1 is padding. Returns the last state."""
     steps, batch = prev.shape
     hidden, size = h.shape[1], m.word_b.shape[1]
-    states, kept = [h], []
+    x = m.embed[prev]
+    states = np.empty((steps + 1, batch, hidden), np.float32)
+    zs, rs, cs = (np.empty((steps, batch, hidden), np.float32) for _ in range(3))
+    states[0] = h
     for t in range(steps):
-        h, z, r, c = step(m, h, prev[t])
-        states.append(h)
-        kept.append((z, r, c))
+        states[t + 1], zs[t], rs[t], cs[t] = _cell(m, states[t], x[t])
     real = target.ravel() >= 0
     y = target.ravel()[real]
-    hs = np.concatenate(states[1:])[real]
+    hs = states[1:].reshape(-1, hidden)[real]
     scale = np.float32(rate / max(1, batch))
     # Output layer: class, then word inside the class.
     cls, within = y // size, y % size
-    g = np.exp(_log_softmax(hs @ m.class_w + m.class_b))
-    g[np.arange(len(y)), cls] -= 1
+    every = np.arange(len(y))
+    g = _softmax(hs @ m.class_w + m.class_b)
+    g[every, cls] -= 1
     d_hs = g @ m.class_w.T
     d_class_w, d_class_b = hs.T @ g, g.sum(0)
-    order = np.argsort(cls, kind="stable")
-    edges = np.searchsorted(cls[order], np.arange(len(m.class_b) + 1))
-    for k in np.flatnonzero(np.diff(edges)):
-        own = order[edges[k] : edges[k + 1]]
-        gw = np.exp(_log_softmax(hs[own] @ m.word_w[k].T + m.word_b[k]))
-        gw[np.arange(len(own)), within[own]] -= 1
-        d_hs[own] += gw @ m.word_w[k]
-        m.word_w[k] -= scale * _clip(gw.T @ hs[own], batch)
-        m.word_b[k] -= scale * _clip(gw.sum(0), batch)
+    order, runs = _by_class(m, cls)
+    sorted_hs = hs[order]
+    gw = _softmax(_word_logits(m, sorted_hs, cls[order], runs))
+    gw[every, within[order]] -= 1
+    d_sorted = np.empty_like(sorted_hs)
+    with_one = np.concatenate([sorted_hs, np.ones((len(y), 1), np.float32)], axis=1)
+    d_word = np.empty((len(runs), size, hidden + 1), np.float32)
+    for n, (k, a, b) in enumerate(runs):
+        d_sorted[a:b] = gw[a:b] @ m.word_w[k]
+        d_word[n] = gw[a:b].T @ with_one[a:b]
+    d_hs[order] += d_sorted
+    own = [k for k, _, _ in runs]
+    m.word_w[own] -= scale * _clip_each(d_word[:, :, :hidden], batch)
+    m.word_b[own] -= scale * _clip_each(d_word[:, :, hidden], batch)
     d_out = np.zeros((steps * batch, hidden), np.float32)
     d_out[real] = d_hs
     d_out = d_out.reshape(steps, batch, hidden)
     # Back through time, inside the window only.
+    before = states[:-1]
+    by_c, by_z, by_r = zs * (1 - cs * cs), (cs - before) * zs * (1 - zs), before * rs * (1 - rs)
+    stay = 1 - zs
     d_h = np.zeros((batch, hidden), np.float32)
-    d_recur, d_cand = np.zeros_like(m.recur), np.zeros_like(m.cand)
-    d_x = np.zeros((steps, batch, 3 * hidden), np.float32)
+    d_x = np.empty((steps, batch, 3 * hidden), np.float32)
+    recur_t, cand_t = np.ascontiguousarray(m.recur.T), np.ascontiguousarray(m.cand.T)
     for t in reversed(range(steps)):
-        before, (z, r, c) = states[t], kept[t]
-        d_h = d_h + d_out[t]
-        d_c = d_h * z * (1 - c * c)
-        d_rh = d_c @ m.cand.T
-        d_zr = np.concatenate([d_h * (c - before) * z * (1 - z), d_rh * before * r * (1 - r)], axis=1)
-        d_cand += (r * before).T @ d_c
-        d_recur += before.T @ d_zr
-        d_x[t, :, : 2 * hidden], d_x[t, :, 2 * hidden :] = d_zr, d_c
-        d_h = d_h * (1 - z) + d_rh * r + d_zr @ m.recur.T
-    m.recur -= scale * _clip(d_recur, batch)
-    m.cand -= scale * _clip(d_cand, batch)
+        d_h += d_out[t]
+        d_c = d_h * by_c[t]
+        d_rh = d_c @ cand_t
+        d = d_x[t]
+        d[:, :hidden], d[:, hidden : 2 * hidden], d[:, 2 * hidden :] = d_h * by_z[t], d_rh * by_r[t], d_c
+        d_h = d_h * stay[t] + d_rh * rs[t] + d[:, : 2 * hidden] @ recur_t
+    flat = d_x.reshape(-1, 3 * hidden)
+    m.recur -= scale * _clip(before.reshape(-1, hidden).T @ flat[:, : 2 * hidden], batch)
+    m.cand -= scale * _clip((rs * before).reshape(-1, hidden).T @ flat[:, 2 * hidden :], batch)
     m.class_w -= scale * _clip(d_class_w, batch)
     m.class_b -= scale * _clip(d_class_b, batch)
-    flat = d_x.reshape(-1, 3 * hidden)
-    symbols, place = np.unique(prev.ravel(), return_inverse=True)
-    sums = np.zeros((len(symbols), 3 * hidden), np.float32)
-    np.add.at(sums, place, flat)
-    m.embed[symbols] -= scale * _clip(sums, batch)
+    place = np.argsort(prev.ravel(), kind="stable")
+    symbols, first = np.unique(prev.ravel()[place], return_index=True)
+    m.embed[symbols] -= scale * _clip(np.add.reduceat(flat[place], first), batch)
     return states[-1]
 
 
@@ -188,6 +226,13 @@ def _clip(g: np.ndarray, batch: int) -> np.ndarray:
     return g * np.float32(min(1.0, batch / norm)) if norm > 0 else g
 
 
+def _clip_each(g: np.ndarray, batch: int) -> np.ndarray:
+    """``_clip`` of each part along the first axis."""
+    flat = g.reshape(len(g), -1)
+    norms = np.sqrt((flat * flat).sum(1))
+    return (flat * np.minimum(1, batch / np.maximum(norms, 1e-30))[:, None].astype(np.float32)).reshape(g.shape)
+
+
 # Reading documents
 
 
@@ -292,41 +337,52 @@ def _to_symbols(head: Head, tokens: Tokens, vocab: int) -> tuple[np.ndarray, np.
     return symbols.astype(np.int64), place, there
 
 
-def _train(shared, head_shared, vocab: int, window: int, stride: int, rate: float):
+def train_documents(m: Model, documents: Iterator[np.ndarray], window: int, rate: float, lanes: int = LANES) -> int:
+    """Trains on every window of every document's symbols, in order; returns the number of documents."""
+    held: list[np.ndarray] = []
+    at: list[int] = []
+    hidden = m.recur.shape[0]
+    h = np.zeros((0, hidden), np.float32)
+    trained = 0
+    while True:
+        while len(held) < lanes and (own := next(documents, None)) is not None:
+            held.append(own), at.append(0)
+            trained += 1
+        if not held:
+            return trained
+        h = np.concatenate([h, np.zeros((len(held) - len(h), hidden), np.float32)])
+        prev = np.zeros((len(held), window), np.int64)
+        target = np.full((len(held), window), -1, np.int64)
+        for k, (own, low) in enumerate(zip(held, at, strict=True)):
+            part = own[low : low + window]
+            target[k, : len(part)] = part
+            prev[k, 1 : len(part)] = part[:-1]
+            if low:
+                prev[k, 0] = own[low - 1]
+        # A step over few documents moves the model by their share of a full one.
+        h = train_window(m, h, prev.T, target.T, rate * len(held) / lanes)
+        live = [k for k, (own, low) in enumerate(zip(held, at, strict=True)) if low + window < len(own)]
+        held, at, h = [held[k] for k in live], [at[k] + window for k in live], h[live]
+
+
+def _train(shared, head_shared, vocab: int, window: int, rate: float):
     names = [f.name for f in fields(Model)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Model(*[x.copy() for x in shared.value])
         head = head_shared.value
-        trained = 0
-        prev: list[np.ndarray] = []
-        target: list[np.ndarray] = []
 
-        def learn() -> None:
-            h = np.zeros((len(prev), model.recur.shape[0]), np.float32)
-            train_window(model, h, np.array(prev).T, np.array(target).T, rate)
-            prev.clear(), target.clear()
-
-        for batch in batches:
-            train = in_training(batch.column(0))
-            for a, b, raw, at in bytescan.slices(batch.column(1)):
-                tokens = read_tokens(raw, at)
-                symbols, _, _ = _to_symbols(head, tokens, vocab)
-                for r in np.flatnonzero(train[a:b]):
-                    own = symbols[tokens.bounds[r] : tokens.bounds[r + 1]]
-                    shifted = np.concatenate(([0], own[:-1]))
-                    trained += 1
-                    # The same share of every document: one window in ``stride``, the first included.
-                    for low in range(0, len(own), window * stride):
-                        p = np.zeros(window, np.int64)
-                        y = np.full(window, -1, np.int64)
-                        part = own[low : low + window]
-                        p[: len(part)], y[: len(part)] = shifted[low : low + window], part
-                        prev.append(p), target.append(y)
-                        if len(prev) == 64:
-                            learn()
-        if prev:
-            learn()
+        def documents() -> Iterator[np.ndarray]:
+            for batch in batches:
+                train = in_training(batch.column(0))
+                for a, b, raw, at in bytescan.slices(batch.column(1)):
+                    tokens = read_tokens(raw, at)
+                    symbols = _to_symbols(head, tokens, vocab)[0].astype(np.int32)
+                    for r in np.flatnonzero(train[a:b]):
+                        # A copy, so that a lane does not hold the slice.
+                        yield symbols[tokens.bounds[r] : tokens.bounds[r + 1]].copy()
+
+        trained = train_documents(model, documents(), window, rate)
         if trained:
             yield pa.RecordBatch.from_arrays(
                 [
@@ -489,7 +545,7 @@ def lm_scores(
     for turn in range(rounds):
         shared = context.broadcast([getattr(model, n) for n in names])
         trained = texts.mapInArrow(
-            _train(shared, head_shared, vocab, WINDOW, STRIDE, RATE / (turn + 1)), MODEL_ROWS
+            _train(shared, head_shared, vocab, WINDOW, RATE / (turn + 1)), MODEL_ROWS
         )
         rows = {r["part"]: r["weights"] for r in averaged(trained, scratch, f"models-{turn}")}
         if rows:

@@ -83,3 +83,46 @@ def test_gradient_lowers_loss():
     for _ in range(200):
         lm.train_window(m, np.zeros((32, 8), np.float32), prev, target, 0.5)
     assert loss() < 0.8 * before
+
+
+def test_every_window_trains(monkeypatch):
+    """A task learns every token of each training document, the end included, with the state carried and reset per document."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    sizes = [0, 1, 15, 16, 17, 200, 257, 1000] + [int(n) for n in rng.integers(0, 300, 100)]
+    texts = [" ".join(f"w{int(w)}" for w in rng.integers(0, 30, n)) for n in sizes]
+    raw = pa.RecordBatch.from_arrays([pa.array([1] * len(texts), pa.int64()), pa.array(texts)], names=["id", "text"])
+    words = lm.read_tokens(*lm.bytescan.text_buffers(pa.array(texts)))
+    hashes, counts = np.unique(words.hashes, return_counts=True)
+    head, by_symbol = lm.make_head(hashes, counts, int(counts.sum()), len(hashes), 20)
+    symbols = lm._to_symbols(head, words, 20)[0]
+    whole = [symbols[a:b].tolist() for a, b in zip(words.bounds[:-1], words.bounds[1:], strict=True)]
+    running, done = [], []
+
+    def record(m, h, prev, target, rate):
+        # A lane's state is its place in ``running`` plus one; 0 begins a document.
+        out = np.zeros_like(h)
+        for k in range(prev.shape[1]):
+            own = target[:, k][target[:, k] >= 0].tolist()
+            if h[k, 0] == 0:
+                running.append([])
+                h[k, 0] = len(running)
+            text = running[int(h[k, 0]) - 1]
+            assert prev[: len(own), k].tolist() == ([text[-1] if text else 0] + own[:-1])
+            text.extend(own)
+            out[k, 0] = h[k, 0]
+        done.append(rate)
+        return out
+
+    class Shared:
+        def __init__(self, value):
+            self.value = value
+
+    model = lm.new_model(by_symbol, 4)
+    shared = Shared([getattr(model, f.name) for f in lm.fields(lm.Model)])
+    monkeypatch.setattr(lm, "train_window", record)
+    (out,) = lm._train(shared, Shared(head), 20, 16, rate=0.5)(iter([raw]))
+    assert out.column(1).to_pylist() == [len(texts)] * 7
+    assert sorted(running) == sorted(whole)
+    assert max(done) <= 0.5
