@@ -129,21 +129,29 @@ def build_index(templates: dict[str, str]) -> Index:
     return Index(names, texts, by_size)
 
 
-def align(doc: np.ndarray, template: np.ndarray, diagonal: int, band: int = BAND) -> tuple[int, int, int]:
+def align(
+    doc: np.ndarray, template: np.ndarray, diagonal: int, band: int = BAND, free: np.ndarray | None = None
+) -> tuple[int, int, int]:
     """(matched words, first, last + 1) of the best local alignment within ``band`` of a diagonal.
 
     A match scores 2; a changed, added or missing word costs 1. The score's
-    matches and its first word travel along, so no path is kept.
+    matches and its first word travel along, so no path is kept. Among equals
+    the alignment that ends nearest the diagonal wins. Only words that are
+    ``free`` take part; an alignment does not reach over others.
     """
     width = 2 * band + 1
     score = np.zeros(width + 2, np.int64)
     matched = np.zeros(width + 2, np.int64)
     begin = np.zeros(width + 2, np.int64)
     best = (0, 0, 0, 0)
+    off = band
+    away = np.abs(np.arange(width) - band)
     for i in range(len(template)):
         low = i + diagonal - band
         j = low + np.arange(width)
         inside = (j >= 0) & (j < len(doc))
+        if free is not None:
+            inside[inside] = free[j[inside]]
         same = np.zeros(width, bool)
         same[inside] = doc[j[inside]] == template[i]
         diag = score[1:-1] + np.where(same, 2, -1)
@@ -156,11 +164,11 @@ def align(doc: np.ndarray, template: np.ndarray, diagonal: int, band: int = BAND
         new, hits, first = np.where(fresh, 2, new), np.where(fresh, 1, hits), np.where(fresh, j, first)
         new = np.where(inside & (new > 0), new, 0)
         for k in range(1, width):  # an added word in the document: along the row
-            if new[k - 1] - 1 > new[k]:
+            if inside[k] and new[k - 1] - 1 > new[k]:
                 new[k], hits[k], first[k] = new[k - 1] - 1, hits[k - 1], first[k - 1]
-        k = int(new.argmax())
-        if new[k] > best[0]:
-            best = (int(new[k]), int(hits[k]), int(first[k]), int(j[k]) + 1)
+        k = int(np.lexsort((away, -new))[0])
+        if new[k] > best[0] or new[k] == best[0] and away[k] < off:
+            best, off = (int(new[k]), int(hits[k]), int(first[k]), int(j[k]) + 1), int(away[k])
         score[1:-1], matched[1:-1], begin[1:-1] = new, hits, first
     return best[1], best[2], best[3]
 
@@ -181,15 +189,18 @@ def scan_words(words: np.ndarray, index: Index, min_coverage: float) -> list[tup
     out = []
     for t, hits in sorted(found.items()):
         template = index.texts[t]
-        done: list[tuple[int, int]] = []
-        for diagonal, _ in sorted(set(hits)):
-            if any(a <= diagonal + len(template) // 2 < b for a, b in done):
-                continue
-            matched, first, last = align(words, template, diagonal)
-            if matched >= min_coverage * len(template):
-                if not any(first < b and a < last for a, b in done):
+        # Words of accepted places take no part in further ones, so places never overlap.
+        free = np.ones(len(words), bool)
+        tried = None
+        for diagonal, at in sorted(set(hits)):
+            # A better place nearby goes first; then the hit's own place is looked for again.
+            while free[at] and diagonal != tried:
+                matched, first, last = align(words, template, diagonal, free=free)
+                if matched >= min_coverage * len(template):
                     out.append((t, matched, first, last))
-                done.append((first, last))
+                    free[first:last] = False
+                else:
+                    tried = diagonal
     return out
 
 

@@ -25,3 +25,25 @@ def test_planted_notices(spark):
     assert two.license == "mit-grant" and two.matched_words == two.template_words - 3
     assert texts[2][two.start : two.end].startswith("Permission") and texts[2][two.start : two.end].endswith("Software")
     assert licenses.license_matches(docs.limit(0)).count() == 0
+
+
+def places(text, templates=licenses.TEMPLATES):
+    import numpy as np
+
+    index = licenses.build_index(templates)
+    raw = np.frombuffer(text.encode(), np.uint8)
+    *_, words = licenses._words(raw, np.array([0, len(raw)]))
+    return [(index.names[t], m, a, b) for t, m, a, b in licenses.scan_words(words, index, licenses.MIN_COVERAGE)]
+
+
+def test_adjacent_copies():
+    for name, notice in licenses.TEMPLATES.items():
+        n = next(p[1] for p in places(notice) if p[0] == name)
+        for copies in (2, 3, 5):
+            for gap in range(10):
+                got = sorted(p for p in places((notice + " x" * gap + " ") * copies) if p[0] == name)
+                assert got == [(name, n, k * (n + gap), k * (n + gap) + n) for k in range(copies)], (name, copies, gap)
+    got = sorted(p for p in places("Released under the BSD License. " + licenses.TEMPLATES["mit"]) if p[0] == "mit")
+    assert got == [("mit", 4, 0, 5), ("mit", 5, 5, 10)]
+    got = sorted(p for p in places("Released under the MIT thing. " + licenses.TEMPLATES["mit"]) if p[0] == "mit")
+    assert got == [("mit", 4, 0, 4), ("mit", 5, 5, 10)]
