@@ -9,8 +9,10 @@ the index on nearby diagonals (places in the document minus places in the
 template) make a candidate region, and a banded local alignment of the region's
 words with the template's reports matched words and their span.
 
-A template shorter than that is fingerprinted by all its grams, or by all of its
-words where it has fewer than a gram, and so are the documents for such grams.
+A short template is fingerprinted by all its grams, and so are the documents for
+such grams; they are short enough that one survives as many changed or missing
+words as the coverage allows. A long one may lack a fingerprint where changes
+leave nowhere ``GRAM + WINNOW - 1`` words in a row.
 
 Defined results: a null or empty text has no matches; a document that holds a
 template more than once reports each place; rows with a null or repeated id are
@@ -102,7 +104,7 @@ class Index:
     by_size: dict[tuple[int, bool], tuple[np.ndarray, np.ndarray, np.ndarray]]
 
 
-def build_index(templates: dict[str, str]) -> Index:
+def build_index(templates: dict[str, str], min_coverage: float = MIN_COVERAGE) -> Index:
     names, texts = [], []
     rows: dict[tuple[int, bool], list[tuple[int, int, int]]] = {}
     for name, text in sorted(templates.items()):
@@ -112,10 +114,14 @@ def build_index(templates: dict[str, str]) -> Index:
             continue
         t = len(names)
         names.append(name), texts.append(words)
-        size = min(GRAM, max(1, (len(words) + 1) // 2))
-        hashes = grams(words, size)
         # Only a template as long as the guarantee needs is winnowed.
-        whole = size < GRAM or len(words) < 2 * (GRAM + WINNOW)
+        whole = len(words) < 2 * (GRAM + WINNOW)
+        # So many changes leave a run of this many words unchanged.
+        changes = 0
+        while len(words) - changes - 1 >= max(1, min_coverage * len(words)):
+            changes += 1
+        size = min(GRAM, max(1, (len(words) - changes) // (changes + 1))) if whole else GRAM
+        hashes = grams(words, size)
         places = np.arange(len(hashes)) if whole else winnow(hashes)
         rows.setdefault((size, whole), []).extend((int(hashes[p]), t, int(p)) for p in places)
     by_size = {}
@@ -253,7 +259,7 @@ def license_matches(
     min_coverage: float = MIN_COVERAGE,
 ) -> DataFrame:
     """One row for each place of a license: id, license, matched_words, template_words, start, end (code points)."""
-    index = build_index(templates)
+    index = build_index(templates, min_coverage)
     if sum(map(len, index.texts)) > MAX_TEMPLATE_WORDS:
         raise ValueError(f"templates of more than {MAX_TEMPLATE_WORDS} words are not held by tasks")
     texts = docs.select(id_col, text_col)

@@ -47,3 +47,14 @@ def test_adjacent_copies():
     assert got == [("mit", 4, 0, 5), ("mit", 5, 5, 10)]
     got = sorted(p for p in places("Released under the MIT thing. " + licenses.TEMPLATES["mit"]) if p[0] == "mit")
     assert got == [("mit", 4, 0, 4), ("mit", 5, 5, 10)]
+
+
+def test_short_notices_with_changed_words():
+    assert [p[:2] for p in places("x Released under MIT License x")] == [("mit", 4)]
+    for name, notice in licenses.TEMPLATES.items():
+        words = notice.replace(".", " ").replace("-", " ").replace(",", " ").split()
+        if len(words) < 16:
+            for k in range(1, len(words) - 1):
+                for middle in ([], ["other"]):
+                    got = places(" ".join(words[:k] + middle + words[k + 1 :]))
+                    assert (name, len(words) - 1) in [p[:2] for p in got], (name, k, middle)
