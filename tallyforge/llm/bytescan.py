@@ -5,23 +5,26 @@ offsets of the rows. Words are found and hashed with whole-array numpy
 operations, in slices of about ``SLICE`` bytes, so a task never holds more
 than a few dozen megabytes whatever the size of its partition.
 
-A word's hash is the polynomial ``sum(T[byte] * B**i)`` over a fixed random
-byte table, modulo 2**64, passed through a 64-bit finaliser. Two different
-words share a hash with a chance of about 2**-64.
+A word's hash takes its length and then its bytes, eight at a time, each step
+followed by a 64-bit finaliser; a word of more than ``LONG`` bytes is hashed
+whole by BLAKE2b. Neither step is linear, so no family of words that collide is
+known, and two different words share a hash with a chance of about 2**-64.
+Memory is a small multiple of a slice, or of the longest text where one is
+longer than a slice.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
 SLICE = 1 << 20
-BASE = 0x9E3779B97F4A7C15 | 1
-BASE_INVERSE = pow(BASE, -1, 1 << 64)
-
-_powers: list[np.ndarray] = []
+#: Bytes beyond which a word is hashed by itself.
+LONG = 128
+_STEP = np.uint64(0x9FB21C651E98DF25)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -34,30 +37,15 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _table(lower: bool) -> np.ndarray:
-    table = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03))
-    if lower:
-        table[65:91] = table[97:123]
-    return table
-
-
-_TABLES = {lower: _table(lower) for lower in (False, True)}
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+#: The first n bytes of a little-endian 64-bit number.
+_FIRST = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers of BASE and of its inverse, modulo 2**64."""
-    if not _powers or len(_powers[0]) < n:
-        size = max(n, SLICE + 1)
-        _powers[:] = [
-            np.concatenate(([np.uint64(1)], np.cumprod(np.full(size - 1, b, np.uint64), dtype=np.uint64)))
-            for b in (BASE, BASE_INVERSE)
-        ]
-    return _powers[0], _powers[1]
-
-
 def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string column; a null counts as an empty text."""
     if isinstance(column, pa.ChunkedArray):
@@ -102,12 +90,25 @@ def words(raw: np.ndarray, at: np.ndarray, space: np.ndarray = SPACE) -> tuple[n
 
 def hash_spans(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = True) -> np.ndarray:
     """The 64-bit hash of each byte span."""
-    up, down = powers(len(raw) + 1)
-    total = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum(_TABLES[lower][raw] * up[: len(raw)], out=total[1:])
-    return mix((total[ends] - total[starts]) * down[starts])
+    sizes = ends - starts
+    padded = np.zeros(len(raw) + 8, np.uint8)
+    padded[: len(raw)] = _LOWER[raw] if lower else raw
+    # Eight bytes from every place on, wherever it lies.
+    eight = np.ndarray((len(raw) + 1,), "<u8", padded, strides=(1,))
+    out = mix(sizes.astype(np.uint64) + _STEP)
+    own = np.flatnonzero((sizes > 0) & (sizes <= LONG))
+    at, left, state = starts[own], sizes[own], out[own]
+    while len(own):
+        state = mix(state * _STEP + (eight[at] & _FIRST[np.minimum(left, 8)]))
+        done = left <= 8
+        out[own[done]] = state[done]
+        own, at, left, state = own[~done], at[~done] + 8, left[~done] - 8, state[~done]
+    for i in np.flatnonzero(sizes > LONG):
+        digest = hashlib.blake2b(padded[starts[i] : ends[i]], digest_size=8).digest()
+        out[i] = np.frombuffer(digest, "<u8")[0]
+    return out
 
 
 def combine(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     """An order-aware hash of two hashes."""
-    return mix(left * np.uint64(0x9FB21C651E98DF25) + right)
+    return mix(left * _STEP + right)
