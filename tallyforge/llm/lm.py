@@ -16,7 +16,8 @@ words and one unseen word, like the base model. It starts as the base model
 
 Training. Truncated backpropagation in numpy. Tasks train copies of the model
 on their own training documents and Spark averages the copies by documents
-trained, for ``ROUNDS`` rounds. Every training document is read whole, its
+trained, for ``ROUNDS`` rounds (one: a second adds little and costs as much as
+the first). Every training document is read whole, its
 windows in order and the end token included: ``LANES`` documents go side by
 side, the state is carried from window to window, and a document that ends
 makes room for the next, which starts from a zero state. Each window has the
@@ -26,8 +27,11 @@ Scoring. Whole documents go through the network in batches of similar length;
 the state is carried from window to window, from the first word to the end.
 
 Defined results: a null or empty text is one end token; a null id belongs to
-the training part; repeated rows count and are scored each; an empty table
-gives no rows; other columns are ignored. Float sums may differ in the last
+the training part; ids may be of any type; repeated rows count and are scored
+each; words of equal count enter the vocabulary by their hash; a very long text
+is read whole, in windows, so only its words' hashes and symbols are held at
+once; an empty table gives no rows; other columns, whatever their names, are
+ignored. Float sums may differ in the last
 digits between runs, as tasks end in any order.
 """
 
@@ -51,9 +55,11 @@ VOCAB = 2046
 HIDDEN = 16
 WINDOW = 16
 #: Documents that a task trains on side by side.
-LANES = 64
-ROUNDS = 2
-RATE = 0.5
+LANES = 128
+ROUNDS = 1
+RATE = 0.75
+#: Symbols of documents that wait for a lane.
+POOL = 1 << 18
 #: Documents that go through the network side by side, and tokens from which a task picks documents of like length.
 BATCH = 512
 AT_ONCE = 1 << 21
@@ -98,7 +104,11 @@ def new_model(counts: np.ndarray, hidden: int, seed: int = 7) -> Model:
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-x))
+    """Written over x."""
+    np.negative(x, out=x)
+    np.exp(x, out=x)
+    x += 1
+    return np.reciprocal(x, out=x)
 
 
 def step(m: Model, h: np.ndarray, symbols: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -338,31 +348,60 @@ def _to_symbols(head: Head, tokens: Tokens, vocab: int) -> tuple[np.ndarray, np.
 
 
 def train_documents(m: Model, documents: Iterator[np.ndarray], window: int, rate: float, lanes: int = LANES) -> int:
-    """Trains on every window of every document's symbols, in order; returns the number of documents."""
-    held: list[np.ndarray] = []
-    at: list[int] = []
-    hidden = m.recur.shape[0]
-    h = np.zeros((0, hidden), np.float32)
+    """Trains on every window of every document's symbols, in order; returns the number of documents.
+
+    Waiting documents lie one after another in a pool. A lane is a place in the
+    pool, the end of its document, the symbol before the place and the state.
+    """
+    waiting = _pools(documents)
+    pool = np.zeros(0, np.int32)
+    at = stop = last = firsts = ends = np.zeros(0, np.int64)
+    h = np.zeros((0, m.recur.shape[0]), np.float32)
+    steps = np.arange(window)
     trained = 0
     while True:
-        while len(held) < lanes and (own := next(documents, None)) is not None:
-            held.append(own), at.append(0)
-            trained += 1
-        if not held:
+        while len(at) < lanes:
+            if not len(firsts):
+                if (more := next(waiting, None)) is None:
+                    break
+                # What the lanes still have to read moves to the new pool.
+                sizes = stop - at
+                kept = [pool[x:y] for x, y in zip(at, stop, strict=True)]
+                at = np.concatenate(([0], np.cumsum(sizes)))[:-1].astype(np.int64)
+                stop = at + sizes
+                bounds = int(sizes.sum()) + np.concatenate(([0], np.cumsum([len(x) for x in more]))).astype(np.int64)
+                pool = np.concatenate([*kept, *more])
+                firsts, ends = bounds[:-1], bounds[1:]
+            new = min(lanes - len(at), len(firsts))
+            at, stop = np.concatenate([at, firsts[:new]]), np.concatenate([stop, ends[:new]])
+            last = np.concatenate([last, np.zeros(new, np.int64)])
+            h = np.concatenate([h, np.zeros((new, h.shape[1]), np.float32)])
+            firsts, ends = firsts[new:], ends[new:]
+            trained += new
+        if not len(at):
             return trained
-        h = np.concatenate([h, np.zeros((len(held) - len(h), hidden), np.float32)])
-        prev = np.zeros((len(held), window), np.int64)
-        target = np.full((len(held), window), -1, np.int64)
-        for k, (own, low) in enumerate(zip(held, at, strict=True)):
-            part = own[low : low + window]
-            target[k, : len(part)] = part
-            prev[k, 1 : len(part)] = part[:-1]
-            if low:
-                prev[k, 0] = own[low - 1]
+        place = at + steps[:, None]
+        target = np.where(place < stop, pool[np.minimum(place, len(pool) - 1)], -1).astype(np.int64)
+        prev = np.concatenate([last[None], np.maximum(target[:-1], 0)])
         # A step over few documents moves the model by their share of a full one.
-        h = train_window(m, h, prev.T, target.T, rate * len(held) / lanes)
-        live = [k for k, (own, low) in enumerate(zip(held, at, strict=True)) if low + window < len(own)]
-        held, at, h = [held[k] for k in live], [at[k] + window for k in live], h[live]
+        h = train_window(m, h, prev, target, rate * len(at) / lanes)
+        live = np.flatnonzero(at + window < stop)
+        at, stop, last, h = at[live] + window, stop[live], target[-1, live], h[live]
+
+
+def _pools(documents: Iterator[np.ndarray]) -> Iterator[list[np.ndarray]]:
+    """Documents in lists of about ``POOL`` symbols; one without symbols has nothing to train on."""
+    held: list[np.ndarray] = []
+    size = 0
+    for own in documents:
+        if len(own):
+            held.append(own)
+            size += len(own)
+        if size >= POOL:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
 
 
 def _train(shared, head_shared, vocab: int, window: int, rate: float):
@@ -527,7 +566,8 @@ def lm_scores(
     """id, held_out, n_tokens, n_known, train_tokens, base_score, score for each row of docs."""
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession)
     context = spark.sparkContext
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    id_type = texts.schema["id"].dataType.simpleString()
     counts = scratch.save(
         texts.mapInArrow(_count, "word long, c long").groupBy("word").agg(F.sum("c").alias("c")), "counts"
     )
@@ -556,7 +596,7 @@ def lm_scores(
     scored = scratch.save(
         numbered.mapInArrow(
             _score(shared, head_shared, vocab),
-            "row long, id long, held_out boolean, n_tokens long, n_known long, base double, score double, tail array<long>",
+            f"row long, id {id_type}, held_out boolean, n_tokens long, n_known long, base double, score double, tail array<long>",
         ),
         "scored",
     )

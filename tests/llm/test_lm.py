@@ -51,6 +51,49 @@ def test_scores(spark):
     assert lm.lm_scores(docs.limit(0)).count() == 0
 
 
+def test_beats_the_base_on_held_out_text(spark):
+    """On the given documents the model's held-out score per token is better by a twentieth of a decade at least."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = [r for r in lm.lm_scores(docs).collect() if r.held_out]
+    tokens = sum(r.n_tokens for r in rows)
+    assert len(rows) > 50 and sum(r.score - r.base_score for r in rows) > 0.05 * tokens
+
+
+def test_ids_of_any_type_and_clashing_columns(spark):
+    rows = [(f"id-{d}", t, 1, 2, "x", 3.0) for d, t in make_rows()]
+    names = "doc_id string, text string, row int, c int, word string, tail double"
+    out = lm.lm_scores(spark.createDataFrame(rows, names), vocab=40).collect()
+    assert sorted(r.doc_id for r in out) == sorted(r[0] for r in rows)
+
+
+def test_scores_equal_a_plain_loop():
+    """Batches of windows give what one step after another gives, with the class and the word softmax written out."""
+    rng = np.random.default_rng(8)
+    m = lm.new_model(np.arange(1.0, 11), 4)
+    for part in (m.class_w, m.word_w, m.embed, m.recur, m.cand):
+        part += rng.normal(0, 0.7, part.shape).astype(np.float32)
+    size = m.word_b.shape[1]
+    texts = [rng.integers(0, 10, n) for n in (1, 2, 3, 40, 7, 33, 32, 31)]
+
+    def plain(text):
+        h, last, total = np.zeros(4), 0, 0.0
+        for symbol in text:
+            x = m.embed[last].astype(float)
+            z = 1 / (1 + np.exp(-(x[:4] + h @ m.recur[:, :4])))
+            r = 1 / (1 + np.exp(-(x[4:8] + h @ m.recur[:, 4:])))
+            c = np.tanh(x[8:] + (r * h) @ m.cand)
+            h = (1 - z) * h + z * c
+            a = h @ m.class_w + m.class_b
+            b = m.word_w[symbol // size] @ h + m.word_b[symbol // size]
+            total += a[symbol // size] - np.log(np.exp(a).sum()) + b[symbol % size] - np.log(np.exp(b).sum())
+            last = symbol
+        return total
+
+    bounds = np.concatenate(([0], np.cumsum([len(t) for t in texts])))
+    got = lm.document_scores(m, np.concatenate(texts), bounds, batch=3)
+    assert np.allclose(got, [plain(t) for t in texts], rtol=1e-4, atol=1e-3)
+
+
 def test_model_is_a_distribution():
     counts = np.array([5.0, 9, 8, 7, 3, 2, 11])
     m = lm.new_model(counts, 4)
