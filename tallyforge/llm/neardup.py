@@ -1,15 +1,15 @@
 """Near-duplicate groups by SuperMinHash (operator 5).
 
 1. Each text becomes the set of its distinct word shingles, as 64-bit hashes.
-   Texts with the same set are one class, found by a 128-bit fingerprint; only
-   one document of a class goes on.
+   Texts with the same set are one class, found by a 128-bit fingerprint; a
+   class is one node, and only one of its documents goes on.
 2. A SuperMinHash signature of 128 values per class. The elements give their
    ranks level by level; once every slot holds a value of an earlier level, no
    later one can lower it, so a long text needs one or two levels.
 3. Banding: classes that agree in 4 values of one of 32 bands share a bucket.
    Two sets of similarity 0.8 share none with a chance of about 5e-8.
 4. Verification, on full sets. Every member of a bucket is compared with the
-   bucket's first and last document: a number of pairs that grows with the
+   bucket's first and last class: a number of pairs that grows with the
    members, not with their square. Buckets of four or more whose members are
    not connected by then are finished in blocks: a task holds two blocks of a
    bucket, compares all pairs that no link connects yet, and returns links.
@@ -19,11 +19,17 @@
 
 No link between different sets is left out at any step: steps 1 and 4 are
 exact, step 3 up to its stated chance. Links and components stay distributed.
+Where a key can be hot (a bucket, a star's centre, a component, a class), the
+smaller side of the join is a written table, so that Spark's adaptive skew join
+splits the hot key over tasks; sums by such keys are partial first.
 
 Defined results: a null or empty text, or one without words, has no shingles
-and is its own component; rows with the same id count as one document; a null
-id has a null component and is kept; an empty table gives no rows; other
-columns are ignored.
+and is its own component; ids may be of any orderable type; rows that share an
+id are judged by their own texts, and a row's component is the smallest id in
+its text's component; a null id has a null component and is kept; of equal
+candidates the smallest id and then the smallest hash of the text represents a
+group; a very long text is hashed whole, its set is held by one task at a time;
+an empty table gives no rows; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -37,6 +43,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyforge.llm import bytescan
+from tallyforge.llm.columns import content_hash, without
 from tallyforge.llm.scratch import Scratch
 
 SLOTS, ROWS_PER_BAND = 128, 4
@@ -130,8 +137,7 @@ def _lists(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
 def _sign(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, texts = batch.column(0), batch.column(1)
-            for a, b, raw, at in bytescan.slices(texts):
+            for a, b, raw, at in bytescan.slices(batch.column(2)):
                 sets = list(shingle_hashes(raw, at, width))
                 sizes = np.array([len(s) for s in sets], np.int64)
                 prints = np.array([fingerprint(s) for s in sets], np.int64).reshape(-1, 2)
@@ -143,13 +149,14 @@ def _sign(width: int):
                     keys = band_keys(super_minhash(np.concatenate(sets), dense[owner], int(full.sum())))
                 yield pa.RecordBatch.from_arrays(
                     [
-                        ids.slice(a, b - a),
+                        batch.column(0).slice(a, b - a),
+                        batch.column(1).slice(a, b - a),
                         pa.array(sizes),
                         pa.array(prints[:, 0]),
                         pa.array(prints[:, 1]),
                         _lists(_signed(keys).ravel(), full * BANDS),
                     ],
-                    names=["id", "n", "f1", "f2", "bands"],
+                    names=["doc", "content", "n", "f1", "f2", "bands"],
                 )
 
     return run
@@ -202,31 +209,31 @@ def components(links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """(id, component): for each node of the links (a, b) the smallest node it reaches.
 
     Alternating large-star and small-star steps on links (u, v) with u > v,
-    until a round changes nothing; each round is written, so lineage stays short.
+    until a round changes no link; each round is written, so lineage stays short.
     """
     edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v")
-    edges = edges.mapInArrow(_forest, "u long, v long").distinct()
-    edges = scratch.save(edges, f"{name}-0")
-    before, turn = None, 0
+    edges = scratch.save(edges.mapInArrow(_forest, "u long, v long").distinct(), f"{name}-0")
+    turn = 0
     while True:
+        turn += 1
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        low = scratch.save(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), f"{name}-low-{turn}")
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u")
         small = (
-            small.select(F.col("v").alias("u"), F.col("m").alias("v"))
+            large.join(low, "u")
+            .select(F.col("v").alias("u"), F.col("m").alias("v"))
             .where("u <> v")
             .unionByName(low.select("u", F.col("m").alias("v")))
             .distinct()
         )
-        turn += 1
-        edges = scratch.save(small, f"{name}-{turn}")
-        state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1_000_003)).first()
-        scratch.drop(f"{name}-{turn - 1}")
-        if state == before:
+        small = scratch.save(small, f"{name}-{turn}")
+        # Both are sets of links, so nothing changed if none is new and none is gone.
+        same = small.count() == edges.count() and small.join(edges, ["u", "v"], "left_anti").isEmpty()
+        scratch.drop(f"{name}-{turn - 1}", f"{name}-low-{turn}")
+        edges = small
+        if same:
             return edges.select(F.col("u").alias("id"), F.col("v").alias("component"))
-        before = state
 
 
 def _similar(a: list[np.ndarray], b: list[np.ndarray], threshold: int) -> np.ndarray:
@@ -294,34 +301,38 @@ def _finish(threshold: int):
     return run
 
 
-def near_duplicates(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, threshold: int = 80
-) -> DataFrame:
-    """id, n_shingles, component_id, kept for each row of docs; threshold in percent of the union."""
-    spark, scratch = docs.sparkSession, Scratch(docs.sparkSession)
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+def _judged(docs: DataFrame, id_col: str, text_col: str, width: int, threshold: int, scratch: Scratch) -> DataFrame:
+    """For each row of docs its id, content hash, set size, component (smallest id) and whether it represents it."""
+    content = F.xxhash64(F.col(text_col))
+    texts = docs.select(F.col(id_col).alias("doc"), content.alias("content"), F.col(text_col).alias("text"))
+    kind = texts.schema["doc"].dataType.simpleString()
     signed = scratch.save(
-        texts.mapInArrow(_sign(width), "id long, n long, f1 long, f2 long, bands array<long>"), "signed"
+        texts.mapInArrow(_sign(width), f"doc {kind}, content long, n long, f1 long, f2 long, bands array<long>"), "signed"
     )
     classes = (
-        signed.where("n > 0 AND id IS NOT NULL")
+        signed.where("n > 0 AND doc IS NOT NULL")
         .groupBy("f1", "f2", "n")
-        .agg(F.min(F.struct("id", "bands")).alias("x"))
-        .select("f1", "f2", "n", F.col("x.id").alias("rep"), F.col("x.bands").alias("bands"))
+        .agg(F.min(F.struct("doc", "content", "bands")).alias("x"))
+        .select(
+            F.monotonically_increasing_id().alias("id"), "f1", "f2", "n",
+            F.struct("x.doc", "x.content").alias("rep"), F.col("x.bands").alias("bands"),
+        )
     )
+    # Numbers are fixed by writing them.
     classes = scratch.save(classes, "classes")
-    placed = classes.select(F.explode("bands").alias("key"), F.col("rep").alias("id"))
+    placed = classes.select(F.explode("bands").alias("key"), "id")
     buckets = placed.groupBy("key").agg(
         F.count("*").alias("n"), F.min("id").alias("low"), F.max("id").alias("high")
     ).where("n > 1 AND low <> high")
-    members = scratch.save(placed.join(buckets, "key"), "members")
+    members = scratch.save(placed.join(scratch.save(buckets, "buckets"), "key"), "members")
     pivots = (
         members.select("id", F.explode(F.array("low", "high")).alias("pivot")).where("id <> pivot")
         .select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
     )
-    # Sets are made again only for documents that share a bucket.
-    wanted = members.select("id").distinct()
-    sets = scratch.save(texts.join(wanted, "id", "left_semi").mapInArrow(_sets(width), "id long, set array<long>"), "sets")
+    # Sets are made again only for one text of each class that shares a bucket.
+    wanted = members.select("id").distinct().join(classes.select("id", "rep.doc", "rep.content"), "id")
+    once = texts.join(wanted, ["doc", "content"]).groupBy("doc", "content", "id").agg(F.first("text").alias("text"))
+    sets = scratch.save(once.select("id", "text").mapInArrow(_sets(width), "id long, set array<long>"), "sets")
     both = (
         pivots.join(sets.select(F.col("id").alias("a"), F.col("set").alias("sa")), "a")
         .join(sets.select(F.col("id").alias("b"), F.col("set").alias("sb")), "b")
@@ -331,22 +342,37 @@ def near_duplicates(
         both.where(100 * F.col("c") >= threshold * (F.col("na") + F.col("nb") - F.col("c"))).select("a", "b"), "links"
     )
     found = components(links, scratch, "first")
-    more = _unfinished(members, found, sets, threshold)
-    more = scratch.save(more, "more")
-    links = links.unionByName(more)
-    found = components(links, scratch, "all")
-    answer = classes.select("f1", "f2", "n", "rep").join(found.withColumnRenamed("id", "rep"), "rep", "left")
-    answer = answer.select("f1", "f2", "n", F.coalesce("component", "rep").alias("component"))
-    component = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
-    return signed.select("id", "n", "f1", "f2").join(answer, ["f1", "f2", "n"], "left").select(
-        F.col("id").alias(id_col),
+    more = scratch.save(_unfinished(members, found, sets, threshold, scratch), "more")
+    found = components(links.unionByName(more), scratch, "all")
+    scratch.drop("sets", "members", "buckets")
+    found = classes.select("id", "f1", "f2", "n", "rep").join(found, "id", "left")
+    found = found.select("f1", "f2", "n", "rep", F.coalesce("component", "id").alias("component"))
+    first = scratch.save(found.groupBy("component").agg(F.min("rep").alias("first")), "representatives")
+    answer = scratch.save(found.join(first, "component").select("f1", "f2", "n", "first"), "answer")
+    judged = signed.select("doc", "content", "n", "f1", "f2").join(answer, ["f1", "f2", "n"], "left")
+    own = F.struct("doc", "content")
+    # A null id, or a text without shingles, is in no class.
+    judged = judged.select(
+        "doc", "content", "n",
+        F.when(F.col("doc").isNotNull(), F.coalesce("first.doc", "doc")).alias("component"),
+        (F.col("first").isNull() | F.col("doc").isNull() | (F.col("first") == own)).alias("represents"),
+    )
+    return judged
+
+
+def near_duplicates(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, threshold: int = 80
+) -> DataFrame:
+    """id, n_shingles, component_id, kept for each row of docs; threshold in percent of the union."""
+    return _judged(docs, id_col, text_col, width, threshold, Scratch(docs.sparkSession)).select(
+        F.col("doc").alias(id_col),
         F.col("n").alias("n_shingles"),
-        component.alias("component_id"),
-        F.col("id").eqNullSafe(component).alias("kept"),
+        F.col("component").alias("component_id"),
+        F.col("doc").eqNullSafe(F.col("component")).alias("kept"),
     )
 
 
-def _unfinished(members: DataFrame, found: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
+def _unfinished(members: DataFrame, found: DataFrame, sets: DataFrame, threshold: int, scratch: Scratch) -> DataFrame:
     """Links between components in buckets of four or more, from all pairs not yet connected.
 
     A bucket's rows are dealt into blocks. Rows outside the bucket's first
@@ -358,6 +384,7 @@ def _unfinished(members: DataFrame, found: DataFrame, sets: DataFrame, threshold
         members.where("n > 3").join(found, "id", "left")
         .select("key", "id", F.coalesce("component", "id").alias("component"), "low")
     )
+    labelled = scratch.save(labelled, "labelled")
     # The first document's component stands for the bucket; it needs no look-up by key twice.
     mixed = labelled.groupBy("key").agg(
         F.min("component").alias("c0"),
@@ -365,9 +392,10 @@ def _unfinished(members: DataFrame, found: DataFrame, sets: DataFrame, threshold
         F.max(F.when(F.col("id") == F.col("low"), F.col("component"))).alias("main"),
         F.count("*").alias("n"),
     ).where("c0 <> c1").select("key", "main", "n")
-    rows = labelled.drop("low").join(mixed, "key")
+    mixed = scratch.save(mixed, "mixed")
+    rows = scratch.save(labelled.drop("low").join(mixed, "key"), "mixed-rows")
     others = rows.groupBy("key").agg(F.count_if(F.col("component") != F.col("main")).alias("n_out"))
-    rows = rows.join(others, "key").select(
+    rows = rows.join(scratch.save(others, "mixed-outside"), "key").select(
         "key", "id", "component",
         (F.col("component") != F.col("main")).alias("out"),
         F.ceil(F.col("n_out") / BLOCK).cast("int").alias("k_out"),
@@ -406,10 +434,25 @@ def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_one_each(docs: DataFrame, width: int = CONTRACT_WIDTH, threshold: int = 80) -> DataFrame:
-    """One document of each near-duplicate group, with its columns; rows of the same id stay together."""
-    judged = near_duplicates(docs, width=width, threshold=threshold)
-    gone = judged.where("NOT kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    """One document of each near-duplicate group, with its columns: the pipeline's second stage.
+
+    Rows are told apart by id and content, so of rows that share an id only
+    those go whose own text has a representative elsewhere. Of rows equal in id
+    and text one stays, whatever its other columns. Rows without words or with
+    a null id stay; null, empty and very long texts and clashing columns are as
+    in the operator.
+    """
+    scratch = Scratch(docs.sparkSession)
+    judged = scratch.save(_judged(docs, "doc_id", "text", width, threshold, scratch), "judged")
+    gone = judged.where("NOT represents").select(F.col("doc").alias("doc_id"), F.col("content").alias("content_hash"))
+    stay = without(docs, gone, "doc_id", content_hash("text"))
+    repeated = judged.where("represents AND n > 0 AND doc IS NOT NULL").groupBy("doc", "content").count()
+    repeated = scratch.save(repeated.where("count > 1").select(F.col("doc").alias("_doc"), F.col("content").alias("_hash")), "repeated")
+    if repeated.isEmpty():
+        return stay
+    same = (stay["doc_id"] == repeated["_doc"]) & (content_hash("text") == repeated["_hash"])
+    once = stay.join(repeated, same, "left_semi").dropDuplicates(["doc_id", "text"])
+    return stay.join(repeated, same, "left_anti").unionByName(once)
 
 
 OP5_SQL = r"""

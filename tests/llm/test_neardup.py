@@ -63,12 +63,50 @@ def test_defined_cases(spark):
     out = neardup.near_duplicates(docs, width=2).collect()
     assert len(out) == len(rows)
     by = {r.doc_id: r for r in out}
-    assert by[None].component_id is None or by[None].component_id == 2
+    assert by[None].component_id is None and by[None].kept
     assert by[1].component_id == 1 and by[1].n_shingles == 0 and by[4].n_shingles == 1
     assert neardup.near_duplicates(docs.limit(0), width=2).count() == 0
     assert neardup.keep_one_each(docs).columns == docs.columns
 
 
+def test_rows_that_share_an_id_are_judged_by_their_texts(spark):
+    rows = [(1, "a b c d"), (2, "a b c d"), (2, "x y z w"), (3, "x y z w"), (5, "p q r"), (5, "p q r"), (None, "a b c d"), (6, ""), (6, None)]
+    docs = spark.createDataFrame([(d, t, k, 0, 0) for k, (d, t) in enumerate(rows)], "doc_id long, text string, represents int, content int, n int")
+    out = [(r.doc_id, r.component_id, r.kept) for r in neardup.near_duplicates(docs, width=2).collect()]
+    want = [(1, 1, True), (2, 1, False), (2, 2, True), (3, 2, False), (5, 5, True), (5, 5, True), (None, None, True), (6, 6, True), (6, 6, True)]
+    assert sorted(out, key=str) == sorted(want, key=str)
+    stay = neardup.keep_one_each(docs)
+    assert stay.columns == docs.columns
+    want = [(1, "a b c d"), (2, "x y z w"), (5, "p q r"), (None, "a b c d"), (6, ""), (6, None)]
+    assert sorted([(r.doc_id, r.text) for r in stay.collect()], key=str) == sorted(want, key=str)
+
+
+def test_string_ids_and_a_hot_bucket(spark, monkeypatch):
+    """One large group of near copies and one of exact copies, with ids that are no numbers."""
+    monkeypatch.setattr(neardup, "BLOCK", 16)
+    rng = random.Random(9)
+    words = [f"w{i}" for i in range(300)]
+    rows = [(f"n{d:04}", t) for d, t in family(rng, words, 150, 0, 5)] + [(f"e{d:04}", "same text here again") for d in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id string, text string")
+    out = neardup.near_duplicates(docs, width=2).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in out) == brute(rows, 2)
+
+
+def test_words_do_not_collide_by_construction():
+    """Words that exchange two letters by the Thue-Morse sequence defeat every polynomial hash modulo 2**64."""
+    x, y = "a", "b"
+    for _ in range(11):
+        x, y = x + y, y + x
+    for n in (64, 128, 2048):
+        raw = np.frombuffer(f"{x[:n]} {y[:n]}".encode(), np.uint8)
+        assert len(set(bytescan.hash_spans(raw, np.array([0, n + 1]), np.array([n, 2 * n + 1])).tolist())) == 2
+    short = np.frombuffer("aAbaabaaab\0".encode(), np.uint8)
+    places = [(i, j) for i in range(11) for j in range(i, 12)]
+    hashes = bytescan.hash_spans(short, np.array([i for i, _ in places]), np.array([j for _, j in places]))
+    texts = [bytes(short[i:j]).lower() for i, j in places]
+    assert len(set(hashes.tolist())) == len(set(texts))
+
+
 def test_signatures_estimate_similarity():
     rng = np.random.default_rng(4)
     errors = []
