@@ -320,11 +320,12 @@ def _judged(docs: DataFrame, id_col: str, text_col: str, width: int, threshold:
     )
     # Numbers are fixed by writing them.
     classes = scratch.save(classes, "classes")
-    placed = classes.select(F.explode("bands").alias("key"), "id")
+    placed = classes.select(F.explode("bands").alias("key"), "id", "rep.doc")
+    # Copies mostly follow their original, so the smallest id is close to most of a bucket.
     buckets = placed.groupBy("key").agg(
-        F.count("*").alias("n"), F.min("id").alias("low"), F.max("id").alias("high")
-    ).where("n > 1 AND low <> high")
-    members = scratch.save(placed.join(scratch.save(buckets, "buckets"), "key"), "members")
+        F.count("*").alias("n"), F.min_by("id", "doc").alias("low"), F.max_by("id", "doc").alias("high")
+    ).where("n > 1")
+    members = scratch.save(placed.drop("doc").join(scratch.save(buckets, "buckets"), "key"), "members")
     pivots = (
         members.select("id", F.explode(F.array("low", "high")).alias("pivot")).where("id <> pivot")
         .select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
