@@ -7,11 +7,16 @@ support threshold is absent, which is not the same as zero.
 
 from __future__ import annotations
 
+import hashlib
+import json
+import os
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tallyforge.functions.semantics import ratio
+from tallyforge.functions.semantics import age_band, ratio
 
 MINIMUM_SUPPORT = 200
 
@@ -96,16 +101,94 @@ def dimension_lists(portfolio: DataFrame, cohorts: DataFrame) -> DataFrame:
     return d.unionByName(f).unionByName(y)
 
 
-def yoy_change(filings: DataFrame) -> DataFrame:
-    """Change from the last published year before, by district and family; rolled-up nulls are groups of their own."""
-    before = W.partitionBy("district_code", "nature_family").orderBy("filing_year")
-    rows = filings.select(
-        "district_code", "nature_family", "filing_year", "cohort_records",
-        F.lag("filing_year").over(before).alias("previous_year"),
-        F.lag("cohort_records").over(before).alias("previous_records"),
+def yoy_change(filings: DataFrame, snapshot_year: int) -> DataFrame:
+    """Change between the last two published complete years, by district and family.
+
+    Years from the snapshot's own on are unfinished. A slice with one year, or
+    whose earlier year has no records, has no row; rolled-up nulls are slices of
+    their own. The two years need not follow each other.
+    """
+    slices = ["district_code", "nature_family"]
+    year = F.struct(F.col("filing_year").alias("year"), F.col("cohort_records").alias("records"))
+    # A slice has a row for each published year, so its years are few.
+    last = filings.where(F.col("filing_year") < snapshot_year).groupBy(*slices).agg(
+        F.slice(F.sort_array(F.collect_list(year), asc=False), 1, 2).alias("y")
+    )
+    last = last.where(F.size("y") == 2).select(
+        *slices,
+        F.col("y")[0]["year"].alias("current_year"), F.col("y")[1]["year"].alias("previous_year"),
+        F.col("y")[0]["records"].alias("current_records"), F.col("y")[1]["records"].alias("previous_records"),
+    )
+    change = ratio(F.col("current_records") - F.col("previous_records"), F.col("previous_records"))
+    return last.where("previous_records <> 0").withColumn("relative_change", change)
+
+
+def published_pending_age(pending_ages: DataFrame) -> DataFrame:
+    """Average pending age over the published bands of each district and family, weighted by their records."""
+    n = F.sum("pending_records")
+    return pending_ages.groupBy("district_code", "nature_family").agg(
+        n.alias("pending_records"),
+        F.sum("matched_pending_records").alias("matched_pending_records"),
+        (F.sum(F.col("average_age_days") * F.col("pending_records")) / F.greatest(F.lit(1), n)).alias("weighted_age_days"),
+        F.max(F.when(F.col("age_band") == "5_years_or_more", F.col("pending_records"))).alias("oldest_band_records"),
+    )
+
+
+def family_totals(cells: DataFrame) -> DataFrame:
+    """Published families of all districts with their share of the published total; one window over a row a family."""
+    rows = cells.where("district_code IS NULL AND nature_family IS NOT NULL").select("nature_family", "total_records")
+    total = F.sum("total_records").over(W.partitionBy(F.lit(0)))
+    return rows.withColumn("share", ratio(F.col("total_records"), F.greatest(F.lit(1), total)))
+
+
+def marts_from_public(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(portfolio, cohorts, inventory, durations) made again from public rows, which hold months instead of days."""
+    rows = rows.withColumnRenamed("nature_of_suit_family", "nature_family")
+    place = ["district_code", "nature_family"]
+    pending, matched = F.col("pending_status"), F.col("recap_match_available")
+    portfolio = rows.groupBy(*place).agg(
+        F.count("*").alias("total_records"),
+        F.count_if(F.col("identity_quality_status") == "canonical").alias("collision_free_records"),
+        F.count_if(pending).alias("pending_records"),
+        F.count_if("event_observed").alias("terminated_records"),
+        F.count_if(matched).alias("matched_records"),
+        F.count_if(F.col("nature_of_suit_mapping_status") == "supported").alias("supported_nature_records"),
+    )
+    cohorts = rows.groupBy(F.year("filed_month").cast("long").alias("filing_year"), *place).agg(
+        F.count("*").alias("cohort_records"),
+        F.count_if("event_observed").alias("observed_terminations"),
+        F.count_if(pending).alias("pending_records"),
+        F.count_if(matched).alias("matched_records"),
+        F.sum("duration_days").cast("long").alias("followup_days"),
+    )
+    inventory = rows.where(pending).groupBy(*place, age_band(F.col("duration_days")).alias("age_band")).agg(
+        F.count("*").alias("pending_records"),
+        F.count_if(matched).alias("matched_pending_records"),
+        F.avg("duration_days").alias("average_age_days"),
+    )
+    durations = rows.groupBy(*place, "jurisdiction_code", "origin_code", "procedural_cohort").agg(
+        F.count("*").alias("support_count"),
+        F.count_if("event_observed").alias("observed_terminations"),
+        F.count_if(pending).alias("censored_records"),
+        F.avg(F.when(F.col("event_observed"), F.col("duration_days"))).alias("average_observed_duration_days"),
     )
-    change = ratio(F.col("cohort_records") - F.col("previous_records"), F.col("previous_records"))
-    return rows.where("previous_year IS NOT NULL").withColumn("relative_change", change)
+    return portfolio, cohorts, inventory, durations
+
+
+def cube_json(cells: dict[str, DataFrame], path: str) -> str:
+    """Published cells as canonical JSON, put in place by a rename; returns its digest.
+
+    The cube has at most as many rows as dimensions have values, so it passes through the driver.
+    """
+    body = {}
+    for name, df in sorted(cells.items()):
+        rows = [r.asDict() for r in df.collect()]
+        body[name] = sorted(rows, key=lambda r: json.dumps(r, sort_keys=True, default=str))
+    text = json.dumps(body, sort_keys=True, separators=(",", ":"), allow_nan=False, default=str).encode()
+    staged = Path(f"{path}.staged")
+    staged.write_bytes(text)
+    os.replace(staged, path)
+    return hashlib.sha256(text).hexdigest()
 
 
 def ranking(cells: DataFrame, by: str, other: str, measure: str = "pending_records") -> DataFrame:

@@ -187,3 +187,64 @@ def standard_registry(minimum_support: int = 200) -> Registry:
         "pending_age": Context("pending_age", (*every, "age_band"), ("pending_records", "matched_records", "average_age_days"), True, minimum_support),
     }
     return Registry(dims, measures, contexts)
+
+
+def compiled(registry: Registry) -> dict:
+    """The registry as plain data, in a fixed order: what a client may ask for."""
+    return {
+        "contexts": [
+            {"id": c.name, "dimensions": sorted(c.dimensions), "measures": sorted(c.measures), "pending_only": c.pending_only, "minimum_support": c.minimum_support}
+            for _, c in sorted(registry.contexts.items())
+        ],
+        "dimensions": [{"id": d.name, "type": d.type, "derived": d.name in DERIVED} for _, d in sorted(registry.dimensions.items())],
+        "measures": [{"id": m.name, "numerator": m.numerator, "denominator": m.denominator} for _, m in sorted(registry.measures.items())],
+        "limits": {"rows": MAX_ROWS, "values_in_filter": MAX_IN},
+    }
+
+
+def as_markdown(registry: Registry) -> str:
+    """The registry's measures and contexts as two tables."""
+    body = compiled(registry)
+    lines = ["| Measure | Made of |", "| - | - |"]
+    lines += [f"| {m['id']} | {m['numerator']}{' / ' + m['denominator'] if m['denominator'] else ''} |" for m in body["measures"]]
+    lines += ["", "| Context | Measures | Support |", "| - | - | - |"]
+    lines += [f"| {c['id']} | {', '.join(c['measures'])} | {c['minimum_support']} |" for c in body["contexts"]]
+    return "\n".join(lines) + "\n"
+
+
+def reconcile(registry: Registry, rows: DataFrame, context: str, groupings: list[list[str]], measures: list[str], cube: DataFrame) -> DataFrame:
+    """(grouping, slices, missing_slices, extra_slices, comparisons, max_abs_difference) of answers against a cube.
+
+    ``cube`` has the dimensions' and measures' names, and null for a rolled-up
+    dimension. Answers and cube are joined null-safely, so a slice that only one
+    side has is counted.
+    """
+    every = sorted({d for g in groupings for d in g})
+    out: DataFrame | None = None
+    for grouping in groupings:
+        asked = registry.query(rows, context, measures, grouping)
+        rest = [d for d in every if d not in grouping]
+        own = cube
+        for d in grouping:
+            own = own.where(F.col(d).isNotNull())
+        for d in rest:
+            own = own.where(F.col(d).isNull())
+        own = own.select(*[F.col(d).alias(f"_{d}") for d in grouping], *[F.col(m).alias(f"_{m}") for m in measures], F.lit(1).alias("_in"))
+        # The total of all rows is one slice; it is joined by a key of its own.
+        own, asked = own.withColumn("_all", F.lit(0)), asked.withColumns({"_asked": F.lit(1), "_total": F.lit(0)})
+        condition = asked["_total"] == own["_all"]
+        for d in grouping:
+            condition = condition & asked[d].eqNullSafe(own[f"_{d}"])
+        both = F.col("_asked").isNotNull() & F.col("_in").isNotNull()
+        gaps = [F.abs(F.col(m).cast("double") - F.col(f"_{m}").cast("double")) for m in measures]
+        worst = F.greatest(*gaps) if len(gaps) > 1 else gaps[0]
+        one = asked.join(own, condition, "full").agg(
+            F.count_if(F.col("_asked").isNotNull()).alias("slices"),
+            F.count_if(F.col("_asked").isNull()).alias("missing_slices"),
+            F.count_if(F.col("_in").isNull()).alias("extra_slices"),
+            (F.count_if(both) * len(measures)).alias("comparisons"),
+            F.coalesce(F.max(F.when(both, worst)), F.lit(0.0)).alias("max_abs_difference"),
+        )
+        one = one.select(F.lit(",".join(grouping)).alias("grouping"), "*")
+        out = one if out is None else out.unionByName(one)
+    return out

@@ -94,3 +94,65 @@ def assertions(facts: DataFrame, portfolio: DataFrame, filing: DataFrame, invent
             )
         )
     return out.select("assertion", F.col("failures").cast("long").alias("failures"))
+
+
+#: What the bridge from the complete snapshot to the product's scope must show, and the number of districts (fixed values).
+SCOPE_BRIDGE = {"filed": 0, "terminated": 61, "pending": 4896}
+DISTRICTS = 94
+
+
+def source_assertions(
+    source: DataFrame,
+    staged: DataFrame,
+    records: DataFrame,
+    cases: DataFrame,
+    exceptions: DataFrame,
+    districts: DataFrame,
+    tie_out: DataFrame,
+    bridge: DataFrame,
+    n_districts: int = DISTRICTS,
+    expected_bridge: dict[str, int] = SCOPE_BRIDGE,
+) -> DataFrame:
+    """(assertion, failures): tests over more than one relation; every count must be zero."""
+
+    def total(df: DataFrame, sign: int) -> DataFrame:
+        return df.agg((F.count("*") * sign).alias("n"))
+
+    def balanced(name: str, *parts: DataFrame) -> DataFrame:
+        both = parts[0]
+        for p in parts[1:]:
+            both = both.unionByName(p)
+        return both.agg(F.abs(F.sum("n")).alias("failures")).select(F.lit(name).alias("assertion"), "failures")
+
+    expected = F.coalesce(*[F.when(F.col("measure") == m, F.lit(v)) for m, v in expected_bridge.items()], F.lit(0))
+    blocked = F.col("required_for_gate") & ~F.coalesce(F.col("passed"), F.lit(False))
+    return (
+        balanced("staging_source_reconciliation", total(source, 1), total(staged, -1))
+        .unionByName(balanced("case_exception_partition", total(records, 1), total(cases, -1), total(exceptions, -1)))
+        .unionByName(
+            districts.agg(F.abs(F.count("*") - n_districts).alias("failures")).select(F.lit("district_count").alias("assertion"), "failures")
+        )
+        .unionByName(tie_out.agg(F.count_if(blocked).alias("failures")).select(F.lit("required_tie_out_passes").alias("assertion"), "failures"))
+        .unionByName(
+            bridge.agg(F.count_if(~F.col("excluded_or_quarantined_records").eqNullSafe(expected)).alias("failures")).select(
+                F.lit("scope_bridge").alias("assertion"), "failures"
+            )
+        )
+    )
+
+
+def orphans(rows: DataFrame, column: str, parents: DataFrame, key: str) -> DataFrame:
+    """(failures): non-null references that no parent row has."""
+    known = parents.select(F.col(key).alias("_key")).distinct()
+    lost = rows.where(F.col(column).isNotNull()).join(known, F.col(column) == F.col("_key"), "left_anti")
+    return lost.agg(F.count("*").alias("failures"))
+
+
+def district_benchmark(rows: DataFrame, district: str) -> DataFrame:
+    """A district's records, pending records and mean duration, overall (a null family) and by family."""
+    own = rows.where(F.col("district_code") == district)
+    return own.groupingSets([["nature_of_suit_family"], []], "nature_of_suit_family").agg(
+        F.count("*").alias("statistical_records"),
+        F.count_if("pending_status").alias("pending_records"),
+        F.avg("duration_days").alias("mean_duration_days"),
+    )

@@ -70,33 +70,48 @@ def support_routes(cases: DataFrame, minimum: int) -> DataFrame:
 def routed_probability(train: DataFrame, cases: DataFrame, times: list[int], minimum: int) -> DataFrame:
     """1 - S of each case's route at each time; null where the route abstains.
 
-    Curves have a row for each key of a level. Each level joins once; the first
-    with enough support gives the value.
+    One table of exact counts by the finest key and day is made from the
+    training cases; every level's curve is rolled up from it. Curves have a row
+    for each key of a level. Each level joins once; the first with enough
+    support gives the value.
     """
-    train = train.where(F.col("nature_family") != UNSUPPORTED)
-    out = cases
+    exact = sufficient_counts(train.where(F.col("nature_family") != UNSUPPORTED), KEYS)
+    out = cases.withColumn("_all", F.lit(0))
     values: dict[int, list[Column]] = {t: [] for t in times}
     names: list[Column] = []
-    for name, keys in LEVELS[:-1]:
-        c = km_curves(train, times, keys).where(F.col("support") >= minimum)
-        c = c.select(*[F.col(k).alias(f"_{name}_{k}") for k in keys], *[F.col(f"s_{t}").alias(f"_{name}_{t}") for t in times])
-        same = [out[k].eqNullSafe(c[f"_{name}_{k}"]) for k in keys]
-        condition = same[0]
-        for s in same[1:]:
-            condition = condition & s
+    for name, keys in LEVELS:
+        counts = exact.groupBy(*keys, "duration_days").agg(F.sum("n").alias("n"), F.sum("d").alias("d"))
+        c = at_times(curve(counts, keys), keys, times).where(F.col("support") >= (minimum if keys else 1))
+        marked = [F.col(f"s_{t}").alias(f"_{name}_{t}") for t in times]
+        if keys:
+            c = c.select(*[F.col(k).alias(f"_{name}_{k}") for k in keys], *marked)
+            condition = out[keys[0]].eqNullSafe(c[f"_{name}_{keys[0]}"])
+            for k in keys[1:]:
+                condition = condition & out[k].eqNullSafe(c[f"_{name}_{k}"])
+        else:  # one row
+            c = F.broadcast(c.select(F.lit(0).alias("_one"), *marked))
+            condition = F.col("_all") == F.col("_one")
         out = out.join(c, condition, "left")
         names.append(F.when(F.col(f"_{name}_{times[0]}").isNotNull(), name))
         for t in times:
             values[t].append(1 - F.col(f"_{name}_{t}"))
-    whole = km_curves(train, times, []).first()  # one row
     known = F.col("nature_family") != UNSUPPORTED
     columns = {"route": F.when(known, F.coalesce(*names, F.lit("global"))).otherwise("abstain")}
     for t in times:
-        s = whole[f"s_{t}"] if whole["support"] else None
-        columns[f"p_{t}"] = F.when(known, F.coalesce(*values[t], F.lit(None if s is None else 1 - s)))
+        columns[f"p_{t}"] = F.when(known, F.coalesce(*values[t]))
     return out.withColumns(columns).select(*cases.columns, *columns)
 
 
+def route_summary(cases: DataFrame, minimum: int, horizon: int = 365) -> DataFrame:
+    """Cases, resolutions within the horizon and their rate by the route that each case's group gets."""
+    routes = support_routes(cases, minimum).drop("n")
+    groups = cases.groupBy(*KEYS).agg(F.count("*").alias("cases"), F.sum(outcome(horizon)).cast("long").alias("resolved"))
+    same = [groups[k].eqNullSafe(routes[k]) for k in KEYS]
+    joined = groups.join(routes, same[0] & same[1] & same[2] & same[3])
+    out = joined.groupBy("route").agg(F.sum("cases").alias("cases"), F.sum("resolved").alias("resolved"))
+    return out.withColumn("rate", F.col("resolved") / F.col("cases"))
+
+
 def outcome(t: int) -> Column:
     return (F.col("event_observed") & (F.col("duration_days") <= t)).cast("double")
 
@@ -141,26 +156,6 @@ def complete_outcomes(cases: DataFrame, horizon: int) -> DataFrame:
     return cases
 
 
-def bootstrap_interval(values: DataFrame, column: str, replicates: int = 400, seed: int = 20260331) -> tuple[float, float, float]:
-    """(mean, 2.5 %, 97.5 %) of resampled means.
-
-    Each row draws a Poisson(1) weight for each replicate, from a hash of the
-    row and the replicate, so replicates are sums that Spark adds up: no row is
-    collected, and the draws do not depend on the partitions.
-    """
-    grid = F.sequence(F.lit(1), F.lit(replicates))
-    u = lambda b: (F.pmod(F.xxhash64("_row", b, F.lit(seed)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
-    steps = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.9999167588507119]
-    weight = lambda x: sum([F.when(x > s, 1).otherwise(0) for s in steps], F.lit(0))
-    rows = values.where(F.col(column).isNotNull()).select(F.xxhash64(*values.columns).alias("_h"), F.col(column).alias("_v"))
-    rows = rows.withColumn("_row", F.struct("_h", F.row_number().over(W.partitionBy("_h").orderBy("_v"))))
-    drawn = rows.select("_v", F.posexplode(F.transform(grid, lambda b: weight(u(b)))).alias("b", "w")).where("w > 0")
-    means = drawn.groupBy("b").agg((F.sum(F.col("_v") * F.col("w")) / F.sum("w")).alias("m"))
-    found = means.agg(F.expr("percentile(m, array(0.025, 0.975))").alias("q")).first()["q"]
-    mean = rows.agg(F.avg("_v").alias("m")).first()["m"]
-    return mean, found[0], found[1]
-
-
 def resolution_clusters(cases: DataFrame, start: str, end: str, horizon: int) -> DataFrame:
     """Cases and resolutions within the horizon by filing month, district, family and origin."""
     inside = F.col("filed_date").between(F.lit(start).cast("date"), F.lit(end).cast("date"))

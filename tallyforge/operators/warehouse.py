@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tallyforge.contracts import FACT, conform
@@ -31,13 +30,17 @@ def record_semantics(records: DataFrame) -> DataFrame:
 
 
 def identity_quality(records: DataFrame) -> DataFrame:
-    """How many records share a natural key. One window instead of a count and a join: one shuffle.
+    """How many records share a natural key.
 
-    Natural keys are nearly unique, so no task gets a large group; a key that
-    very many records share would be sorted, with spill, in one task.
+    Keys are counted by partial sums and only those with more than one record
+    are joined back, so a key that very many records share (as when all its
+    parts are missing) is neither sorted nor gathered.
     """
-    n = F.count("*").over(W.partitionBy("natural_case_identifier"))
-    return records.withColumn("source_record_count", n).withColumn(
+    shared = records.groupBy("natural_case_identifier").agg(F.count("*").alias("_n")).where("_n > 1")
+    shared = shared.withColumnRenamed("natural_case_identifier", "_key")
+    joined = records.join(shared, records["natural_case_identifier"] == shared["_key"], "left")
+    n = F.coalesce("_n", F.lit(1).cast("long"))
+    return joined.withColumn("source_record_count", n).drop("_n", "_key").withColumn(
         "identity_quality_status", F.when(F.col("source_record_count") == 1, "canonical").otherwise("collision")
     )
 
@@ -76,6 +79,16 @@ def append_new(existing: DataFrame, incoming: DataFrame, digest: str = "source_d
     return existing.unionByName(new)
 
 
+def merge_new(existing: DataFrame, incoming: DataFrame, key: str = "source_record_identifier", digest: str = "source_digest") -> DataFrame:
+    """Incremental load that replaces: rows of new snapshots take the place of existing rows with their key.
+
+    A record's identity status depends on all records with its natural key, so
+    it must be made again over the result.
+    """
+    new = incoming.join(existing.select(digest).distinct(), digest, "left_anti")
+    return existing.join(new.select(key).distinct(), key, "left_anti").unionByName(new)
+
+
 def with_matches(records: DataFrame, promoted: DataFrame) -> DataFrame:
     """``matched``: whether the record was promoted. Repeated promotions do not multiply records."""
     keys = promoted.select(F.col("source_record_identifier").alias("_match")).distinct()

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
+import uuid
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyforge.functions.codebook import FAMILIES
-from tallyforge.operators import warehouse
+from tallyforge.operators import publish, warehouse
 
 CUTOFF = "2001-12-31"
 WINDOW = ("2000-08-01", "2001-07-31")
@@ -95,7 +100,28 @@ def cases(fact_rows: DataFrame) -> DataFrame:
     )
 
 
-_BOOK = ", ".join(f"('{c}', '{f}')" for f, codes in FAMILIES.items() for c in codes.split())
+def shared_folder(spark: SparkSession) -> str:
+    """A folder that all executors see: the checkpoint folder, else a temporary one in a session of one process."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named is None and not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return named or tempfile.mkdtemp(prefix="tallyforge-")
+
+
+_marts: dict[tuple[str, str], str] = {}
+
+
+def written_mart(spark: SparkSession, sf_dir: str, made: Callable[[SparkSession, str], DataFrame]) -> DataFrame:
+    """The public mart of a source, written by filing year and sorted by district at its first use in a session."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _marts:
+        path = f"{shared_folder(spark)}/mart-{uuid.uuid4().hex}"
+        publish.write_public(made(spark, sf_dir), path)
+        _marts[key] = path
+    return spark.read.parquet(_marts[key]).select(*publish.PUBLIC_COLUMNS)
+
+
+_BOOK = ", ".join(f"('{c}', '{f}')" for f, codes in FAMILIES.items() for c in codes)
 
 #: The same relations in SQL, to be put before a query.
 BASE_SQL = f"""

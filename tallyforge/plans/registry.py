@@ -8,7 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tallyforge.operators import cube, explorer, marts, matching, metrics, planning, profiles, publish, survival, warehouse
+from tallyforge.functions.codebook import CODES, codebook
+from tallyforge.operators import calibration, cube, explorer, marts, matching, metrics, planning, profiles, publish, survival, warehouse
 from tallyforge.plans import fixtures as fx
 from tallyforge.sources import ingest
 
@@ -78,10 +79,16 @@ def exceptions(spark, d):
     return warehouse.identity_exceptions(fx.facts(spark, d))
 
 
-@query("dim_nature_of_suit", "SELECT raw_code, raw_code AS canonical_code, family, '1' AS rule_version FROM book")
-def dim_nature_of_suit(spark, d):
-    from tallyforge.functions.codebook import codebook
+_BOOK_ROWS = ", ".join("('{}', '{}', '{}')".format(c, label.replace("'", "''"), f) for c, label, f in CODES)
+
 
+@query(
+    "dim_nature_of_suit",
+    f"""SELECT raw_code, raw_code AS canonical_code, label, family, DATE '2023-10-25' AS codebook_as_of_date, '1' AS rule_version
+FROM (VALUES {_BOOK_ROWS}) AS t(raw_code, label, family)""",
+    base=False,
+)
+def dim_nature_of_suit(spark, d):
     return codebook(spark)
 
 
@@ -252,13 +259,17 @@ def dimension_lists(spark, d):
 
 @query(
     "yoy_change",
-    f""", published AS ({_CUBE_FILING}), ordered AS (
-  SELECT district_code, nature_family, filing_year, cohort_records, lag(filing_year) OVER w AS previous_year, lag(cohort_records) OVER w AS previous_records
-  FROM published WINDOW w AS (PARTITION BY district_code, nature_family ORDER BY filing_year))
-SELECT *, (cohort_records - previous_records)::DOUBLE / previous_records AS relative_change FROM ordered WHERE previous_year IS NOT NULL""",
+    f""", published AS ({_CUBE_FILING}),
+complete AS (
+  SELECT *, row_number() OVER (PARTITION BY district_code, nature_family ORDER BY filing_year DESC) AS k FROM published WHERE filing_year < 1998)
+SELECT a.district_code, a.nature_family, a.filing_year AS current_year, b.filing_year AS previous_year, a.cohort_records AS current_records,
+  b.cohort_records AS previous_records, (a.cohort_records - b.cohort_records)::DOUBLE / b.cohort_records AS relative_change
+FROM complete a JOIN complete b ON a.district_code IS NOT DISTINCT FROM b.district_code AND a.nature_family IS NOT DISTINCT FROM b.nature_family
+WHERE a.k = 1 AND b.k = 2 AND b.cohort_records <> 0""",
 )
 def yoy_change(spark, d):
-    return cube.yoy_change(cube_filing(spark, d))
+    """As of a snapshot of 1998, whose own filings are unfinished."""
+    return cube.yoy_change(cube_filing(spark, d), 1998)
 
 
 _RANK = """, margin AS (SELECT {c}, sum(pending_records)::BIGINT AS pending_records, sum(total_records) AS n FROM portfolio GROUP BY 1)
@@ -401,6 +412,11 @@ def _public(spark, d):
     return publish.public_rows(*_facts_and_matches(spark, d), key, "v1")
 
 
+def _mart(spark, d):
+    """Public rows as they are served: the mart that ``publish.write_public`` wrote, once a session and source."""
+    return fx.written_mart(spark, d, _public)
+
+
 @query("public_rows", "SELECT * FROM public")
 def public_rows(spark, d):
     return _public(spark, d)
@@ -413,14 +429,67 @@ def public_keyed_rows(spark, d):
     return publish.public_rows(*_facts_and_matches(spark, d), key, "v1")
 
 
-@query(
-    "public_validation",
-    """SELECT unnest(['key_shape', 'dataset_version', 'filed_month', 'pending_semantics', 'termination_null_rule', 'terminated_month', 'duration',
-  'mapping_status', 'code_null_rule', 'identity_status', 'identity_count', 'key_unique']) AS rule, 0::BIGINT AS failures""",
-    base=False,
-)
+_MARK = "left(sha256(release_record_key), 1)"
+_VALIDATED = f""", planted AS (
+  SELECT * REPLACE (
+    CASE {_MARK} WHEN '0' THEN left(release_record_key, 21) ELSE release_record_key END AS release_record_key,
+    CASE {_MARK} WHEN '1' THEN NULL WHEN '2' THEN 'v2' ELSE dataset_version END AS dataset_version,
+    CASE {_MARK} WHEN '3' THEN NULL WHEN '4' THEN DATE '1999-01-01' ELSE source_snapshot_cutoff END AS source_snapshot_cutoff,
+    CASE {_MARK} WHEN '5' THEN filed_month + 1 ELSE filed_month END AS filed_month,
+    CASE {_MARK} WHEN '6' THEN NULL WHEN '7' THEN event_observed ELSE pending_status END AS pending_status,
+    CASE {_MARK} WHEN '8' THEN DATE '1980-01-01' ELSE terminated_month END AS terminated_month,
+    CASE {_MARK} WHEN '9' THEN -1 WHEN 'a' THEN NULL ELSE duration_days END AS duration_days,
+    CASE {_MARK} WHEN 'b' THEN NULL ELSE nature_of_suit_mapping_status END AS nature_of_suit_mapping_status,
+    CASE {_MARK} WHEN 'c' THEN NULL ELSE nature_of_suit_code END AS nature_of_suit_code,
+    CASE {_MARK} WHEN 'd' THEN NULL WHEN 'e' THEN 'merged' ELSE identity_quality_status END AS identity_quality_status,
+    CASE {_MARK} WHEN 'f' THEN NULL ELSE source_record_count END AS source_record_count) FROM public
+  UNION ALL SELECT * FROM public WHERE district_code = '07')
+SELECT 'schema' AS rule, 0::BIGINT AS failures
+UNION ALL SELECT 'key_shape', count(*) FILTER (NOT regexp_full_match(release_record_key, '[A-Za-z0-9_-]{{22}}')) FROM planted
+UNION ALL SELECT 'dataset_version', count(*) FILTER (dataset_version IS DISTINCT FROM 'v1') FROM planted
+UNION ALL SELECT 'source_cutoff', count(*) FILTER (source_snapshot_cutoff IS DISTINCT FROM DATE '{fx.CUTOFF}') FROM planted
+UNION ALL SELECT 'filed_month', count(*) FILTER (filed_month IS NULL OR day(filed_month) <> 1) FROM planted
+UNION ALL SELECT 'pending_semantics', count(*) FILTER (pending_status IS NULL OR event_observed IS NULL OR pending_status = event_observed) FROM planted
+UNION ALL SELECT 'termination_null_rule', count(*) FILTER (pending_status IS DISTINCT FROM (terminated_month IS NULL)) FROM planted
+UNION ALL SELECT 'terminated_month', count(*) FILTER (terminated_month IS NOT NULL AND (day(terminated_month) <> 1 OR filed_month IS NULL OR terminated_month < filed_month)) FROM planted
+UNION ALL SELECT 'duration', count(*) FILTER (duration_days IS NULL OR duration_days < 0) FROM planted
+UNION ALL SELECT 'mapping_status', count(*) FILTER (nature_of_suit_mapping_status IS NULL OR nature_of_suit_mapping_status NOT IN ('supported', 'unsupported')) FROM planted
+UNION ALL SELECT 'code_null_rule', count(*) FILTER (nature_of_suit_mapping_status IS NULL OR (nature_of_suit_mapping_status = 'supported') <> (nature_of_suit_code IS NOT NULL)) FROM planted
+UNION ALL SELECT 'identity_status', count(*) FILTER (identity_quality_status IS NULL OR identity_quality_status NOT IN ('canonical', 'collision')) FROM planted
+UNION ALL SELECT 'identity_count', count(*) FILTER (source_record_count IS NULL OR (CASE WHEN identity_quality_status = 'canonical' THEN source_record_count <> 1 ELSE source_record_count < 2 END)) FROM planted
+UNION ALL SELECT 'collision_total', abs(count(*) FILTER (identity_quality_status = 'collision') - 5) FROM planted
+UNION ALL SELECT 'not_empty', 0
+UNION ALL SELECT 'key_unique', count(*) FROM (SELECT release_record_key FROM planted GROUP BY 1 HAVING count(*) > 1)"""
+
+
+@query("public_validation", _VALIDATED)
 def public_validation(spark, d):
-    return publish.public_violations(_public(spark, d), "v1")
+    """Every rule over public rows with faults planted by the digest of the key, and one district twice."""
+    rows = _public(spark, d)
+    mark = F.left(F.sha2("release_record_key", 256), F.lit(1))
+
+    def put(name, **values):
+        out = F.col(name)
+        for m, v in values.items():
+            out = F.when(mark == m[1:], v if v is not None else F.lit(None)).otherwise(out)
+        return out.cast(rows.schema[name].dataType)
+
+    planted = rows.withColumns(
+        {
+            "release_record_key": put("release_record_key", _0=F.left("release_record_key", F.lit(21))),
+            "dataset_version": put("dataset_version", _1=None, _2=F.lit("v2")),
+            "source_snapshot_cutoff": put("source_snapshot_cutoff", _3=None, _4=F.lit("1999-01-01")),
+            "filed_month": put("filed_month", _5=F.date_add("filed_month", 1)),
+            "pending_status": put("pending_status", _6=None, _7=F.col("event_observed")),
+            "terminated_month": put("terminated_month", _8=F.lit("1980-01-01")),
+            "duration_days": put("duration_days", _9=F.lit(-1), _a=None),
+            "nature_of_suit_mapping_status": put("nature_of_suit_mapping_status", _b=None),
+            "nature_of_suit_code": put("nature_of_suit_code", _c=None),
+            "identity_quality_status": put("identity_quality_status", _d=None, _e=F.lit("merged")),
+            "source_record_count": put("source_record_count", _f=None),
+        }
+    )
+    return publish.public_violations(planted.unionByName(rows.where("district_code = '07'")), "v1", fx.CUTOFF, expected_collisions=5)
 
 
 @query(
@@ -444,7 +513,7 @@ FROM public WHERE origin_code IN ('1', '2', '13') GROUP BY ALL HAVING count(*) >
 )
 def semantic_portfolio(spark, d):
     return metrics.standard_registry(fx.SUPPORT // 2).query(
-        _public(spark, d),
+        _mart(spark, d),
         "portfolio",
         ["total_records", "pending_records", "pending_share", "match_coverage", "average_observed_duration_days"],
         ["district_code", "nature_of_suit_family"],
@@ -460,7 +529,7 @@ FROM public WHERE year(filed_month) BETWEEN 1996 AND 1999 GROUP BY ALL HAVING co
 )
 def semantic_filing(spark, d):
     return metrics.standard_registry(fx.SUPPORT).query(
-        _public(spark, d), "filing", ["total_records", "matched_records", "followup_days"], ["filing_year", "nature_of_suit_family"],
+        _mart(spark, d), "filing", ["total_records", "matched_records", "followup_days"], ["filing_year", "nature_of_suit_family"],
         [metrics.Filter("filing_year", "between", [1996, 1999])],
     )
 
@@ -474,7 +543,7 @@ FROM public WHERE pending_status AND identity_quality_status = 'canonical' GROUP
 )
 def semantic_pending_age(spark, d):
     return metrics.standard_registry(fx.SUPPORT).query(
-        _public(spark, d), "pending_age", ["pending_records", "average_age_days"], ["age_band"],
+        _mart(spark, d), "pending_age", ["pending_records", "average_age_days"], ["age_band"],
         [metrics.Filter("identity_quality_status", "eq", "canonical")],
     )
 
@@ -491,19 +560,19 @@ _PAGE = explorer.PageSpec(
 WHERE district_code = '07' ORDER BY terminated_month DESC NULLS LAST, release_record_key LIMIT 100 OFFSET 50""",
 )
 def record_page(spark, d):
-    return explorer.page(_public(spark, d), _PAGE)
+    return explorer.page(_mart(spark, d), _PAGE)
 
 
 @query("record_count", "SELECT count(*)::BIGINT AS matching_rows FROM public WHERE district_code = '07'")
 def record_count(spark, d):
-    return explorer.count(_public(spark, d), _PAGE)
+    return explorer.count(_mart(spark, d), _PAGE)
 
 
 @query("record_detail", "SELECT * FROM public WHERE release_record_key = left(sha256('synthetic:1'), 22)")
 def record_detail(spark, d):
     import hashlib
 
-    return explorer.detail(_public(spark, d), hashlib.sha256(b"synthetic:1").hexdigest()[:22])
+    return explorer.detail(_mart(spark, d), hashlib.sha256(b"synthetic:1").hexdigest()[:22])
 
 
 @query(
@@ -633,7 +702,7 @@ def route_certification(spark, d):
 @query("bootstrap_interval")
 def bootstrap_interval(spark, d):
     scored = survival.integrated_brier(_scored(spark, d), TIMES).select("source_record_identifier", "brier")
-    return spark.createDataFrame([survival.bootstrap_interval(scored, "brier")], "mean double, low double, high double")
+    return calibration.mean_interval(scored, "brier")
 
 
 _WINDOW98 = "filed_date BETWEEN DATE '1997-01-01' AND DATE '1998-12-31'"
@@ -708,19 +777,63 @@ def calendar_drift(spark, d):
     return profiles.calendar_drift(fx.cases(fx.facts(spark, d)), "19")
 
 
-_ASSERTIONS = [
-    "identity_status_matches_count", "mapping_status_consistent", "nonnegative_exact_duration", "pending_censoring_semantics",
-    "terminated_event_semantics", "intake_procedural_cohort", "source_identity_unique", "portfolio_grain_unique", "filing_grain_unique",
-    "inventory_grain_unique", "candidate_pair_unique", "review_eligible_has_no_collision", "portfolio_rows_reconcile", "filing_rows_reconcile",
-    "pending_rows_reconcile",
-]
-
-
-@query("assertions", f"SELECT unnest({_ASSERTIONS!r}) AS assertion, 0::BIGINT AS failures", base=False)
+_BAD = """, k AS (SELECT *, (regexp_extract(source_record_identifier, '[0-9]+$'))::BIGINT AS o FROM facts),
+bad AS (
+  SELECT * EXCLUDE (o) REPLACE (
+    CASE WHEN o % 101 = 0 THEN 'collision' ELSE identity_quality_status END AS identity_quality_status,
+    CASE WHEN o % 103 = 0 THEN 'unsupported' ELSE nature_of_suit_mapping_status END AS nature_of_suit_mapping_status,
+    CASE WHEN o % 107 = 0 THEN -1 ELSE duration_days END AS duration_days,
+    CASE WHEN o % 109 = 0 THEN NULL ELSE censoring_date END AS censoring_date,
+    CASE WHEN o % 113 = 0 THEN NULL ELSE terminated_date END AS terminated_date,
+    CASE WHEN o % 127 = 0 THEN 'ordinary_original' ELSE intake_procedural_cohort END AS intake_procedural_cohort,
+    CASE WHEN o % 131 = 0 THEN 'synthetic:0' ELSE source_record_identifier END AS source_record_identifier) FROM k),
+twice AS (SELECT * FROM portfolio UNION ALL SELECT * FROM portfolio WHERE district_code = '07'),
+filings AS (SELECT * FROM filing UNION ALL SELECT * FROM filing WHERE filing_year = 1995),
+pendings AS (SELECT * FROM inventory UNION ALL SELECT * FROM inventory WHERE district_code = '11'),
+pairings AS (SELECT * REPLACE ('review_eligible' AS candidate_status) FROM candidates UNION ALL SELECT * FROM candidates WHERE recap_docket_id LIKE '%3')
+SELECT 'identity_status_matches_count' AS assertion, count(*) FILTER ((source_record_count = 1) <> (identity_quality_status = 'canonical'))::BIGINT AS failures FROM bad
+UNION ALL SELECT 'mapping_status_consistent', count(*) FILTER ((nature_of_suit_mapping_status = 'supported') <> (nature_of_suit_family IS NOT NULL)) FROM bad
+UNION ALL SELECT 'nonnegative_exact_duration', count(*) FILTER (duration_days < 0 OR duration_days <> date_diff('day', filed_date, analysis_end_date)) FROM bad
+UNION ALL SELECT 'pending_censoring_semantics', count(*) FILTER (NOT event_observed AND (terminated_date IS NOT NULL OR censoring_date IS NULL)) FROM bad
+UNION ALL SELECT 'terminated_event_semantics', count(*) FILTER (event_observed AND (terminated_date IS NULL OR censoring_date IS NOT NULL)) FROM bad
+UNION ALL SELECT 'intake_procedural_cohort', count(*) FILTER (origin_code IN ('6', '13') AND intake_procedural_cohort <> 'multidistrict_litigation') FROM bad
+UNION ALL SELECT 'source_identity_unique', count(*) FROM (SELECT 1 FROM bad GROUP BY source_record_identifier HAVING count(*) > 1)
+UNION ALL SELECT 'portfolio_grain_unique', count(*) FROM (SELECT 1 FROM twice GROUP BY district_code, nature_family HAVING count(*) > 1)
+UNION ALL SELECT 'filing_grain_unique', count(*) FROM (SELECT 1 FROM filings GROUP BY filing_year, district_code, nature_family HAVING count(*) > 1)
+UNION ALL SELECT 'inventory_grain_unique', count(*) FROM (SELECT 1 FROM pendings GROUP BY district_code, nature_family, age_band HAVING count(*) > 1)
+UNION ALL SELECT 'candidate_pair_unique', count(*) FROM (SELECT 1 FROM pairings GROUP BY case_identifier, recap_docket_id HAVING count(*) > 1)
+UNION ALL SELECT 'review_eligible_has_no_collision', count(*) FILTER (candidate_status = 'review_eligible' AND (recap_candidates_for_fjc > 1 OR fjc_candidates_for_recap > 1)) FROM pairings
+UNION ALL SELECT 'portfolio_rows_reconcile', abs((SELECT count(*) FROM bad) - sum(total_records))::BIGINT FROM twice
+UNION ALL SELECT 'filing_rows_reconcile', abs((SELECT count(*) FROM bad) - sum(cohort_records))::BIGINT FROM filings
+UNION ALL SELECT 'pending_rows_reconcile', abs((SELECT count(*) FROM bad WHERE NOT event_observed) - sum(pending_records))::BIGINT FROM pendings"""
+
+
+@query("assertions", _BAD)
 def assertions(spark, d):
+    """Every assertion over relations with faults planted by order key, district, year and docket."""
     facts, promoted = _facts_and_matches(spark, d)
+    key = fx.order_key()
+    put = lambda n, c, v: F.when(key % n == 0, v).otherwise(F.col(c))
+    bad = facts.withColumns(
+        {
+            "identity_quality_status": put(101, "identity_quality_status", "collision"),
+            "nature_of_suit_mapping_status": put(103, "nature_of_suit_mapping_status", "unsupported"),
+            "duration_days": put(107, "duration_days", -1),
+            "censoring_date": put(109, "censoring_date", F.lit(None)),
+            "terminated_date": put(113, "terminated_date", F.lit(None)),
+            "intake_procedural_cohort": put(127, "intake_procedural_cohort", "ordinary_original"),
+            "source_record_identifier": put(131, "source_record_identifier", "synthetic:0"),
+        }
+    )
+    portfolio, filing, inventory = marts.portfolio_summary(facts, promoted), marts.filing_cohorts(facts, promoted), marts.pending_inventory(facts, promoted)
+    pairs = _candidates(spark, d)
+    pairs = pairs.withColumn("candidate_status", F.lit("review_eligible")).unionByName(pairs.where("recap_docket_id LIKE '%3'"))
     return profiles.assertions(
-        facts, marts.portfolio_summary(facts, promoted), marts.filing_cohorts(facts, promoted), marts.pending_inventory(facts, promoted), _candidates(spark, d)
+        bad,
+        portfolio.unionByName(portfolio.where("district_code = '07'")),
+        filing.unionByName(filing.where("filing_year = 1995")),
+        inventory.unionByName(inventory.where("district_code = '11'")),
+        pairs,
     )
 
 
@@ -783,31 +896,32 @@ def docket_normalise(spark, d):
 
 @query(
     "scenario_table",
-    """WITH a AS (SELECT n_nationkey AS scenario, 10 + n_nationkey AS matters, 12 AS months FROM nation),
-c(kind, m) AS (VALUES ('low', 0.75::DECIMAL(6,2)), ('base', 1.00::DECIMAL(6,2)), ('high', 1.35::DECIMAL(6,2))),
-h AS (SELECT scenario, kind, (matters * months)::DECIMAL(10,0) * 6.25::DECIMAL(8,2) * m AS ah, (matters * months)::DECIMAL(10,0) * 3.50::DECIMAL(8,2) * m AS ph FROM a, c)
+    """WITH a AS (SELECT n_nationkey AS scenario, (10 + n_nationkey)::DECIMAL(5,0) * 12::DECIMAL(2,0) AS months FROM nation),
+c(kind, m) AS (VALUES ('low', 0.755::DECIMAL(8,6)), ('base', 1::DECIMAL(8,6)), ('high', 1.125::DECIMAL(8,6))),
+h AS (SELECT scenario, kind, (months::DECIMAL(7,0) * 6.255::DECIMAL(8,3))::DECIMAL(15,6) * m AS ah, (months::DECIMAL(7,0) * 3.505::DECIMAL(8,3))::DECIMAL(15,6) * m AS ph FROM a, c)
 SELECT scenario, kind AS "case", ah::DOUBLE AS attorney_hours, ph::DOUBLE AS paralegal_hours, round_even(ah::DOUBLE / 1560.0, 2) AS attorney_fte,
-  round_even(ph::DOUBLE / 1560.0, 2) AS paralegal_fte, round((ah * 310.50::DECIMAL(8,2) + ph * 120.25::DECIMAL(8,2))::DECIMAL(24,6), 2)::DOUBLE AS budget_usd FROM h""",
+  round_even(ph::DOUBLE / 1560.0, 2) AS paralegal_fte, round(ah::DECIMAL(26,12) * 310.505::DECIMAL(8,3) + ph::DECIMAL(26,12) * 120.255::DECIMAL(8,3), 2)::DOUBLE AS budget_usd FROM h""",
     base=False,
 )
 def scenario_table(spark, d):
     rows = spark.read.parquet(f"{d}/nation.parquet").select(
         F.col("n_nationkey").alias("scenario"), (F.col("n_nationkey") + 10).alias("matters"), F.lit(12).alias("horizon_months"),
-        F.lit("6.25").alias("attorney_hours_per_matter_month"), F.lit("3.50").alias("paralegal_hours_per_matter_month"),
-        F.lit("310.50").alias("attorney_rate_usd"), F.lit("120.25").alias("paralegal_rate_usd"), F.lit("130").alias("productive_hours_per_fte_month"),
-        F.lit("0.75").alias("low_multiplier"), F.lit("1.35").alias("high_multiplier"),
+        F.lit("6.255").alias("attorney_hours_per_matter_month"), F.lit("3.505").alias("paralegal_hours_per_matter_month"),
+        F.lit("310.505").alias("attorney_rate_usd"), F.lit("120.255").alias("paralegal_rate_usd"), F.lit("130").alias("productive_hours_per_fte_month"),
+        F.lit("0.755").alias("low_multiplier"), F.lit("1.125").alias("high_multiplier"),
     )
     return planning.scenario_table(rows)
 
 
 @query(
     "review_precision",
-    "SELECT count(*) FILTER (quality = 1)::BIGINT AS true_matches, count(*) FILTER (quality <> 1)::BIGINT AS false_matches FROM labels WHERE quality IS NOT NULL",
+    """SELECT count(*)::BIGINT AS true_matches, 0::BIGINT AS false_matches, round(pow(0.025, 1.0 / count(*)), 9) AS lower_bound,
+  pow(0.025, 1.0 / count(*)) >= 0.995 AS passed FROM labels WHERE quality = 1""",
     base=False,
 )
 def review_precision(spark, d):
-    rows = spark.read.parquet(f"{d}/labels.parquet").where("quality IS NOT NULL").select(
-        F.when(F.col("quality") == 1, "true_match").otherwise("false_match").alias("review_label")
-    )
+    """Reviews that all agree, for which the exact bound has a closed form in SQL; tests cover the others."""
+    rows = spark.read.parquet(f"{d}/labels.parquet").where("quality = 1").select(F.lit("true_match").alias("review_label"))
     out = matching.review_precision(rows)
-    return spark.createDataFrame([(out["true_matches"], out["false_matches"])], "true_matches long, false_matches long")
+    row = (out["true_matches"], out["false_matches"], round(out["lower_bound"], 9), out["passed"])
+    return spark.createDataFrame([row], "true_matches long, false_matches long, lower_bound double, passed boolean")

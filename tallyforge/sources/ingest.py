@@ -10,9 +10,11 @@ import zipfile
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tallyforge.functions.semantics import office_code, parse_us_date
+from tallyforge.functions.semantics import office_code, parse_us_date, spreadsheet_safe
 
 MAX_MEMBERS, MAX_EXPANDED_BYTES, MAX_RATIO = 64, 8 << 30, 200
 
@@ -73,28 +75,161 @@ def unpack(path: str, folder: str) -> str:
     return str(target)
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(value, line): every line with its 0-based number in its file.
+
+    Files are read in parallel. A line's place in its block is known where it is
+    read; a running sum over the blocks' counts, a small table, gives where the
+    block begins.
+    """
+    lines = spark.read.text(path).select(
+        "value", F.monotonically_increasing_id().alias("_at"),
+        F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"),
+    )
+    before = W.partitionBy("_file").orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
+    blocks = lines.groupBy("_file", "_block").agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
+    blocks = blocks.withColumn("_offset", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    placed = lines.join(blocks.drop("_n"), ["_file", "_block"])
+    return placed.select("value", (F.col("_offset") + F.col("_at") - F.col("_first")).alias("line"))
+
+
 def read_tsv(spark: SparkSession, path: str, header: list[str], selected: list[str]) -> DataFrame:
-    """Selected columns of a tab-separated file as strings, with structural rejects.
+    """Selected columns of a tab-separated file as strings, with row numbers and structural rejects.
 
-    Lines are split by Spark, so a file is read in parallel. The header must be
-    exactly as agreed; a row with another number of fields, or with bytes that
-    are no UTF-8 in a selected field, gets a ``_structural`` reason. Unselected
-    fields are not looked at.
+    Only a file's first line is its header, and it must be exactly as agreed; a
+    later line like it is a row. Rows are numbered from 0 in ``source_row_number``.
+    A row with another number of fields, or with bytes that are no UTF-8 in a
+    selected field, gets a ``_structural`` reason. Unselected fields are not
+    looked at.
     """
-    lines = spark.read.text(path)
-    first = lines.limit(1).collect()
+    first = spark.read.text(path).limit(1).collect()
     if not first or first[0][0].split("\t") != header:
         raise IngestError("the header differs from the contract")
-    rows = lines.where(F.col("value") != "\t".join(header))
+    lines = numbered_lines(spark, path)
     # These functions work on bytes, so a field keeps what the file holds, valid or not.
     raw = {c: F.substring_index(F.substring_index("value", "\t", header.index(c) + 1), "\t", -1) for c in selected}
     fields = F.octet_length("value") - F.octet_length(F.replace("value", F.lit("\t"), F.lit(""))) + 1
     bad = F.lit(False)
     for c in raw.values():
         bad = bad | ~F.is_valid_utf8(c)
-    reason = F.when(fields != len(header), "field_count").when(bad, "invalid_utf8")
+    header_differs = (F.col("line") == 0) & (F.col("value") != "\t".join(header))
+    reason = F.when(header_differs, "header").when(fields != len(header), "field_count").when(bad, "invalid_utf8")
     values = [F.nullif(F.try_validate_utf8(v), F.lit("")).alias(c) for c, v in raw.items()]
-    return rows.select(*values, reason.alias("_structural"))
+    rows = lines.where((F.col("line") > 0) | header_differs)
+    return rows.select(*values, (F.col("line") - 1).alias("source_row_number"), reason.alias("_structural"))
+
+
+def read_rejects(spark: SparkSession, path: str) -> DataFrame:
+    """Structural rejects that another reader left as JSON lines: a row number and a reason."""
+    return spark.read.schema("source_row_number long, reason string").json(path)
+
+
+def read_review(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A review table by its suffix: CSV with a header, or Parquet; its columns in the given types."""
+    if path.endswith(".parquet"):
+        rows = spark.read.parquet(path)
+    elif path.endswith(".csv"):
+        rows = spark.read.option("header", True).option("quote", '"').option("escape", '"').csv(path)
+    else:
+        raise IngestError("a review table is CSV or Parquet")
+    want = T.StructType.fromDDL(schema)
+    if missing := [f.name for f in want if f.name not in rows.columns]:
+        raise IngestError(f"the review table lacks {missing}")
+    return rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in want])
+
+
+def write_review(rows: DataFrame, path: str) -> None:
+    """A review table as CSV, its texts safe to open in a spreadsheet."""
+    safe = [spreadsheet_safe(F.col(c)).alias(c) if t == "string" else F.col(c) for c, t in rows.dtypes]
+    rows.select(*safe).write.option("header", True).option("quoteAll", True).option("escape", '"').csv(path)
+
+
+def existing_files(spark: SparkSession, paths: list[str]) -> list[str]:
+    """The paths, if every one exists; an error that names the missing ones otherwise."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    missing = [p for p in paths if not path(p).getFileSystem(conf).exists(path(p))]
+    if missing:
+        raise IngestError(f"required files are missing: {missing}")
+    return paths
+
+
+def read_years(spark: SparkSession, folder: str, years: list[int]) -> DataFrame:
+    """The annual partitions that a product needs, all of them or an error."""
+    paths = existing_files(spark, [f"{folder}/filing_year={y}" for y in years])
+    return spark.read.option("basePath", folder).parquet(*paths)
+
+
+def freshness(runs: DataFrame, now: str, warn_days: int = 150, error_days: int = 365) -> DataFrame:
+    """(completed_at_utc, age_days, status) of the latest completed run; no run is an error."""
+    out = runs.agg(F.max(F.to_timestamp("completed_at_utc")).alias("completed_at_utc"))
+    age = F.datediff(F.lit(now).cast("date"), F.col("completed_at_utc").cast("date"))
+    status = F.when(age <= warn_days, "pass").when(age <= error_days, "warn").otherwise("error")
+    return out.select("completed_at_utc", age.cast("long").alias("age_days"), status.alias("status"))
+
+
+# Staging
+
+#: Raw fields and the names that staging gives them (fixed values); dates are parsed, all else is trimmed text.
+STAGED = {
+    "CIRCUIT": "circuit_code", "DISTRICT": "district_code", "OFFICE": "office_code", "DOCKET": "docket_number",
+    "ORIGIN": "origin_code", "JURIS": "jurisdiction_code", "NOS": "nature_of_suit_raw", "TITL": "title_raw",
+    "SECTION": "section_raw", "SUBSECT": "subsection_raw", "RESIDENC": "residence_raw", "JURY": "jury_demand_raw",
+    "CLASSACT": "class_action_raw", "DEMANDED": "amount_demanded_raw", "COUNTY": "county_raw", "ARBIT": "arbitration_raw",
+    "MDLDOCK": "mdl_docket_raw", "TRANSDAT": "transfer_date_raw", "TRANSOFF": "transfer_office_raw",
+    "TRANSDOC": "transfer_docket_raw", "TRANSORG": "transfer_origin_raw", "TERMDATE": "termination_date_raw",
+    "TRCLACT": "termination_class_action_raw", "PROCPROG": "procedural_progress_code", "DISP": "disposition_code",
+    "NOJ": "judgment_nature_raw", "AMTREC": "amount_received_raw", "JUDGMENT": "judgment_raw",
+    "DJOINED": "issue_joined_date_raw", "PRETRIAL": "pretrial_date_raw", "TRIBEGAN": "trial_begin_date_raw",
+    "TRIALEND": "trial_end_date_raw", "TRMARB": "termination_arbitration_raw", "PROSE": "pro_se_raw", "IFP": "fee_status_raw",
+    "STATUSCD": "status_code", "TAPEYEAR": "statistical_year",
+}
+STAGED_DATES = {
+    "FILEDATE": "filed_date", "FDATEUSE": "filed_date_used_by_ao", "TERMDATE": "termination_date_source", "TDATEUSE": "termination_date_used_by_ao",
+}
+
+
+def stage_records(rows: DataFrame, digest: str, cutoff: str, version: int = 1) -> DataFrame:
+    """Accepted raw rows as typed, named columns with their provenance and the identity ``digest:row``."""
+    row = F.col("source_row_number").cast("long")
+    return rows.select(
+        F.concat(F.lit(f"{digest}:"), row.cast("string")).alias("source_record_identifier"),
+        row.alias("source_row_number"),
+        *[F.trim(raw).alias(name) for raw, name in STAGED.items() if raw in rows.columns],
+        *[parse_us_date(F.trim(raw)).alias(name) for raw, name in STAGED_DATES.items() if raw in rows.columns],
+        F.lit(cutoff).cast("date").alias("source_snapshot_cutoff"),
+        F.lit(digest).alias("source_digest"),
+        F.lit(version).cast("long").alias("raw_contract_version"),
+        F.year(parse_us_date(F.trim("FILEDATE"))).cast("long").alias("filing_year"),
+    )
+
+
+def stage_districts(rows: DataFrame) -> DataFrame:
+    return rows.select(*[F.trim(c).alias(c) for c in ("district_code", "court_id", "ao_label")])
+
+
+def stage_promoted(rows: DataFrame) -> DataFrame:
+    names = ("case_identifier", "source_record_identifier", "recap_docket_id", "match_rule_id")
+    return rows.select(*[F.col(c).cast("string") for c in names], F.col("review_completed_at_utc").cast("timestamp"))
+
+
+def write_dockets(rows: DataFrame, path: str, digest: str, cutoff: str, version: int = 1) -> None:
+    """Accepted dockets with their provenance, by filing year; a row without a year is refused."""
+    good = rows.where("reject_reason IS NULL").drop("reject_reason").withColumns(
+        {
+            "source_snapshot_cutoff": F.lit(cutoff).cast("date"),
+            "source_digest": F.lit(digest),
+            "reconciliation_contract_version": F.lit(version).cast("int"),
+            "filing_year": partition_year(F.col("filed_date")),
+        }
+    )
+    good.write.option("compression", "zstd").partitionBy("filing_year").parquet(path)
+
+
+def partition_year(day: Column) -> Column:
+    """The year of a date as a partition value; anything but four digits stops the write."""
+    year = F.year(day).cast("string")
+    return F.when(year.rlike("^[0-9]{4}$"), year).otherwise(F.raise_error(F.lit("a partition year must have four digits")))
 
 
 # Triage
@@ -117,8 +252,12 @@ def triage(rows: DataFrame, start: str, cutoff: str) -> DataFrame:
     first, last = F.lit(start).cast("date"), F.lit(cutoff).cast("date")
     rows = rows.withColumn("filed_date_parsed", parse_us_date(F.col("FILEDATE")))
     outside = F.coalesce(filed < first, F.lit(False))
+    # A row that could not be read as agreed is rejected for that, whatever it holds.
+    structural = F.col("_structural") if "_structural" in rows.columns else F.lit(None).cast("string")
+    outside = outside & structural.isNull()
     reason = (
-        F.when(outside, "before_product_start")
+        F.when(structural.isNotNull(), structural)
+        .when(outside, "before_product_start")
         .when(filed.isNull(), "invalid_filed_date")
         .when(filed > last, "filed_after_snapshot")
         .when(~status_is_valid(), "invalid_status_sentinel")
@@ -166,7 +305,7 @@ def load_snapshot(rows: DataFrame, folder: str, start: str, cutoff: str, digest:
     """Triages a snapshot into ``folder`` once: staged, checked, then renamed; a replay does nothing.
 
     Accepted rows go to Parquet by filing year, quarantined rows keep a reason
-    and no payload. A failure leaves a record and no staged files.
+    and their ``source_row_number``, if they have one, and no payload. A failure leaves a record and no staged files.
     """
     spark, final = rows.sparkSession, f"{folder}/source_digest={digest}"
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
@@ -178,13 +317,15 @@ def load_snapshot(rows: DataFrame, folder: str, start: str, cutoff: str, digest:
     staging = f"{final}.staging"
     fs.delete(path(staging), True)
     try:
-        out = triage(rows, start, cutoff).withColumn("filing_year", F.year("filed_date_parsed").cast("string"))
+        out = triage(rows, start, cutoff)
         out.write.parquet(f"{staging}/triaged")
         back = spark.read.schema(out.schema).parquet(f"{staging}/triaged")
         counts = accounting(back)
-        good = back.where("outcome = 'accepted'").drop("outcome", "reason")
+        good = back.where("outcome = 'accepted'").drop("outcome", "reason", "_structural")
+        good = good.withColumn("filing_year", partition_year(F.col("filed_date_parsed")))
         good.write.option("compression", "zstd").partitionBy("filing_year").parquet(f"{staging}/accepted")
-        back.where("outcome = 'rejected'").groupBy("reason").count().write.parquet(f"{staging}/quarantine")
+        reference = [c for c in ("source_row_number",) if c in back.columns]
+        back.where("outcome = 'rejected'").select(*reference, "reason").write.parquet(f"{staging}/quarantine")
         fs.delete(path(f"{staging}/triaged"), True)
         stream = fs.create(path(f"{staging}/run.json"))
         stream.write(bytearray(json.dumps(counts, sort_keys=True).encode()))

@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import hmac
+import math
 import zipfile
 from datetime import date
 
@@ -12,8 +13,8 @@ from pyspark.sql import functions as F
 from tallyforge.contracts import Contract, ContractError, require, violations
 from tallyforge.functions import semantics
 from tallyforge.functions.codebook import FAMILIES, codebook
-from tallyforge.operators import explorer, marts, matching, metrics, planning, publish, survival, warehouse
-from tallyforge.plans import fixtures, registry
+from tallyforge.operators import calibration, cube, explorer, marts, matching, metrics, planning, publish, survival, warehouse
+from tallyforge.plans import fixtures, governance, registry
 from tallyforge.sources import ingest
 
 SF = "/root/testdata/sf0.001"
@@ -84,10 +85,127 @@ def test_curves_never_rise(spark):
         assert s == sorted(s, reverse=True)
 
 
-def test_bootstrap_covers_the_mean(spark):
-    rows = spark.range(500).select("id", (F.col("id") % 10).cast("double").alias("v"))
-    mean, low, high = survival.bootstrap_interval(rows, "v", 200)
+def test_resampled_intervals(spark):
+    rows = spark.range(500).select("id", (F.col("id") % 10).cast("double").alias("v"), (F.col("id") % 10 / 2).alias("w"))
+    mean, low, high = calibration.mean_interval(rows, "v", 200).first()
     assert mean == 4.5 and low < mean < high and high - low < 1.2
+    mean, low, high = calibration.mean_interval(rows.withColumn("v", -F.col("v")), "v", 200, absolute=True).first()
+    assert mean == 4.5 and low < mean < high
+    gain, low, high = calibration.improvement_interval(rows, "v", "w", 200).first()
+    assert gain == 0.5 and abs(low - 0.5) < 1e-9 and abs(high - 0.5) < 1e-9
+    clusters = spark.createDataFrame([(40, 10 + k % 7) for k in range(60)], "cases long, resolved long")
+    error, low, high = calibration.cluster_interval(clusters, 0.4, 200).first()
+    true = abs(0.4 - sum(10 + k % 7 for k in range(60)) / 2400)
+    assert abs(error - true) < 1e-12 and low < true < high
+    assert calibration.mean_interval(rows.limit(0), "v", 20).first() == (None, None, None)
+
+
+def test_calibration_is_recovered(spark):
+    p = F.col("id") / 1001
+    rows = spark.range(1, 1001).select(p.alias("p"), (1 / (1 + F.exp(-(0.4 + 1.5 * F.log(p / (1 - p)))))).alias("y"))
+    a, b = calibration.fit_logit_affine(rows, "p", F.col("y"))
+    assert abs(a - 0.4) < 0.02 and abs(math.exp(b) - 1.5) < 0.03
+    z = [-3.0, -1.0, 0.0, 0.5, 2.5]
+    got = spark.createDataFrame([(x,) for x in z], "z double").select(calibration.normal_cdf(F.col("z")).alias("p")).collect()
+    assert all(abs(r.p - 0.5 * (1 + math.erf(x / math.sqrt(2)))) < 2e-7 for r, x in zip(got, z))
+    # Durations of a log-normal law with location 5 and scale 0.5.
+    quantiles = spark.range(1, 2000).select(F.lit(5.0).alias("mu"), (F.col("id") / 2000).alias("u"))
+    cases = quantiles.select("mu", F.lit(True).alias("event_observed"), F.exp(5 + 0.5 * F.log(F.col("u") / (1 - F.col("u"))) / 1.702).alias("duration_days"))
+    a, b, s = calibration.fit_aft(cases, "mu", [60, 120, 150, 200, 400])
+    assert abs(a + 5 * b - 5) < 0.05 and abs(s - 0.5) < 0.05
+
+
+def test_year_over_year_takes_complete_published_years(spark):
+    rows = [("a", "f", 2018, 50), ("a", "f", 2020, 100), ("a", "f", 2023, 120), ("a", "f", 2026, 9), ("b", None, 2023, 5), (None, None, 2019, 0), (None, None, 2020, 5)]
+    df = spark.createDataFrame(rows, "district_code string, nature_family string, filing_year int, cohort_records long")
+    out = [tuple(r) for r in cube.yoy_change(df, 2026).collect()]
+    assert out == [("a", "f", 2023, 2020, 120, 100, 0.2)]
+
+
+def test_scenario_keeps_all_places(spark):
+    names = list(planning.BOUNDS)
+    row = ("s", 100, 12, "6.255", "3.5", "310.5", "120.25", "120", "0.755", "1.125")
+    df = lambda r: spark.createDataFrame([r], "scenario string, matters int, horizon_months int, " + ", ".join(f"{n} string" for n in names[2:]))
+    assert [r.attorney_hours for r in planning.scenario_table(df(row)).collect()] == [5667.03, 7506.0, 8444.25]
+    for k, bad in ((1, 0), (1, 10_001), (2, 61), (3, "500.1"), (7, "0.5"), (8, "1.1"), (9, "0.9"), (9, None)):
+        wrong = row[:k] + (bad,) + row[k + 1 :]
+        with pytest.raises(Exception, match="outside bounds"):
+            planning.scenario_table(df(wrong)).collect()
+
+
+def test_merge_replaces_and_skips_loaded_snapshots(spark):
+    make = lambda rows: spark.createDataFrame(rows, "source_record_identifier string, source_digest string, v int")
+    out = warehouse.merge_new(make([("1", "a", 1), ("2", "a", 1)]), make([("2", "b", 2), ("3", "b", 2), ("1", "a", 9)]))
+    assert sorted(tuple(r) for r in out.collect()) == [("1", "a", 1), ("2", "b", 2), ("3", "b", 2)]
+
+
+def test_policies_and_holdouts():
+    gates = [planning.Gate("error", "<=", 0.05), planning.Gate("n", ">=", 200)]
+    digest = planning.policy_digest(gates)
+    cases = {"total": 10, "supported": 8, "abstained": 2}
+    assert planning.evaluate_policy(gates, digest, {"error": 0.01, "n": 300}, cases)["passed"]
+    out = planning.evaluate_policy(gates, digest, {"error": float("inf")}, {**cases, "total": 11})
+    assert out["reasons"] == ["case_accounting", "not_finite:error", "missing:n"]
+    with pytest.raises(ValueError):
+        planning.evaluate_policy(gates[:1], digest, {}, cases)
+    planning.guard_holdout(date(2026, 1, 1), date(2024, 6, 1), 365, 0)
+    for args in ((date(2026, 1, 1), date(2025, 6, 1), 365, 0), (date(2026, 1, 1), date(2024, 6, 1), 365, 1)):
+        with pytest.raises(PermissionError):
+            planning.guard_holdout(*args)
+
+
+def test_snapshot_guard_and_files(spark, tmp_path):
+    rows = spark.createDataFrame([(date(2026, 3, 31),), (date(2026, 1, 1),)], "as_of_date date")
+    assert calibration.guard_snapshot(rows, "2026-03-31") is rows
+    with pytest.raises(ValueError):
+        calibration.guard_snapshot(rows, "2026-06-30")
+    spark.range(3).withColumn("filing_year", F.lit(2020)).write.partitionBy("filing_year").parquet(str(tmp_path / "m"))
+    assert ingest.read_years(spark, str(tmp_path / "m"), [2020]).count() == 3
+    with pytest.raises(ingest.IngestError, match="2021"):
+        ingest.read_years(spark, str(tmp_path / "m"), [2020, 2021])
+    ingest.write_review(spark.createDataFrame([("=1+1", 2)], "note string, n int"), str(tmp_path / "review.csv"))
+    assert ingest.read_review(spark, str(tmp_path / "review.csv"), "note string, n int").first() == ("'=1+1", 2)
+    with pytest.raises(ingest.IngestError):
+        ingest.read_review(spark, str(tmp_path / "review.csv"), "other string")
+    dockets = spark.createDataFrame([("1", date(2020, 5, 1), None), ("2", date(2021, 5, 1), "blocked")], "recap_docket_id string, filed_date date, reject_reason string")
+    ingest.write_dockets(dockets, str(tmp_path / "dockets"), "d", "2026-03-31")
+    assert [tuple(r) for r in spark.read.parquet(str(tmp_path / "dockets")).select("recap_docket_id", "source_digest", "filing_year").collect()] == [("1", "d", 2020)]
+    with pytest.raises(ValueError):
+        publish.release_inventory({"a": b"123"}, ceiling=2)
+    assert publish.release_inventory({"b": b"1", "a": b"22"})["bytes"] == 3
+    assert publish.prohibited_columns(["district_code", "Docket_Number", "judge_name"]) == ["Docket_Number", "judge_name"]
+    assert publish.export_provenance(["a"], {"x": "1"}, 2, "v1", "d") == publish.export_provenance(["a"], {"x": "1"}, 2, "v1", "d")
+
+
+def test_archive_budgets_and_envelopes(spark, tmp_path, monkeypatch):
+    with zipfile.ZipFile(tmp_path / "a.zip", "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("a.txt", "0" * 1_000_000)
+    monkeypatch.setattr(ingest, "MAX_RATIO", 10)
+    with pytest.raises(ingest.IngestError):
+        ingest.check_archive(str(tmp_path / "a.zip"))
+    (tmp_path / "good.pdf").write_bytes(b"%PDF-1.7 body %%EOF\n")
+    (tmp_path / "bad.pdf").write_bytes(b"<html>%%EOF")
+    files = spark.read.format("binaryFile").load(str(tmp_path / "*.pdf"))
+    assert {r.path.rsplit("/", 1)[1]: r.valid for r in ingest.check_pdf(files).collect()} == {"good.pdf": True, "bad.pdf": False}
+    data = (tmp_path / "good.pdf").read_bytes()
+    ingest.verify_digest(str(tmp_path / "good.pdf"), len(data), hashlib.sha256(data).hexdigest())
+    with pytest.raises(ingest.IngestError):
+        ingest.verify_digest(str(tmp_path / "good.pdf"), len(data) + 1, hashlib.sha256(data).hexdigest())
+
+
+def test_served_mart_prunes(spark):
+    """A district and a span of years reach the files as partition and pushed filters."""
+    rows = registry._mart(spark, SF)
+    plan = rows.where("district_code = '07' AND filed_month >= DATE '1996-01-01'")._jdf.queryExecution().toString()
+    assert "PushedFilters: [IsNotNull(district_code), IsNotNull(filed_month), EqualTo(district_code,07)" in plan
+
+
+def test_cube_json(spark, tmp_path):
+    cells = spark.createDataFrame([("b", 2), ("a", 1)], "district_code string, n int")
+    digest = cube.cube_json({"portfolio": cells}, str(tmp_path / "cube.json"))
+    assert digest == cube.cube_json({"portfolio": cells.orderBy("n")}, str(tmp_path / "again.json"))
+    assert (tmp_path / "cube.json").read_text() == '{"portfolio":[{"district_code":"a","n":1},{"district_code":"b","n":2}]}'
+    assert metrics.as_markdown(metrics.standard_registry()).count("\n") > 14
 
 
 def test_partition_of_cases_and_exceptions(spark):
@@ -203,9 +321,20 @@ def test_keys_and_files(spark, tmp_path):
 
 
 def test_public_violations_are_found(spark):
-    rows = public(spark).withColumn("duration_days", F.lit(-1)).withColumn("dataset_version", F.lit("v2"))
-    out = {r["rule"]: r["failures"] for r in publish.public_violations(rows, "v1").collect()}
+    rows = public(spark)
+    check = lambda df: {r["rule"]: r["failures"] for r in publish.public_violations(df, "v1", fixtures.CUTOFF).collect()}
+    assert not any(check(rows).values())
+    out = check(rows.withColumn("duration_days", F.lit(-1)).withColumn("dataset_version", F.lit("v2")))
     assert out["duration"] == out["dataset_version"] == 1500 and out["key_unique"] == 0
+    for column, rules in {
+        "dataset_version": ["dataset_version"], "nature_of_suit_mapping_status": ["mapping_status", "code_null_rule"],
+        "identity_quality_status": ["identity_status"], "source_snapshot_cutoff": ["source_cutoff"], "source_record_count": ["identity_count"],
+        "pending_status": ["pending_semantics", "termination_null_rule"], "filed_month": ["filed_month"],
+    }.items():
+        out = check(rows.withColumn(column, F.lit(None).cast(rows.schema[column].dataType)))
+        assert [out[r] for r in rules] == [1500] * len(rules), column
+    assert check(rows.withColumn("docket", F.lit(1))) == {"schema": 1} == check(rows.drop("circuit_code"))
+    assert check(rows.limit(0))["not_empty"] == 1
 
 
 def test_triage_and_replay(spark, tmp_path):
@@ -218,12 +347,13 @@ def test_triage_and_replay(spark, tmp_path):
             ("03/04/2021", "S", "01/01/1900", None, "2099"),
         ],
         "FILEDATE string, STATUSCD string, TERMDATE string, TDATEUSE string, TAPEYEAR string",
-    )
+    ).coalesce(1).withColumn("source_row_number", F.monotonically_increasing_id())
     run = ingest.load_snapshot(rows, str(tmp_path), "2010-01-01", "2026-03-31", "d1")
     assert (run["input"], run["accepted"], run["excluded"], run["rejected"], run["replayed"]) == (5, 2, 1, 2, False)
     assert ingest.load_snapshot(rows, str(tmp_path), "2010-01-01", "2026-03-31", "d1")["replayed"]
     quarantine = spark.read.parquet(str(tmp_path / "source_digest=d1" / "quarantine"))
-    assert quarantine.columns == ["reason", "count"]
+    assert sorted(tuple(r) for r in quarantine.collect()) == [(2, "filed_after_snapshot"), (3, "invalid_status_sentinel")]
+    assert quarantine.columns == ["source_row_number", "reason"]
     with pytest.raises(Exception):
         ingest.load_snapshot(rows.drop("TAPEYEAR"), str(tmp_path), "2010-01-01", "2026-03-31", "d2")
     assert (tmp_path / "failure-d2.json").exists() and not (tmp_path / "source_digest=d2.staging").exists()
@@ -241,10 +371,18 @@ def test_tsv(spark, tmp_path):
     assert out["2"]._structural == "invalid_utf8" and out["3"]._structural is None and out["4"]._structural == "field_count"
     with pytest.raises(ingest.IngestError):
         ingest.read_tsv(spark, path, ["A", "B"], ["A"])
+    assert [out[k].source_row_number for k in "1234"] == [0, 1, 2, 3]
+    (tmp_path / "again.txt").write_bytes(b"A\tB\tC\n1\tx\ty\nA\tB\tC\n2\tx\ty\n" * 1 + b"z\tx\ty\n" * 5000)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        rows = ingest.read_tsv(spark, str(tmp_path / "again.txt"), header, ["A"]).orderBy("source_row_number").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert [r.source_row_number for r in rows] == list(range(5003)) and [r.A for r in rows[:4]] == ["1", "A", "2", "z"]
 
 
 def test_planning():
-    assert planning.mature_window(date(2020, 4, 1)) == (date(2016, 4, 2), date(2019, 4, 1)) or planning.mature_window(date(2020, 4, 1))[1] <= date(2019, 4, 1)
+    assert planning.mature_window(date(2020, 4, 1)) == (date(2016, 4, 2), date(2019, 4, 1))
     gates = [planning.Gate("error", "<=", 0.05), planning.Gate("n", ">=", 200)]
     assert planning.evaluate_gates(gates, {"error": 0.01, "n": 300})["passed"]
     assert not planning.evaluate_gates(gates, {"error": float("nan"), "n": 300})["passed"]
@@ -255,4 +393,4 @@ def test_planning():
 
 
 def test_registry_is_complete():
-    assert set(registry.ORACLE) <= set(registry.QUERIES) and len(registry.QUERIES) > 50
+    assert set(governance.ORACLE) <= set(governance.QUERIES) and len(governance.QUERIES) > 80
