@@ -32,6 +32,37 @@ def indices(first, last: Column, step: int = 1) -> Column:
     return F.when(last >= first, F.sequence(first, last, F.lit(step))).otherwise(F.array().cast("array<int>"))
 
 
+def named(value: Column, use) -> Column:
+    """use(value), with the value computed once a row even where it is used inside another lambda."""
+    return F.transform(F.array(value), use)[0]
+
+
+def scanned(items: Column, block: int, start: Column, total, put, ended, rows) -> Column:
+    """A running scan over an array in time linear in its length, for arrays of up to block**2 items or so.
+
+    ``total(block)`` is what a block adds to the state and ``put(state, total)``
+    the state after it; ``rows(block, state, next state)`` gives the block's
+    results from the state before it. States pass from block to block, so no
+    array grows with every item. ``ended(results, last state)`` makes the answer.
+    """
+
+    def over(blocks: Column) -> Column:
+        states = F.aggregate(
+            F.transform(blocks, total),
+            F.array(start),
+            lambda a, x: F.concat(a, F.array(put(F.element_at(a, -1), x))),
+        )
+        return named(
+            states,
+            lambda s: ended(
+                F.transform(blocks, lambda b, i: rows(b, F.get(s, i), F.get(s, i + 1))),
+                F.element_at(s, -1),
+            ),
+        )
+
+    return named(items, lambda x: named(F.transform(indices(0, F.size(x) - 1, block), lambda i: F.slice(x, i + 1, block)), over))
+
+
 def covered_words(positions: Column, width: int) -> Column:
     """How many words lie in windows of ``width`` words that begin at the sorted positions."""
     start = F.struct(F.lit(-width).alias("last"), F.lit(0).cast("long").alias("total"))

@@ -11,9 +11,12 @@ pieces between them: ``split`` gives the pieces, ``regexp_extract_all`` the
 matches, both by the same matcher.
 
 Defined results: a null text is an empty one; a text without matches has no
-spans and the digest of an empty string; rows with a null or a repeated id are
-searched like any other; an empty table gives no rows; other columns are kept
-out of the result. The rows of one document are never gathered with others'.
+spans and the digest of an empty string; rows are found again by id and content,
+so rows with a null or a repeated id are searched like any other; spans that
+begin together go by their rule's place; of overlapping ones the first names the
+replacement; places are summed up and texts put together in blocks of ``BLOCK``
+matches, so a very long text takes time in proportion; an empty table gives no
+rows; other columns, whatever their names, are kept as they are.
 """
 
 from __future__ import annotations
@@ -23,11 +26,15 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.llm.columns import literal_rows, matches, text_or_empty
+from tallyforge.llm.columns import content_hash, literal_rows, matches, named, scanned, text_or_empty
 from tallyforge.llm.scratch import Scratch
 from tallyforge.llm.trigrams import clauses
 
 
+#: Matches of a text that one running sum goes over.
+BLOCK = 256
+
+
 @dataclass(frozen=True)
 class Rule:
     kind: str
@@ -56,15 +63,17 @@ RULES = [
 
 
 def postings(docs: DataFrame, rules: list[Rule], id_col: str, text_col: str) -> DataFrame:
-    """(trigram, _id): the inverted index over the trigrams that the rules name."""
-    named = sorted({t for r in rules for c in clauses(r.pattern) or [] for t in c})
-    lowered = docs.select(F.col(id_col).alias("_id"), F.lower(text_or_empty(text_col)).alias("_low"))
-    present = F.array_compact(F.array(*[F.when(F.contains("_low", F.lit(t)), F.lit(t)) for t in named]))
-    return lowered.select("_id", F.explode(present).alias("trigram"))
+    """(trigram, _id, _hash): the inverted index over the trigrams that the rules name, by id and content."""
+    named_ = sorted({t for r in rules for c in clauses(r.pattern) or [] for t in c})
+    lowered = docs.select(
+        F.col(id_col).alias("_id"), content_hash(text_col).alias("_hash"), F.lower(text_or_empty(text_col)).alias("_low")
+    )
+    present = F.array_compact(F.array(*[F.when(F.contains("_low", F.lit(t)), F.lit(t)) for t in named_]))
+    return lowered.select("_id", "_hash", F.explode(present).alias("trigram"))
 
 
 def candidates(spark: SparkSession, index: DataFrame, rules: list[Rule]) -> DataFrame:
-    """(_id, _rules): for each document the rules whose query its postings satisfy."""
+    """(_id, _hash, _rules): for each document the rules whose query its postings satisfy."""
     wanted = [
         (r.kind, k, t, len(c)) for r in rules for k, c in enumerate(clauses(r.pattern) or []) for t in sorted(c)
     ]
@@ -73,10 +82,10 @@ def candidates(spark: SparkSession, index: DataFrame, rules: list[Rule]) -> Data
     return (
         index.distinct()
         .join(F.broadcast(clause), "trigram")
-        .groupBy("_id", "kind", "clause", "needed")
+        .groupBy("_id", "_hash", "kind", "clause", "needed")
         .count()
         .where(F.col("count") == F.col("needed"))
-        .groupBy("_id")
+        .groupBy("_id", "_hash")
         .agg(F.collect_set("kind").alias("_rules"))
     )
 
@@ -86,30 +95,40 @@ def spans(text: Column, rule: Rule, rank: int) -> Column:
     pieces = F.transform(F.split(text, rule.pattern, -1), lambda p: F.length(p))
     found = F.transform(matches(text, rule.pattern), lambda m: F.length(m))
     kept = found if rule.group == 0 else F.transform(matches(text, rule.pattern, rule.group), lambda m: F.length(m))
-    rows = F.arrays_zip(pieces.alias("piece"), found.alias("found"), kept.alias("kept"))
     empty = F.array().cast("array<struct<start:int,rank:int,end:int>>")
-    return F.aggregate(
-        rows,
-        F.struct(F.lit(0).alias("at"), empty.alias("out")),
-        lambda a, r: F.struct(
-            (a["at"] + r["piece"] + F.coalesce(r["found"], F.lit(0))).alias("at"),
-            F.when(
-                r["kept"] >= rule.min_chars,
-                F.concat(
-                    a["out"],
-                    F.array(
-                        F.struct(
-                            (a["at"] + r["piece"]).alias("start"),
-                            F.lit(rank).alias("rank"),
-                            (a["at"] + r["piece"] + r["found"]).alias("end"),
-                        )
+
+    def after(at: Column, r: Column) -> Column:
+        return at + r["piece"] + F.coalesce(r["found"], F.lit(0))
+
+    def placed(block: Column, at: Column, _: Column) -> Column:
+        return F.aggregate(
+            block,
+            F.struct(at.alias("at"), empty.alias("out")),
+            lambda a, r: F.struct(
+                after(a["at"], r).alias("at"),
+                F.when(
+                    r["kept"] >= rule.min_chars,
+                    F.concat(
+                        a["out"],
+                        F.array(
+                            F.struct(
+                                (a["at"] + r["piece"]).alias("start"),
+                                F.lit(rank).alias("rank"),
+                                (a["at"] + r["piece"] + r["found"]).alias("end"),
+                            )
+                        ),
                     ),
-                ),
-            )
-            .otherwise(a["out"])
-            .alias("out"),
-        ),
-        lambda a: a["out"],
+                )
+                .otherwise(a["out"])
+                .alias("out"),
+            ),
+            lambda a: a["out"],
+        )
+
+    rows = F.arrays_zip(pieces.alias("piece"), found.alias("found"), kept.alias("kept"))
+    return scanned(
+        rows, BLOCK, F.lit(0), lambda b: F.aggregate(b, F.lit(0), after), lambda at, n: at + n,
+        lambda out, _: F.flatten(out), placed,
     )
 
 
@@ -117,11 +136,18 @@ def find_secrets(
     docs: DataFrame, rules: list[Rule] = RULES, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """docs with ``_spans``: array<struct(start, rank, end)>, sorted; rank is the rule's place in ``rules``."""
+    return _searched(docs, rules, id_col, text_col).select("_doc.*", "_spans")
+
+
+def _searched(docs: DataFrame, rules: list[Rule], id_col: str, text_col: str) -> DataFrame:
+    """(_doc, _spans): each row of docs as one struct, so that no name clashes, and its spans."""
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession)
     index = scratch.save(postings(docs, rules, id_col, text_col), "postings")
-    chosen = candidates(spark, index, rules).withColumnRenamed("_id", "_cand")
-    joined = docs.join(chosen, docs[id_col].eqNullSafe(chosen["_cand"]), "left").drop("_cand")
-    text = text_or_empty(text_col)
+    chosen = candidates(spark, index, rules)
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), content_hash(text_col).alias("_own"))
+    same = whole["_doc"][id_col].eqNullSafe(chosen["_id"]) & (whole["_own"] == chosen["_hash"])
+    joined = whole.join(chosen, same, "left")
+    text = F.coalesce(F.col("_doc")[text_col], F.lit(""))
     empty = F.array().cast("array<struct<start:int,rank:int,end:int>>")
     each = [
         F.when(F.array_contains("_rules", r.kind), spans(text, r, k)).otherwise(empty)
@@ -129,7 +155,7 @@ def find_secrets(
         else spans(text, r, k)
         for k, r in enumerate(rules)
     ]
-    return joined.withColumn("_spans", F.sort_array(F.flatten(F.array(*each)))).drop("_rules")
+    return joined.select("_doc", F.sort_array(F.flatten(F.array(*each))).alias("_spans"))
 
 
 def _of_rank(rank: int):
@@ -175,28 +201,48 @@ def redact(
     text's ``count_col``, if there is one, becomes its new length.
     """
     kinds = F.array(*[F.lit(f"[{r.kind}]") for r in rules])
-    found = find_secrets(docs, rules, id_col, text_col)
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    text = F.col(text_col)
-    cut = F.aggregate(
-        "_spans",
-        start,
-        lambda a, s: F.struct(
-            F.greatest(a["at"], s["end"]).alias("at"),
-            F.when(
-                s["start"] >= a["at"],
-                F.concat(a["out"], F.substring(text, a["at"] + 1, s["start"] - a["at"]), F.get(kinds, s["rank"])),
+    found = _searched(docs, rules, id_col, text_col)
+    text = F.col("_doc")[text_col]
+
+    def pieces(block: Column, before: Column, after: Column) -> Column:
+        # The block's own stretch of the text, so that no piece is looked for from the text's beginning.
+        def cut(part: Column) -> Column:
+            return F.aggregate(
+                block,
+                F.struct(before.alias("at"), F.array().cast("array<string>").alias("out")),
+                lambda a, s: F.struct(
+                    F.greatest(a["at"], s["end"]).alias("at"),
+                    F.when(
+                        s["start"] >= a["at"],
+                        F.concat(
+                            a["out"],
+                            F.array(F.substring(part, a["at"] - before + 1, s["start"] - a["at"]), F.get(kinds, s["rank"])),
+                        ),
+                    )
+                    .otherwise(a["out"])
+                    .alias("out"),
+                ),
+                lambda a: a["out"],
             )
-            .otherwise(a["out"])
-            .alias("out"),
-        ),
-        lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))),
+
+        return named(F.substring(text, before + 1, after - before), cut)
+
+    cut = scanned(
+        F.col("_spans"), BLOCK, F.lit(0), lambda b: F.array_max(F.transform(b, lambda s: s["end"])), F.greatest,
+        lambda out, at: F.concat(F.array_join(F.flatten(out), ""), F.substring(text, at + 1, F.length(text))), pieces,
     )
-    found = found.withColumn(text_col, F.when(F.size("_spans") > 0, cut).otherwise(text))
-    if count_col in docs.columns:
-        counted = F.length(text).cast(docs.schema[count_col].dataType)
-        found = found.withColumn(count_col, F.when(F.size("_spans") > 0, counted).otherwise(F.col(count_col)))
-    return found.select(*docs.columns)
+    changed = F.size("_spans") > 0
+    found = found.select("_doc", F.when(changed, cut).otherwise(text).alias("_text"), changed.alias("_changed"))
+    out = []
+    for c in docs.columns:
+        column = F.col("_doc")[c]
+        if c == text_col:
+            column = F.col("_text")
+        elif c == count_col:
+            counted = F.length("_text").cast(docs.schema[c].dataType)
+            column = F.when(F.col("_changed"), counted).otherwise(column)
+        out.append(column.alias(c))
+    return found.select(*out)
 
 
 OP1_SQL = r"""
