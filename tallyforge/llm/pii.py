@@ -17,15 +17,17 @@ An added span must hold together (digits for a phone, a check digit for a card,
 a host for an address) and must not touch an accepted base span.
 
 Defined results: a null text is an empty one and has no spans; rows with a null
-or repeated id are searched like any other; an empty table gives no rows; other
-columns are ignored.
+or repeated id, and repeated rows, are searched one by one; of paths with equal
+scores the one with the earlier label wins; spans that begin together go by kind;
+a very long text is searched whole, its stretches decoded a bounded number of
+words at a time; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -34,6 +36,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tallyforge.llm import bytescan
 
+#: Words whose emissions and paths are held at once.
+CELLS = 1 << 14
+
 KINDS = ["email", "ip", "card", "phone"]
 LABELS = ["O", "EMAIL", "IP", "CARD", "PHONE"]
 
@@ -211,39 +216,80 @@ def train(sentences: list[tuple[list[str], list[str]]], turns: int = 80, rate: f
 
 
 def viterbi(field: Field, pieces: list[np.ndarray], outer: list[tuple[int, int]]) -> list[np.ndarray]:
-    """Best labels of each piece of emissions, between its given outer labels; pieces are decoded side by side."""
-    k = len(LABELS)
-    t = field.transitions
+    """Best labels of each piece of emissions, between its given outer labels.
+
+    Pieces of like length are decoded side by side, ``CELLS`` words at once; a
+    longer piece is decoded alone.
+    """
     out: list[np.ndarray] = [np.zeros(0, int)] * len(pieces)
     order = sorted(range(len(pieces)), key=lambda i: len(pieces[i]))
-    for low in range(0, len(order), 512):
-        own = order[low : low + 512]
-        n = np.array([len(pieces[i]) for i in own])
-        longest = int(n.max())
-        e = np.zeros((len(own), longest, k))
-        for j, i in enumerate(own):
-            e[j, : n[j]] = pieces[i]
-        first = np.array([outer[i][0] for i in own])
-        last = np.array([outer[i][1] for i in own])
-        best = e[:, 0] + t[first, :k]
-        back = np.zeros((len(own), longest, k), np.int8)
-        ended = best.copy()
-        for i in range(1, longest):
-            paths = best[:, :, None] + t[None, :k, :k]
-            back[:, i] = paths.argmax(1)
-            best = paths.max(1) + e[:, i]
-            ended[i < n] = best[i < n]
-        at = (ended + t[:k, last].T).argmax(1)
-        labels = np.zeros((len(own), longest), int)
-        rows = np.arange(len(own))
-        for i in range(longest - 1, -1, -1):
-            labels[rows, i] = at
-            at = np.where((i < n) & (i > 0), back[rows, i, at], at)
-        for j, i in enumerate(own):
-            out[i] = labels[j, : n[j]]
+    low = 0
+    while low < len(order):
+        high = low + 1
+        while high < len(order) and (high + 1 - low) * len(pieces[order[high]]) <= CELLS:
+            high += 1
+        own = order[low:high]
+        for i, labels in zip(own, _decoded(field, [pieces[i] for i in own], [outer[i] for i in own]), strict=True):
+            out[i] = labels
+        low = high
     return out
 
 
+def _decoded(field: Field, pieces: list[np.ndarray], outer: list[tuple[int, int]]) -> Iterator[np.ndarray]:
+    k = len(LABELS)
+    t = field.transitions
+    n = np.array([len(p) for p in pieces])
+    longest = int(n.max())
+    e = np.zeros((len(pieces), longest, k))
+    for j, piece in enumerate(pieces):
+        e[j, : n[j]] = piece
+    first, last = np.array(outer).T
+    best = e[:, 0] + t[first, :k]
+    back = np.zeros((len(pieces), longest, k), np.int8)
+    ended = best.copy()
+    for i in range(1, longest):
+        paths = best[:, :, None] + t[None, :k, :k]
+        back[:, i] = paths.argmax(1)
+        best = paths.max(1) + e[:, i]
+        ended[i < n] = best[i < n]
+    at = (ended + t[:k, last].T).argmax(1)
+    labels = np.zeros((len(pieces), longest), np.int8)
+    rows = np.arange(len(pieces))
+    for i in range(longest - 1, -1, -1):
+        labels[rows, i] = at
+        at = np.where((i < n) & (i > 0), back[rows, i, at], at)
+    for j in range(len(pieces)):
+        yield labels[j, : n[j]]
+
+
+def decode_long(field: Field, emitted: Callable[[int, int], np.ndarray], n: int, outer: tuple[int, int]) -> np.ndarray:
+    """The same for one piece of n words whose emissions are made ``CELLS`` words at a time.
+
+    Only the way back, a byte a word and label, is held for the whole piece.
+    """
+    k = len(LABELS)
+    t = field.transitions
+    back = np.zeros((n, k), np.int8)
+    best = np.full(k, -np.inf)
+    inner = t[:k, :k]
+    every = np.arange(k)
+    for low in range(0, n, CELLS):
+        e = emitted(low, min(low + CELLS, n))
+        for i in range(len(e)):
+            if low + i == 0:
+                best = e[0] + t[outer[0], :k]
+                continue
+            paths = best[:, None] + inner
+            back[low + i] = way = paths.argmax(0)
+            best = paths[way, every] + e[i]
+    labels = np.zeros(n, np.int8)
+    at = int((best + t[:k, outer[1]]).argmax())
+    for i in range(n - 1, -1, -1):
+        labels[i] = at
+        at = int(back[i, at])
+    return labels
+
+
 # Applying it
 
 _STRIP = b".,;:!?()[]<>\"'"
@@ -299,17 +345,37 @@ def field_spans(field: Field, raw: np.ndarray, at: np.ndarray) -> list[list[tupl
     if not len(chosen):
         return found
     cuts = np.flatnonzero((np.diff(chosen) > 1) | (np.diff(owner[chosen]) > 0)) + 1
-    pieces, outer, places = [], [], []
     edge = len(LABELS)
-    for run in np.split(chosen, cuts):
-        a, b, row = run[0], run[-1] + 1, owner[run[0]]
+
+    def emitted(a: int, b: int, row: int) -> np.ndarray:
         low, high = max(a - 1, bounds[row]), min(b + 1, bounds[row + 1])
         shapes = [shape(data[starts[i] : ends[i]].decode()) for i in range(low, high)]
-        emitted = field.emissions(shapes)[a - low : b - low]
-        pieces.append(emitted)
-        outer.append((edge if a == bounds[row] else 0, edge if b == bounds[row + 1] else 0))
-        places.append((a, row))
-    for labels, (a, row) in zip(viterbi(field, pieces, outer), places, strict=True):
+        return field.emissions(shapes)[a - low : b - low]
+
+    def decoded() -> Iterator[tuple[np.ndarray, int, int]]:
+        """(labels, first word, row) of every run; short runs wait until they fill a batch."""
+        held: list[tuple[np.ndarray, tuple[int, int], int, int]] = []
+        size = 0
+        for run in np.split(chosen, cuts):
+            a, b = int(run[0]), int(run[-1]) + 1
+            row = int(owner[a])
+            ends_at = (edge if a == bounds[row] else 0, edge if b == bounds[row + 1] else 0)
+            if b - a > CELLS:
+                yield decode_long(field, lambda x, y: emitted(a + x, a + y, row), b - a, ends_at), a, row  # noqa: B023
+                continue
+            held.append((emitted(a, b, row), ends_at, a, row))
+            size += b - a
+            if size > 4 * CELLS:
+                yield from flushed(held)
+                held, size = [], 0
+        if held:
+            yield from flushed(held)
+
+    def flushed(held: list) -> Iterator[tuple[np.ndarray, int, int]]:
+        for labels, (_, _, a, row) in zip(viterbi(field, [h[0] for h in held], [h[1] for h in held]), held, strict=True):
+            yield labels, a, row
+
+    for labels, a, row in decoded():
         i = 0
         while i < len(labels):
             j = i + 1
