@@ -12,18 +12,24 @@ in any occurrence of a window are hit. Three steps, each exact after the last:
 3. Verification. Windows that remain are written out as text and joined with
    the benchmark's windows by their words.
 
-The bit sets are constants of the plan and bounded (``MAX_BITS``); a benchmark
-too long for them goes without, and Spark joins the windows by shuffle.
+The bit sets are constants of the plan. A benchmark of more windows than
+``MAX_BITS`` allows for is dealt into shards, runs of ``RUN`` windows of an item
+staying together; each shard is one pass over the texts by the same three
+steps, and the passes' hits are put together.
 
 Defined results: a null text has no words; a document or item without words
-hits nothing; repeated items count under each of their ids; rows with a null or
-repeated id are judged one by one; an empty benchmark hits nothing; other
-columns are ignored.
+hits nothing; repeated items count under each of their ids; rows are judged by
+id and content, so rows with a null or repeated id get what their own text
+gives, and equal rows equal results; windows of any place and length that
+overlap count a word once; a very long text is taken whole, with one hash a word
+and one number a listed window; an empty benchmark hits nothing; other columns,
+whatever their names, are ignored.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,7 +40,10 @@ from tallyforge.llm.scratch import Scratch
 #: ASCII letters and digits, and everything beyond ASCII; either case, as lower-casing follows.
 WORDS = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 WINDOW = 13
+#: Bits of one shard's set of windows, and windows of an item that stay in one shard.
 MAX_BITS = 1 << 22
+BITS_EACH = 32
+RUN = 4096
 
 
 @dataclass(frozen=True)
@@ -46,12 +55,9 @@ class BitSet:
         return bit_is_set(long_array(self.words), self.n_bits, hashed)
 
 
-def bit_set(hashes: DataFrame) -> BitSet | None:
-    """The column ``h`` as a bit set of 32 bits a value; None beyond MAX_BITS."""
-    n = hashes.count()
-    n_bits = max(64, 1 << max(1, n * 32 - 1).bit_length())
-    if n_bits > MAX_BITS:
-        return None
+def bit_set(hashes: DataFrame) -> BitSet:
+    """The column ``h`` as a bit set of ``BITS_EACH`` bits a value or more."""
+    n_bits = max(64, 1 << max(1, hashes.count() * BITS_EACH - 1).bit_length())
     at = F.col("h").bitwiseAND(F.lit(n_bits - 1))
     rows = (
         hashes.select(F.shiftright(at, 6).alias("word"), (at % 64).cast("int").alias("bit"))
@@ -84,14 +90,15 @@ def _text(words: Column, first: Column, n: int) -> Column:
 
 
 def benchmark_windows(items: DataFrame, scratch: Scratch, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """(length, window, item, hashes): the distinct windows of every item, and its word hashes."""
+    """(length, window, item, run, hashes): the windows of every item, its run and its word hashes."""
     words = items.select(F.col(id_col).alias("item"), matches(text_or_empty(text_col), WORDS).alias("words"))
     words = words.where(F.size("words") > 0).withColumn("hashes", _hashes(F.col("words")))
     words = words.withColumn("length", F.least(F.size("words"), F.lit(WINDOW)))
     placed = words.select("item", "length", "words", "hashes", F.explode(indices(0, F.size("words") - F.col("length"))).alias("i"))
     full = F.translate(F.array_join(F.slice("words", F.col("i") + 1, F.col("length")), " "), UPPER, LOWER)
     part = F.slice("hashes", F.col("i") + 1, F.col("length"))
-    return scratch.save(placed.select("item", "length", full.alias("window"), part.alias("hashes")), "windows")
+    run = F.xxhash64("item", F.floor(F.col("i") / RUN)).alias("run")
+    return scratch.save(placed.select("item", "length", full.alias("window"), run, part.alias("hashes")), "windows")
 
 
 def contamination(
@@ -106,70 +113,37 @@ def contamination(
 
     The hash of the text tells apart rows that share an id.
     """
-    spark, scratch = docs.sparkSession, Scratch(docs.sparkSession)
+    scratch = Scratch(docs.sparkSession)
     bench = benchmark_windows(items, scratch, item_id_col, item_text_col)
-    lengths = sorted(r["length"] for r in bench.select("length").distinct().collect())  # WINDOW values at most
-    anchors: dict[int, BitSet | None] = {}
-    whole: dict[int, BitSet | None] = {}
-    for n in lengths:
-        own = bench.where(F.col("length") == n)
-        gram, _ = _gram_size(n)
-        grams = own.select(F.explode(F.transform(indices(0, F.lit(n - gram)), lambda i: _gram(F.col("hashes"), i, gram))).alias("h"))
-        anchors[n] = bit_set(grams.distinct())
-        whole[n] = bit_set(own.select(_gram(F.col("hashes"), F.lit(0), n).alias("h")).distinct())
-
-    step = docs.select(
+    texts = docs.select(
         F.col(id_col).alias("_id"),
         content_hash(text_col).alias("content_hash"),
         matches(text_or_empty(text_col), WORDS).alias("_words"),
     )
-    step = step.select("_id", "content_hash", "_words", F.size("_words").alias("_n"), _hashes(F.col("_words")).alias("_h"))
-    h, size = F.col("_h"), F.col("_n")
-    maybe = F.lit(False)
-    for n in lengths:
-        gram, distance = _gram_size(n)
-        if anchors[n] is None:
-            maybe = maybe | (size >= n)
-        else:
-            at = indices(0, size - gram, distance)
-            maybe = maybe | ((size >= n) & F.exists(at, _listed(anchors[n], h, gram)))
-    step = step.withColumn("_maybe", maybe)
-    found = []
-    for n in lengths:
-        places = indices(0, size - n)
-        if whole[n] is not None:
-            places = F.filter(places, _listed(whole[n], h, n))
-        found.append(F.transform(places, _written_out(n)))
-    empty = F.array().cast("array<struct<length:int,i:int,window:string>>")
-    windows = F.when(F.col("_maybe"), F.concat(*found)).otherwise(empty) if found else empty
-    # Rows are numbered where they are written, so rows that share an id stay apart.
-    rows = scratch.save(
-        step.select(
-            F.monotonically_increasing_id().alias("_row"),
-            "_id",
-            "content_hash",
-            F.col("_n").cast("long").alias("n_words"),
-            windows.alias("_windows"),
-        ),
-        "documents",
-    )
-    hits = (
-        rows.where(F.size("_windows") > 0)
-        .select("_row", F.inline("_windows"))
-        .join(bench.select("length", "window", "item"), ["length", "window"])
+    shards = max(1, -(-bench.count() // max(1, MAX_BITS // BITS_EACH)))
+    passes = []
+    for k in range(shards):
+        part = _candidates(texts, bench.where(F.pmod("run", F.lit(shards)) == k))
+        # The first pass keeps every row, the others what they found.
+        passes.append(scratch.save(part if k == 0 else part.where(F.size("_windows") > 0), f"pass-{k}"))
+    rows = passes[0]
+    hits = reduce(DataFrame.unionByName, [p.where(F.size("_windows") > 0) for p in passes])
+    hits = hits.select("_id", "content_hash", F.inline("_windows")).join(
+        bench.select("length", "window", "item"), ["length", "window"]
     )
-    # A row's groups are bounded by its own words and by the benchmark's items.
+    # A group is one text's hits, bounded by its own words and by the benchmark's items.
     covered = (
-        hits.groupBy("_row")
+        hits.groupBy("_id", "content_hash")
         .agg(
             F.sort_array(F.collect_set(F.struct("i", "length"))).alias("at"),
             F.sort_array(F.collect_set(F.col("item").cast("string"))).alias("items"),
         )
-        .select("_row", _covered(F.col("at")).alias("n_hit"), "items")
+        .select(F.col("_id").alias("_hit"), F.col("content_hash").alias("_hash"), _covered(F.col("at")).alias("n_hit"), "items")
     )
+    same = rows["_id"].eqNullSafe(covered["_hit"]) & (rows["content_hash"] == covered["_hash"])
     n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))
     names = F.coalesce("items", F.array().cast("array<string>"))
-    return rows.join(covered, "_row", "left").select(
+    return rows.join(covered, same, "left").select(
         F.col("_id").alias(id_col),
         "n_words",
         n_hit.alias("n_hit"),
@@ -180,6 +154,30 @@ def contamination(
     )
 
 
+def _candidates(texts: DataFrame, bench: DataFrame) -> DataFrame:
+    """_id, content_hash, n_words and the places that a shard's bit sets pass, each with its words."""
+    lengths = sorted(r["length"] for r in bench.select("length").distinct().collect())  # WINDOW values at most
+    anchors: dict[int, BitSet] = {}
+    whole: dict[int, BitSet] = {}
+    for n in lengths:
+        own = bench.where(F.col("length") == n)
+        gram, _ = _gram_size(n)
+        grams = own.select(F.explode(F.transform(indices(0, F.lit(n - gram)), lambda i: _gram(F.col("hashes"), i, gram))).alias("h"))
+        anchors[n] = bit_set(grams.distinct())
+        whole[n] = bit_set(own.select(_gram(F.col("hashes"), F.lit(0), n).alias("h")).distinct())
+    step = texts.select("_id", "content_hash", "_words", F.size("_words").alias("_n"), _hashes(F.col("_words")).alias("_h"))
+    h, size = F.col("_h"), F.col("_n")
+    maybe = F.lit(False)
+    for n in lengths:
+        gram, distance = _gram_size(n)
+        maybe = maybe | ((size >= n) & F.exists(indices(0, size - gram, distance), _listed(anchors[n], h, gram)))
+    found = [F.transform(F.filter(indices(0, size - n), _listed(whole[n], h, n)), _written_out(n)) for n in lengths]
+    empty = F.array().cast("array<struct<length:int,i:int,window:string>>")
+    step = step.withColumn("_maybe", maybe)
+    windows = F.when(F.col("_maybe"), F.concat(*found)).otherwise(empty) if found else empty
+    return step.select("_id", "content_hash", size.cast("long").alias("n_words"), windows.alias("_windows"))
+
+
 def _listed(known: BitSet, hashes: Column, n: int):
     return lambda i: known.has(_gram(hashes, i, n))
 
@@ -209,7 +207,11 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The documents that are not contaminated, with their columns."""
+    """The documents that are not contaminated, with their columns: the pipeline's third stage.
+
+    Rows go by id and content, so of rows that share an id only those with a
+    contaminated text go. Null and empty texts, which hit nothing, stay.
+    """
     return without(docs, contamination(docs, items).where("contaminated"), "doc_id", content_hash("text"))
 
 
