@@ -8,26 +8,36 @@ the third encodes the listed keys that the second wrongly passes; and so on
 until a level passes nothing wrongly. For every key of the corpus the answer is
 then exact, and it is a few bit tests on constants: no join.
 
-A level's bits are a constant of the plan, so their number is bounded
-(``MAX_BITS``); a list too long for that is joined by key instead, with the
-same result.
+A level's bits are a constant of the plan. A level is sized for the keys it must
+keep out: the first for the whole corpus, so that what it wrongly passes is
+about as many keys as are listed, however large the corpus; each later one for
+the keys before it. A list of more keys than ``MAX_BITS`` allows for is dealt
+into shards by a hash of the key; a pass over the URLs looks up one shard's keys
+in that shard's cascade, and the passes' answers are put together.
 
 Defined results: a null URL or one without ``://`` has an empty host and path
-and gets the default verdict; an empty table gives no rows; repeated rows are
-judged one by one; other columns are ignored; null listed keys are ignored.
+and gets the default verdict; of rules of equal length the last in string order
+wins, and a key listed under both verdicts is blocked; an empty table gives no
+rows; repeated rows, null ids and ids of any type are judged row by row; a very
+long URL has as many keys as its host has labels times the rules' path lengths;
+null listed keys are ignored; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyforge.llm.columns import LOWER, UPPER, bit_is_set, literal_rows, long_array
+from tallyforge.llm.scratch import Scratch
 
-HASHES = 3
+#: Bits that a shard's first level may take, at about ``BITS_EACH`` a key.
 MAX_BITS = 1 << 23
+BITS_EACH = 64
+MOST_HASHES = 40
 
 #: Fixed values of the contract.
 RULES = [
@@ -64,23 +74,30 @@ def url_keys(host: Column, path: Column, lengths: list[int]) -> Column:
 @dataclass(frozen=True)
 class Level:
     seed: int
+    n_hashes: int
     n_bits: int
     words: list[int]
 
     def passes(self, key: Column) -> Column:
         bits = long_array(self.words)
         found = F.lit(True)
-        for k in range(HASHES):
-            found = found & bit_is_set(bits, self.n_bits, F.xxhash64(key, F.lit(self.seed * HASHES + k)))
+        for k in range(self.n_hashes):
+            found = found & bit_is_set(bits, self.n_bits, _hashed(key, self.seed, k))
         return found
 
 
-def build_level(keys: DataFrame, seed: int, n_keys: int, bits_per_key: int = 16) -> Level | None:
-    """A Bloom filter of the column ``key``; None beyond MAX_BITS. At most n_bits / 64 rows reach the driver."""
-    n_bits = max(64, 1 << (n_keys * bits_per_key - 1).bit_length())
-    if n_bits > MAX_BITS:
-        return None
-    at = [F.xxhash64("key", F.lit(seed * HASHES + k)).bitwiseAND(F.lit(n_bits - 1)) for k in range(HASHES)]
+def _hashed(key: Column, seed: int, k: int) -> Column:
+    return F.xxhash64(key, F.lit(seed * MOST_HASHES + k))
+
+
+def build_level(keys: DataFrame, seed: int, n_keys: int, n_others: int) -> Level:
+    """A Bloom filter of the column ``key`` that wrongly passes about n_keys / 4 of n_others keys.
+
+    Half of its bits are set, so a key that is not listed takes two look-ups on average.
+    """
+    n_hashes = min(MOST_HASHES, max(1, math.ceil(math.log2(max(1.0, n_others / n_keys)))) + 2)
+    n_bits = max(64, 1 << math.ceil(math.log2(n_keys * n_hashes / math.log(2))))
+    at = [_hashed(F.col("key"), seed, k).bitwiseAND(F.lit(n_bits - 1)) for k in range(n_hashes)]
     set_bits = (
         keys.select(F.explode(F.array(*at)).alias("at"))
         .groupBy(F.shiftright("at", 6).alias("word"))
@@ -89,7 +106,7 @@ def build_level(keys: DataFrame, seed: int, n_keys: int, bits_per_key: int = 16)
     words = [0] * (n_bits // 64)
     for row in set_bits.collect():
         words[row["word"]] = row["bits"]
-    return Level(seed, n_bits, words)
+    return Level(seed, n_hashes, n_bits, words)
 
 
 @dataclass(frozen=True)
@@ -104,34 +121,28 @@ class Cascade:
         return answer
 
 
-def build_cascade(listed: DataFrame, universe: DataFrame) -> Cascade | None:
+def build_cascade(listed: DataFrame, universe: DataFrame, n_universe: int, scratch: Scratch, name: str) -> Cascade:
     """From the distinct listed keys and all keys of the corpus (column ``key``, repeats allowed)."""
     n = listed.count()
     if n == 0:
         return Cascade([])
-    first = build_level(listed, 0, n)
-    if first is None:
-        return None
-    levels = [first]
+    levels = [build_level(listed, 0, n, n_universe)]
     inside = listed
     # Only keys that the first level passes can ever be wrong, so only they are gathered.
-    outside = universe.where(first.passes(F.col("key"))).distinct().join(listed, "key", "left_anti").cache()
-    try:
-        while True:
-            seed = len(levels)
-            wrong = outside if seed % 2 else inside
-            if seed > 1:
-                for level in levels[1 + seed % 2 :: 2]:
-                    wrong = wrong.where(level.passes(F.col("key")))
-            n = wrong.count()
-            if n == 0:
-                return Cascade(levels)
-            level = build_level(wrong, seed, n)
-            if level is None:
-                return None
-            levels.append(level)
-    finally:
-        outside.unpersist()
+    outside = scratch.save(
+        universe.where(levels[0].passes(F.col("key"))).distinct().join(listed, "key", "left_anti"), name
+    )
+    others = n
+    while True:
+        seed = len(levels)
+        wrong = outside if seed % 2 else inside
+        for level in levels[1 + seed % 2 :: 2]:
+            wrong = wrong.where(level.passes(F.col("key")))
+        n = wrong.count()
+        if n == 0:
+            return Cascade(levels)
+        levels.append(build_level(wrong, seed, n, others))
+        others = n
 
 
 def url_verdicts(
@@ -145,58 +156,47 @@ def url_verdicts(
     """id, host, path, rule, verdict for each row of pages.
 
     ``rules`` has (host, path, verdict), at most a few path lengths; ``blocked``
-    has (host), hosts blocked where no rule fits.
+    has (host), hosts blocked where no rule fits. Both may be tables of any length.
     """
+    scratch = Scratch(pages.sparkSession)
     rules = rules.where(F.col("host").isNotNull() & F.col("path").isNotNull())
-    named = rules.select(F.concat("host", "path").alias("key"), "verdict").dropDuplicates(["key"])
+    named = rules.groupBy(F.concat("host", "path").alias("key")).agg(F.max("verdict").alias("verdict"))
+    named = scratch.save(named, "rules")
     lengths = sorted(r["n"] for r in rules.select(F.length("path").alias("n")).distinct().collect())
-    hosts = blocked.where(F.col("host").isNotNull()).select(F.col("host").alias("key")).distinct()
+    hosts = scratch.save(blocked.where(F.col("host").isNotNull()).select(F.col("host").alias("key")).distinct(), "hosts")
     urls = pages.select(
         F.col(id_col).alias("_id"), url_host(F.col(url_col)).alias("host"), url_path(F.col(url_col)).alias("path")
     )
-    rule_keys = urls.select(F.explode(url_keys(F.col("host"), F.col("path"), lengths)).alias("key"))
-    host_keys = urls.select(F.explode(url_keys(F.col("host"), F.lit(""), [0])).alias("key"))
-    allow = build_cascade(named.where("verdict = 'allow'").select("key"), rule_keys)
-    block = build_cascade(named.where("verdict = 'block'").select("key"), rule_keys)
-    junk = build_cascade(hosts, host_keys)
-    if allow is None or block is None or junk is None:
-        return _joined(urls, named, hosts, lengths, default).withColumnRenamed("_id", id_col)
-    keyed = urls.withColumn("_keys", url_keys(F.col("host"), F.col("path"), lengths))
-    fits = F.filter("_keys", lambda k: allow.contains(k) | block.contains(k))
-    longest = F.array_max(F.transform(fits, lambda k: F.struct(F.length(k).alias("n"), k.alias("k"))))["k"]
-    keyed = keyed.withColumn("rule", longest)
-    listed = F.exists(url_keys(F.col("host"), F.lit(""), [0]), lambda k: junk.contains(k))
+    rule_keys, host_keys = url_keys(F.col("host"), F.col("path"), lengths), url_keys(F.col("host"), F.lit(""), [0])
+    totals = urls.agg(F.sum(F.size(rule_keys).cast("long")).alias("r"), F.sum(F.size(host_keys).cast("long")).alias("h")).first()
+    shards = max(1, -(-max(named.count(), hosts.count()) // max(1, MAX_BITS // BITS_EACH)))
+    none = F.lit(None).cast("struct<n:int,k:string,blocked:boolean>")
+    answer = urls.select("_id", "host", "path", none.alias("_best"), F.lit(False).alias("_listed"))
+    for s in range(shards):
+        own = lambda k: F.pmod(F.xxhash64(k, F.lit(-1)), F.lit(shards)) == s  # noqa: B023, E731
+        listed = lambda df: df.select("key").where(own(F.col("key")))
+        ruled, hosted = (listed(urls.select(F.explode(k).alias("key"))) for k in (rule_keys, host_keys))
+        allow = build_cascade(listed(named.where("verdict = 'allow'")), ruled, totals["r"] or 0, scratch, f"allow-{s}")
+        block = build_cascade(listed(named.where("verdict = 'block'")), ruled, totals["r"] or 0, scratch, f"block-{s}")
+        junk = build_cascade(listed(hosts), hosted, totals["h"] or 0, scratch, f"junk-{s}")
+        mine = (lambda k: own(k)) if shards > 1 else (lambda k: F.lit(True))
+        fit = lambda k: F.when(block.contains(k), True).when(allow.contains(k), False)  # noqa: B023, E731
+        judged = F.transform(rule_keys, lambda k: F.struct(F.length(k).alias("n"), k.alias("k"), F.when(mine(k), fit(k)).alias("blocked")))  # noqa: B023
+        best = F.array_max(F.filter(judged, lambda x: x["blocked"].isNotNull()))
+        answer = answer.withColumns(
+            {
+                "_best": F.greatest(F.col("_best"), best),
+                "_listed": F.col("_listed") | F.exists(host_keys, lambda k: mine(k) & junk.contains(k)),  # noqa: B023
+            }
+        )
+        if shards > 1:
+            answer = scratch.save(answer, f"answer-{s}")
     verdict = (
-        F.when(F.col("rule").isNotNull(), F.when(block.contains(F.col("rule")), "block").otherwise("allow"))
-        .when(listed, "block")
+        F.when(F.col("_best").isNotNull(), F.when(F.col("_best.blocked"), "block").otherwise("allow"))
+        .when(F.col("_listed"), "block")
         .otherwise(default)
     )
-    return keyed.select(F.col("_id").alias(id_col), "host", "path", "rule", verdict.alias("verdict"))
-
-
-def _joined(urls: DataFrame, named: DataFrame, hosts: DataFrame, lengths: list[int], default: str) -> DataFrame:
-    """The same verdicts by joins on keys, for lists too long for constants."""
-    places = urls.select("host", "path").distinct()
-    by_rule = (
-        places.withColumn("key", F.explode(url_keys(F.col("host"), F.col("path"), lengths)))
-        .join(named, "key")
-        .groupBy("host", "path")
-        .agg(F.max(F.struct(F.length("key").alias("n"), F.col("key").alias("rule"), "verdict")).alias("best"))
-    )
-    by_host = (
-        places.select("host").distinct()
-        .withColumn("key", F.explode(url_keys(F.col("host"), F.lit(""), [0])))
-        .join(hosts, "key", "left_semi")
-        .select("host", F.lit(True).alias("listed")).distinct()
-    )
-    verdict = (
-        F.when(F.col("best").isNotNull(), F.col("best.verdict")).when(F.col("listed"), "block").otherwise(default)
-    )
-    return (
-        urls.join(by_rule, ["host", "path"], "left")
-        .join(by_host, "host", "left")
-        .select("_id", "host", "path", F.col("best.rule").alias("rule"), verdict.alias("verdict"))
-    )
+    return answer.select(F.col("_id").alias(id_col), "host", "path", F.col("_best.k").alias("rule"), verdict.alias("verdict"))
 
 
 def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
