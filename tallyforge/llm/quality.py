@@ -8,9 +8,11 @@ and its verdict goes back to its documents: there, a document that fails any
 rule is dropped; elsewhere only base failures are.
 
 Defined results: a null or empty text has no words and fails the base rule; a
-null host is a host of its own; an empty table gives no rows; repeated rows
-are judged one by one; other columns are ignored. Repeated windows and lines
-are compared by 64-bit hashes within one document.
+null host is a host of its own; an empty table gives no rows; rows with a null
+or repeated id, and repeated rows, are judged one by one; a rate equal to the
+limit does not reject; a very long text is taken whole, with one hash a word and
+a window; other columns, whatever their names, are ignored. Repeated windows are
+compared by 64-bit hashes within one document.
 """
 
 from __future__ import annotations
@@ -172,7 +174,8 @@ def quality_verdicts(
         {"base_failed": base_failed(rules), "soft_failed": soft_failed(rules)}
     )
     judged = scratch.save(judged, "counts")
-    hosts = host_rates(judged)
+    # Written, so that Spark knows its size: a small table is broadcast, and beside a large one a hot host is split.
+    hosts = scratch.save(host_rates(judged), "hosts")
     return judged.join(hosts, "host", "left").withColumn(
         "kept", ~F.col("base_failed") & ~((F.col("host_rate") > rules.host_limit) & F.col("soft_failed"))
     )
