@@ -1,5 +1,8 @@
 """License scans: planted notices, changed words, and texts without any."""
 
+import random
+import re
+
 from tallyforge.llm import licenses
 
 
@@ -58,3 +61,47 @@ def test_short_notices_with_changed_words():
                 for middle in ([], ["other"]):
                     got = places(" ".join(words[:k] + middle + words[k + 1 :]))
                     assert (name, len(words) - 1) in [p[:2] for p in got], (name, k, middle)
+
+
+def full_alignment(doc, template):
+    """(score, matched) of the best local alignment without any band, by plain dynamic programming."""
+    best = (0, 0)
+    row = [(0, 0)] * (len(doc) + 1)
+    for t in template:
+        new = [(0, 0)]
+        for j, d in enumerate(doc):
+            same = t == d
+            s, m = row[j]
+            options = [(s + (2 if same else -1), m + same), (row[j + 1][0] - 1, row[j + 1][1]), (new[j][0] - 1, new[j][1]), (0, 0)]
+            new.append(max(options))
+        row = new
+        best = max(best, max(row))
+    return best
+
+
+def test_against_full_alignment():
+    """A noisy notice among other words is found where the best alignment of all covers it, with as many matched words."""
+    rng = random.Random(6)
+    for name in ("mit", "apache-2.0", "gpl-3.0", "cc-by-nc-4.0"):
+        template = [w.lower() for w in re.findall("[A-Za-z0-9]+", licenses.TEMPLATES[name])]
+        for _ in range(60):
+            noisy = [rng.choice(["other", None]) if rng.random() < 0.12 else w for w in template]
+            filler = [f"x{k}" for k in range(rng.randrange(1, 30))]
+            doc = filler + [w for w in noisy if w] + filler[::-1]
+            _, matched = full_alignment(doc, template)
+            got = [p for p in places(" ".join(doc)) if p[0] == name]
+            if matched >= licenses.MIN_COVERAGE * len(template):
+                assert [p[1] for p in got] == [matched], (name, doc)
+            else:
+                assert got == [], (name, doc)
+
+
+def test_whole_texts_are_found(spark):
+    """Whole license texts with changed words; repeated rows and null ids are scanned one by one."""
+    text = licenses.TEMPLATES["mit-text"]
+    changed = text.replace("AUTHORS", "CONTRIBUTORS").replace("Software is furnished", "Software was given")
+    rows = [(None, "top\n" + changed), (7, licenses.TEMPLATES["isc-text"]), (7, licenses.TEMPLATES["isc-text"])]
+    out = licenses.license_matches(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((str(r.doc_id), r.license) for r in out) == [("7", "isc-text")] * 2 + [("None", "mit-grant"), ("None", "mit-text")]
+    whole = next(r for r in out if r.license == "mit-text")
+    assert whole.matched_words == whole.template_words - 3
