@@ -20,8 +20,11 @@ leaves, so an edit costs one block and a path of logarithmic length.
 Defined results: a null text is an empty one; edits that are null or out of
 range are clipped to the text; edits of one document apply in order of their
 number, each to the text that the last one left; a document without edits is
-counted once; rows with a null or repeated id are counted one by one; an empty
-table gives no rows; other columns are ignored.
+counted once; rows with a null or repeated id, and repeated rows, are counted
+one by one; a text with the added token or with characters that Unicode has not
+assigned is one leaf, which each edit encodes again; a very long text is split
+once and an edit costs a block and a path of the tree; an empty table gives no
+rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,6 +32,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,6 +40,13 @@ from tallyforge.llm.packing import _PLAIN, _SPLIT, SPECIAL, default_ranks, encod
 
 BLOCK = 256
 
+#: The pre-tokenizer's pattern (fixed value) for all scripts; on the characters of ``_SPLIT`` both split alike.
+_WIDE_SPLIT = regex.compile(
+    r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
+)
+#: Characters whose class depends on the version of Unicode that a reader knows.
+_UNASSIGNED = regex.compile(r"\p{Cn}")
+
 
 class SumTree:
     """Characters and tokens of blocks in a binary tree of sums; blocks are found by character in logarithmic time."""
@@ -77,7 +88,9 @@ class CountedText:
     def __init__(self, text: str, encode):
         self.encode = encode
         self.encoded_chars = len(text)
-        self.plain = bool(_PLAIN.fullmatch(text)) and SPECIAL not in text
+        narrow = bool(_PLAIN.fullmatch(text))
+        self.split = _SPLIT if narrow else _WIDE_SPLIT
+        self.plain = SPECIAL not in text and (narrow or not _UNASSIGNED.search(text))
         leaves = self._leaves(text)
         self.blocks = [leaves[i : i + BLOCK] for i in range(0, len(leaves), BLOCK)] or [[]]
         self._sum()
@@ -90,9 +103,9 @@ class CountedText:
     def _leaves(self, text: str) -> list[tuple[str, int]]:
         if not text:
             return []
-        if not self.plain:  # other characters: one leaf, split and encoded by the tokenizer itself
+        if not self.plain:  # the added token or unassigned characters: one leaf, encoded by the tokenizer itself
             return [(text, len(self.encode.ids(text)) // 4)]
-        return [(w, len(self.encode[w]) // 4) for w in _SPLIT.findall(text)]
+        return [(w, len(self.encode[w]) // 4) for w in self.split.findall(text)]
 
     @property
     def tokens(self) -> int:
@@ -109,7 +122,10 @@ class CountedText:
         """Puts ``new`` in place of start:end; returns the characters that were encoded again."""
         start = min(max(start, 0), self.chars)
         end = min(max(end, start), self.chars)
-        if not self.plain or not _PLAIN.fullmatch(new) or self._makes_special(start, end, new):
+        narrow = bool(_PLAIN.fullmatch(new))
+        if not narrow:
+            self.split = _WIDE_SPLIT
+        if not self.plain or not narrow and _UNASSIGNED.search(new) or self._makes_special(start, end, new):
             text = self.text()
             encoded = self.encoded_chars
             self.__init__(text[:start] + new + text[end:], self.encode)
@@ -143,7 +159,7 @@ class CountedText:
         while True:
             whole = changed + tail
             pieces, done, agreed, cut = [], 0, 0, None
-            for m in _SPLIT.finditer(whole):
+            for m in self.split.finditer(whole):
                 pieces.append(m.group())
                 done = m.end()
                 left = len(whole) - done

@@ -27,6 +27,36 @@ def test_counts_after_edits(text, edits):
         assert counted.chars == len(text)
 
 
+SCRIPTS = PIECES + ["“", "”", "’s", "—", "…", "Привет", " мир", "漢字", "かな", "한국", "عربى", "हिन्दी", "😀", "\u00a0", "\u2003", "\u3000", "½", "١٢", "e\u0301", "\x1c", "\u200d", "\u0378"]
+WIDE = st.lists(st.sampled_from(SCRIPTS), max_size=40).map("".join)
+
+
+@settings(max_examples=400, deadline=None)
+@given(WIDE, st.lists(st.tuples(st.integers(0, 90), st.integers(0, 20), st.lists(st.sampled_from(SCRIPTS), max_size=4).map("".join)), max_size=4))
+def test_counts_after_edits_in_any_script(text, edits):
+    encode = encoder(default_ranks())
+    counted = tokencount.CountedText(text, encode)
+    assert counted.tokens == len(encode.ids(text)) // 4
+    for start, n, new in edits:
+        counted.replace(start, start + n, new)
+        text = text[: min(start, len(text))] + new + text[start + n :]
+        assert counted.text() == text
+        assert counted.tokens == len(encode.ids(text)) // 4
+
+
+def test_long_texts_of_other_scripts_encode_little():
+    rng = random.Random(5)
+    encode = encoder(default_ranks())
+    text = " ".join("".join(rng.choice("абвгд漢字かな") for _ in range(rng.randint(1, 8))) for _ in range(5000))
+    counted = tokencount.CountedText(text, encode)
+    assert counted.encoded_chars == len(text)
+    for new in ["", " новые слова", "“", "\n\n", "漢"] * 8:
+        start = rng.randrange(len(text))
+        assert counted.replace(start, start + 5, new) < 150
+        text = text[:start] + new + text[start + 5 :]
+    assert counted.text() == text and counted.tokens == len(encode.ids(text)) // 4
+
+
 def test_long_texts_encode_little():
     rng = random.Random(3)
     encode = encoder(default_ranks())
@@ -43,7 +73,7 @@ def test_long_texts_encode_little():
 
 def test_query_rows(spark):
     rows = [(1, "some text here", "x"), (None, None, "y"), (1, "", "z"), (2, "long " * 4000, "w")]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, edits string").drop("edits")
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_tokens string")
     out = tokencount.edited_counts(docs.withColumn("edits", tokencount.derived_edits("doc_id", "text"))).collect()
     assert len(out) == 4
     assert {r.n_tokens for r in out if r.doc_id is None} == {0}
