@@ -17,28 +17,41 @@ came out as before.
 Leaves lie in blocks of about ``BLOCK`` leaves, whose sums are the inner nodes'
 leaves, so an edit costs one block and a path of logarithmic length.
 
+Trees are kept as a column: ``count_trees`` encodes each text once and gives its
+tree; ``edit_trees`` reads texts, trees and edits and gives the new ones, so that
+later runs start from them. A document without edits is passed on as it is, and
+one with edits has its leaves cut from its text without encoding them.
+
 Defined results: a null text is an empty one; edits that are null or out of
 range are clipped to the text; edits of one document apply in order of their
 number, each to the text that the last one left; a document without edits is
-counted once; rows with a null or repeated id, and repeated rows, are counted
-one by one; a text with the added token or with characters that Unicode has not
-assigned is one leaf, which each edit encodes again; a very long text is split
-once and an edit costs a block and a path of the tree; an empty table gives no
-rows; other columns are ignored.
+counted once and keeps its text and tree; a null tree is built anew; rows with a
+null or repeated id, and repeated rows, are counted one by one; a text with the
+added token or with characters that Unicode has not assigned is one leaf, which
+each edit encodes again; a very long text is split once and an edit costs a block
+and a path of the tree; an empty table gives no rows; ``count_trees`` keeps other
+columns and replaces one with the tree column's name, the other functions leave
+them out.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import accumulate
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallyforge.llm.packing import _PLAIN, _SPLIT, SPECIAL, default_ranks, encoder
+from tallyforge.llm.scratch import Scratch
 
 BLOCK = 256
+#: Leaves that a task holds before it hands a batch on; a longer text makes a batch of its own.
+BATCH_LEAVES = 1_000_000
 
 #: The pre-tokenizer's pattern (fixed value) for all scripts; on the characters of ``_SPLIT`` both split alike.
 _WIDE_SPLIT = regex.compile(
@@ -63,6 +76,13 @@ class SumTree:
             self.chars[i] = self.chars[2 * i] + self.chars[2 * i + 1]
             self.tokens[i] = self.tokens[2 * i] + self.tokens[2 * i + 1]
 
+    @classmethod
+    def of_sums(cls, chars: list[int], tokens: list[int]) -> SumTree:
+        """A tree from the sums that one held before."""
+        tree = cls.__new__(cls)
+        tree.size, tree.chars, tree.tokens = len(chars) // 2, chars, tokens
+        return tree
+
     def set(self, at: int, chars: int, tokens: int) -> None:
         i = at + self.size
         self.chars[i], self.tokens[i] = chars, tokens
@@ -88,13 +108,42 @@ class CountedText:
     def __init__(self, text: str, encode):
         self.encode = encode
         self.encoded_chars = len(text)
-        narrow = bool(_PLAIN.fullmatch(text))
-        self.split = _SPLIT if narrow else _WIDE_SPLIT
-        self.plain = SPECIAL not in text and (narrow or not _UNASSIGNED.search(text))
+        self._read_by(text)
         leaves = self._leaves(text)
         self.blocks = [leaves[i : i + BLOCK] for i in range(0, len(leaves), BLOCK)] or [[]]
         self._sum()
 
+    @classmethod
+    def kept(cls, text: str, tree: dict, encode) -> CountedText:
+        """A text with the tree that ``state`` gave; nothing is encoded."""
+        self = cls.__new__(cls)
+        self.encode, self.encoded_chars = encode, 0
+        self._read_by(text)
+        ends = [0, *accumulate(tree["leaf_chars"])]
+        if ends[-1] != len(text):
+            raise ValueError("the tree is not this text's")
+        leaves = [(text[a:b], n) for a, b, n in zip(ends, ends[1:], tree["leaf_tokens"], strict=False)]
+        places = [0, *accumulate(tree["block_leaves"])]
+        self.blocks = [leaves[a:b] for a, b in zip(places, places[1:], strict=False)]
+        self.tree = SumTree.of_sums(tree["sum_chars"], tree["sum_tokens"])
+        return self
+
+    def state(self) -> dict:
+        """Leaves, blocks and sums, from which ``kept`` makes the tree again."""
+        return {
+            "leaf_chars": [len(w) for b in self.blocks for w, _ in b],
+            "leaf_tokens": [n for b in self.blocks for _, n in b],
+            "block_leaves": [len(b) for b in self.blocks],
+            "sum_chars": self.tree.chars,
+            "sum_tokens": self.tree.tokens,
+        }
+
+    def _read_by(self, text: str) -> None:
+        """How the text is split."""
+        narrow = bool(_PLAIN.fullmatch(text))
+        self.split = _SPLIT if narrow else _WIDE_SPLIT
+        self.plain = SPECIAL not in text and (narrow or not _UNASSIGNED.search(text))
+
     def _sum(self) -> None:
         self.tree = SumTree(
             [sum(len(w) for w, _ in b) for b in self.blocks], [sum(n for _, n in b) for b in self.blocks]
@@ -225,39 +274,117 @@ class CountedText:
 
 
 EDIT = "array<struct<start:long,end:long,new:string>>"
+TREE = "struct<leaf_chars:array<int>,leaf_tokens:array<int>,block_leaves:array<int>,sum_chars:array<long>,sum_tokens:array<long>>"
+PARTS = {"leaf_chars": pa.int32(), "leaf_tokens": pa.int32(), "block_leaves": pa.int32(), "sum_chars": pa.int64(), "sum_tokens": pa.int64()}
+COUNTS = ["n_tokens", "n_edits", "n_tokens_after", "n_chars_after", "chars_encoded_again"]
+
+
+def _trees(states: list[dict]) -> pa.Array:
+    """Trees as an Arrow column."""
+    columns = []
+    for name, kind in PARTS.items():
+        parts = [np.asarray(s[name], dtype=kind.to_pandas_dtype()) for s in states]
+        ends = np.cumsum([0, *map(len, parts)]).astype(np.int32)
+        columns.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(parts), kind)))
+    return pa.StructArray.from_arrays(columns, list(PARTS))
+
+
+def _tree(trees: pa.StructArray, row: int) -> dict | None:
+    return {name: trees.field(name)[row].values.to_pylist() for name in PARTS} if trees[row].is_valid else None
+
 
+def _build(text_at: int, ranks_file: str | None):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode = encoder(ranks_file or default_ranks())
+        for batch in batches:
+            begun, states, held = 0, [], 0
+            for row, text in enumerate(batch.column(text_at)):
+                state = CountedText(text.as_py() or "", encode).state()
+                states.append({name: np.asarray(state[name], dtype=kind.to_pandas_dtype()) for name, kind in PARTS.items()})
+                held += len(state["leaf_chars"])
+                if held >= BATCH_LEAVES or row + 1 == batch.num_rows:
+                    yield pa.RecordBatch.from_arrays(
+                        [*batch.slice(begun, len(states)).columns, _trees(states)], names=[*batch.schema.names, "tree"]
+                    )
+                    begun, states, held = row + 1, [], 0
+
+    return run
+
+
+def count_trees(docs: DataFrame, text_col: str = "text", tree_col: str = "tree", ranks_file: str | None = None) -> DataFrame:
+    """The rows with each text's tree, whose ``sum_tokens[1]`` is the text's number of tokens."""
+    rows = docs.drop(tree_col)
+    given = [f"c{k}" for k in range(len(rows.columns))]
+    plain = rows.toDF(*given)
+    schema = T.StructType([*plain.schema.fields, *T.StructType.fromDDL(f"tree {TREE}").fields])
+    out = plain.mapInArrow(_build(rows.columns.index(text_col), ranks_file), schema)
+    return out.toDF(*rows.columns, tree_col)
 
-def _count(ranks_file: str | None):
+
+def _edit(ranks_file: str | None, keep: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(ranks_file or default_ranks())
         for batch in batches:
-            rows = []
-            for text, edits in zip(batch.column(1), batch.column(2), strict=True):
-                counted = CountedText(text.as_py() or "", encode)
-                before, encoded, n_edits = counted.tokens, 0, 0
-                for e in edits.as_py() or []:
-                    if e is not None:
-                        encoded += counted.replace(e["start"] or 0, e["end"] or 0, e["new"] or "")
-                        n_edits += 1
-                rows.append((before, n_edits, counted.tokens, counted.chars, encoded))
-            columns = list(zip(*rows, strict=True)) if rows else [()] * 5
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *[pa.array(c, pa.int64()) for c in columns]],
-                names=["id", "n_tokens", "n_edits", "n_tokens_after", "n_chars_after", "chars_encoded_again"],
-            )
+            ids, texts, trees, edits = batch.columns
+            begun, rows, after, held = 0, [], [], 0
+            for row in range(batch.num_rows):
+                todo = [e for e in edits[row].as_py() or [] if e is not None]
+                sums = trees.field("sum_tokens")[row].values if trees[row].is_valid else None
+                if sums is not None and not todo:
+                    n_chars = trees.field("sum_chars")[row].values[1].as_py()
+                    before = sums[1].as_py()
+                    rows.append((before, 0, before, n_chars, 0))
+                    text, tree = texts[row].as_py() if keep else None, _tree(trees, row) if keep else None
+                else:
+                    text, tree = texts[row].as_py() or "", _tree(trees, row)
+                    counted = CountedText(text, encode) if tree is None else CountedText.kept(text, tree, encode)
+                    before = counted.tokens
+                    encoded = sum(counted.replace(e["start"] or 0, e["end"] or 0, e["new"] or "") for e in todo)
+                    rows.append((before, len(todo), counted.tokens, counted.chars, encoded))
+                    text, tree = (counted.text(), counted.state()) if keep else (None, None)
+                if keep:
+                    after.append((text, {name: np.asarray(tree[name], dtype=kind.to_pandas_dtype()) for name, kind in PARTS.items()}))
+                    held += len(tree["leaf_chars"])
+                if held >= BATCH_LEAVES or row + 1 == batch.num_rows:
+                    made = [pa.array(c, pa.int64()) for c in zip(*rows, strict=True)]
+                    if keep:
+                        made = [pa.array([t for t, _ in after], pa.string()), _trees([t for _, t in after]), *made]
+                    names = ["id", *(["text", "tree"] if keep else []), *COUNTS]
+                    yield pa.RecordBatch.from_arrays([ids.slice(begun, len(rows)), *made], names=names)
+                    begun, rows, after, held = row + 1, [], [], 0
 
     return run
 
 
+def _edited(trees: DataFrame, id_col: str, text_col: str, edits_col: str, tree_col: str, ranks_file: str | None, keep: bool) -> DataFrame:
+    rows = trees.select(
+        F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(tree_col).cast(TREE).alias("tree"), F.col(edits_col).cast(EDIT).alias("edits")
+    )
+    kind = rows.schema["id"].dataType.simpleString()
+    kept = f"text string, tree {TREE}, " if keep else ""
+    out = rows.mapInArrow(_edit(ranks_file, keep), f"id {kind}, {kept}" + ", ".join(f"{c} long" for c in COUNTS))
+    return out.toDF(id_col, *([text_col, tree_col] if keep else []), *COUNTS)
+
+
+def edit_trees(
+    trees: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits_col: str = "edits", tree_col: str = "tree", ranks_file: str | None = None
+) -> DataFrame:
+    """Each document's text and tree after its edits, with the counts of ``edited_counts``.
+
+    The rows can be written and given other edits later; only what those touch is encoded.
+    """
+    return _edited(trees, id_col, text_col, edits_col, tree_col, ranks_file, True)
+
+
 def edited_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits_col: str = "edits", ranks_file: str | None = None) -> DataFrame:
     """Tokens before and after each document's edits, and the characters that the edits caused to be encoded.
 
     ``edits_col`` is array<struct<start, end, new>>, in order, in characters of the text that the last one left.
+    Trees are written to the shared folder first and read again with the edits.
     """
-    rows = docs.select(id_col, text_col, F.col(edits_col).cast(EDIT).alias("edits"))
-    kind = rows.schema[id_col].dataType.simpleString()
-    columns = f"id {kind}, n_tokens long, n_edits long, n_tokens_after long, n_chars_after long, chars_encoded_again long"
-    return rows.mapInArrow(_count(ranks_file), columns).withColumnRenamed("id", id_col)
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(edits_col).cast(EDIT).alias("edits"))
+    trees = Scratch(docs.sparkSession).save(count_trees(rows, ranks_file=ranks_file), "trees")
+    return _edited(trees, "id", "text", "edits", "tree", ranks_file, False).withColumnRenamed("id", id_col)
 
 
 def derived_edits(id_col: str, text_col: str):

@@ -78,3 +78,45 @@ def test_query_rows(spark):
     assert len(out) == 4
     assert {r.n_tokens for r in out if r.doc_id is None} == {0}
     assert tokencount.edited_counts(docs.limit(0).withColumn("edits", tokencount.derived_edits("doc_id", "text"))).count() == 0
+
+
+@settings(max_examples=200, deadline=None)
+@given(WIDE, st.lists(st.tuples(st.integers(0, 90), st.integers(0, 20), st.lists(st.sampled_from(SCRIPTS), max_size=4).map("".join)), max_size=4))
+def test_kept_trees_equal_the_ones_they_were(text, edits):
+    encode = encoder(default_ranks())
+    counted = tokencount.CountedText(text, encode)
+    for start, n, new in edits:
+        state = counted.state()
+        again = tokencount.CountedText.kept(text, state, encode)
+        assert again.encoded_chars == 0 and again.state() == state
+        again.replace(start, start + n, new)
+        text = text[: min(start, len(text))] + new + text[start + n :]
+        assert again.text() == text and again.tokens == len(encode.ids(text)) // 4
+        assert again.tokens == again.tree.tokens[1] and again.chars == len(text)
+        counted = again
+
+
+def test_trees_pass_from_run_to_run(spark, tmp_path):
+    rng = random.Random(9)
+    encode = encoder(default_ranks())
+    texts = {k: " ".join(rng.choice(["word", "été", "12", "漢字", "don't"]) for _ in range(rng.choice([0, 3, 900]))) for k in range(40)}
+    rows = [(f"d{k}", t, "x") for k, t in texts.items()] + [("d0", None, "x"), (None, "no id", None)]
+    docs = spark.createDataFrame(rows, "doc_id string, text string, tree string")
+    path = str(tmp_path / "trees-0")
+    tokencount.count_trees(docs).write.parquet(path)
+    for turn in range(3):
+        trees = spark.read.parquet(path).select("doc_id", "text", "tree")
+        before = {(r.doc_id, r.text): r.tree for r in trees.collect()}
+        edits = "CASE WHEN crc32(concat(doc_id, '%d')) %% 2 = 0 THEN array(named_struct('start', 3L, 'end', 7L, 'new', ' neu“')) END" % turn
+        rows = trees.selectExpr("*", f"{edits} AS edits")
+        path = str(tmp_path / f"trees-{turn + 1}")
+        tokencount.edit_trees(rows).write.parquet(path)
+        after = spark.read.parquet(path).collect()
+        assert len(after) == 42
+        for r in after:
+            assert r.n_tokens_after == r.tree.sum_tokens[1] == len(encode.ids(r.text or "")) // 4
+            assert r.n_chars_after == len(r.text or "") == sum(r.tree.leaf_chars)
+            if not r.n_edits:  # nothing was encoded, and the tree is the one that was read
+                assert r.chars_encoded_again == 0 and before[r.doc_id, r.text] == r.tree
+            else:
+                assert 0 < r.chars_encoded_again < 60
