@@ -20,7 +20,7 @@ leaves, so an edit costs one block and a path of logarithmic length.
 Trees are kept as a column: ``count_trees`` encodes each text once and gives its
 tree; ``edit_trees`` reads texts, trees and edits and gives the new ones, so that
 later runs start from them. A document without edits is passed on as it is, and
-one with edits has its leaves cut from its text without encoding them.
+of one with edits only the blocks near them are cut into leaves, without encoding.
 
 Defined results: a null text is an empty one; edits that are null or out of
 range are clipped to the text; edits of one document apply in order of their
@@ -38,6 +38,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import accumulate
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -102,6 +103,18 @@ class SumTree:
         return i - self.size, before
 
 
+class Kept(NamedTuple):
+    """A block's leaves as they were read; they are cut from the text when an edit comes near."""
+
+    text: str
+    chars: np.ndarray
+    tokens: np.ndarray
+
+    def cut(self) -> list[tuple[str, int]]:
+        ends = [0, *accumulate(self.chars.tolist())]
+        return [(self.text[a:b], n) for a, b, n in zip(ends, ends[1:], self.tokens.tolist(), strict=False)]
+
+
 class CountedText:
     """A text's pre-tokens in blocks, with their token counts and sums."""
 
@@ -119,21 +132,29 @@ class CountedText:
         self = cls.__new__(cls)
         self.encode, self.encoded_chars = encode, 0
         self._read_by(text)
-        ends = [0, *accumulate(tree["leaf_chars"])]
-        if ends[-1] != len(text):
+        self.tree = SumTree.of_sums(list(tree["sum_chars"]), list(tree["sum_tokens"]))
+        if self.chars != len(text):
             raise ValueError("the tree is not this text's")
-        leaves = [(text[a:b], n) for a, b, n in zip(ends, ends[1:], tree["leaf_tokens"], strict=False)]
-        places = [0, *accumulate(tree["block_leaves"])]
-        self.blocks = [leaves[a:b] for a, b in zip(places, places[1:], strict=False)]
-        self.tree = SumTree.of_sums(tree["sum_chars"], tree["sum_tokens"])
+        chars, tokens = np.asarray(tree["leaf_chars"], dtype=np.int32), np.asarray(tree["leaf_tokens"], dtype=np.int32)
+        self.blocks, leaf, at = [], 0, 0
+        for k, n in enumerate(tree["block_leaves"]):
+            size = self.tree.chars[self.tree.size + k]
+            self.blocks.append(Kept(text[at : at + size], chars[leaf : leaf + n], tokens[leaf : leaf + n]))
+            leaf, at = leaf + n, at + size
         return self
 
+    def _block(self, at: int) -> list[tuple[str, int]]:
+        """A block's leaves, cut from the text if they are not yet."""
+        if isinstance(self.blocks[at], Kept):
+            self.blocks[at] = self.blocks[at].cut()
+        return self.blocks[at]
+
     def state(self) -> dict:
         """Leaves, blocks and sums, from which ``kept`` makes the tree again."""
         return {
-            "leaf_chars": [len(w) for b in self.blocks for w, _ in b],
-            "leaf_tokens": [n for b in self.blocks for _, n in b],
-            "block_leaves": [len(b) for b in self.blocks],
+            "leaf_chars": [n for b in self.blocks for n in (b.chars.tolist() if isinstance(b, Kept) else [len(w) for w, _ in b])],
+            "leaf_tokens": [n for b in self.blocks for n in (b.tokens.tolist() if isinstance(b, Kept) else [n for _, n in b])],
+            "block_leaves": [len(b.chars) if isinstance(b, Kept) else len(b) for b in self.blocks],
             "sum_chars": self.tree.chars,
             "sum_tokens": self.tree.tokens,
         }
@@ -145,9 +166,11 @@ class CountedText:
         self.plain = SPECIAL not in text and (narrow or not _UNASSIGNED.search(text))
 
     def _sum(self) -> None:
-        self.tree = SumTree(
-            [sum(len(w) for w, _ in b) for b in self.blocks], [sum(n for _, n in b) for b in self.blocks]
-        )
+        sums = [
+            (len(b.text), int(b.tokens.sum())) if isinstance(b, Kept) else (sum(len(w) for w, _ in b), sum(n for _, n in b))
+            for b in self.blocks
+        ]
+        self.tree = SumTree([c for c, _ in sums], [n for _, n in sums])
 
     def _leaves(self, text: str) -> list[tuple[str, int]]:
         if not text:
@@ -165,7 +188,7 @@ class CountedText:
         return self.tree.chars[1]
 
     def text(self) -> str:
-        return "".join(w for b in self.blocks for w, _ in b)
+        return "".join(b.text if isinstance(b, Kept) else "".join([w for w, _ in b]) for b in self.blocks)
 
     def replace(self, start: int, end: int, new: str) -> int:
         """Puts ``new`` in place of start:end; returns the characters that were encoded again."""
@@ -187,7 +210,7 @@ class CountedText:
         while low > 0 and self._leaf_of(low, low_at, start) < 2:
             low -= 1
             low_at -= self.tree.chars[low + self.tree.size]
-        leaves = [x for b in self.blocks[low : last + 1] for x in b]
+        leaves = [x for b in range(low, last + 1) for x in self._block(b)]
         high = last + 1
         # Leaves before the context stay as they are.
         place, i = low_at, 0
@@ -221,7 +244,7 @@ class CountedText:
             if cut is not None or high == len(self.blocks):
                 break
             # The text ran out before the split came back to old boundaries: take in another block.
-            more = self.blocks[high]
+            more = self._block(high)
             high += 1
             added = sum(len(w) for w, _ in more)
             bounds = {d + added: k for d, k in bounds.items()}
@@ -253,7 +276,7 @@ class CountedText:
         block, at = self.tree.find(start)
         out = []
         while block < len(self.blocks) and at < end:
-            for w, _ in self.blocks[block]:
+            for w, _ in self._block(block):
                 out.append(w[max(0, start - at) : max(0, end - at)])
                 at += len(w)
             block += 1
@@ -262,8 +285,8 @@ class CountedText:
     def _leaf_of(self, block: int, at: int, char: int) -> int:
         """How many leaves from this block on end at or before a character, 2 at most."""
         n = 0
-        for b in self.blocks[block:]:
-            for w, _ in b:
+        for b in range(block, len(self.blocks)):
+            for w, _ in self._block(b):
                 at += len(w)
                 if at > char:
                     return n
@@ -290,7 +313,10 @@ def _trees(states: list[dict]) -> pa.Array:
 
 
 def _tree(trees: pa.StructArray, row: int) -> dict | None:
-    return {name: trees.field(name)[row].values.to_pylist() for name in PARTS} if trees[row].is_valid else None
+    if not trees[row].is_valid:
+        return None
+    found = {name: trees.field(name)[row].values.to_numpy(zero_copy_only=False) for name in PARTS}
+    return found | {name: found[name].tolist() for name in ("block_leaves", "sum_chars", "sum_tokens")}
 
 
 def _build(text_at: int, ranks_file: str | None):
