@@ -1,4 +1,9 @@
-"""The training-data pipeline: five stages over ``documents``, each written and read again."""
+"""The training-data pipeline: five stages over ``documents``, each written and read again.
+
+Every stage takes nulls in any column, empty and very long texts, ties, repeated
+rows, empty tables and extra columns of any name; its function's operator says
+what comes of them. Filtering stages and redaction keep all columns.
+"""
 
 from __future__ import annotations
 
@@ -18,8 +23,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group, the one with the smallest id."""
-    return keep_one_each(docs)
+    """One document of each near-duplicate group, the one with the smallest id; shingles of five words, 80 %."""
+    return keep_one_each(docs, width=5)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
