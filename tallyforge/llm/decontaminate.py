@@ -210,7 +210,10 @@ def drop_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The documents that are not contaminated, with their columns: the pipeline's third stage.
 
     Rows go by id and content, so of rows that share an id only those with a
-    contaminated text go. Null and empty texts, which hit nothing, stay.
+    contaminated text go, and repeated rows stay or go together. Null and empty
+    texts, which hit nothing, stay; very long texts are judged whole; no rows
+    give none; without items all rows stay. Other columns are kept, whatever
+    their names.
     """
     return without(docs, contamination(docs, items).where("contaminated"), "doc_id", content_hash("text"))
 

@@ -434,10 +434,10 @@ def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), width=CONTRACT_WIDTH)
 
 
-def keep_one_each(docs: DataFrame, width: int = CONTRACT_WIDTH, threshold: int = 80) -> DataFrame:
+def keep_one_each(docs: DataFrame, width: int = 5, threshold: int = 80) -> DataFrame:
     """One document of each near-duplicate group, with its columns: the pipeline's second stage.
 
-    Rows are told apart by id and content, so of rows that share an id only
+    The one that stays is that with the smallest id. Rows are told apart by id and content, so of rows that share an id only
     those go whose own text has a representative elsewhere. Of rows equal in id
     and text one stays, whatever its other columns. Rows without words or with
     a null id stay; null, empty and very long texts and clashing columns are as

@@ -192,7 +192,11 @@ def keep_good(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
     """The documents that pass, with their columns: the pipeline's first stage.
 
     The verdict needs a second look at each document. Rejected rows are found
-    again by id and content.
+    again by id and content, so repeated rows stay or go together and rows that
+    share an id, null included, are judged by their own texts. Null and empty
+    texts have no words and go; a null source is the host of empty name; very
+    long texts are judged whole; no rows give none; other columns are kept,
+    whatever their names.
     """
     rejected = quality_verdicts(docs, rules).where(~F.col("kept"))
     return without(docs, rejected, "doc_id", content_hash("text", "source"))

@@ -198,7 +198,10 @@ def redact(
     """docs with every secret replaced by ``[kind]``; a text without one stays as it is, null included.
 
     Overlapping spans are replaced as one, under the first one's kind. A changed
-    text's ``count_col``, if there is one, becomes its new length.
+    text's ``count_col``, if there is one, becomes its new length. Every row
+    stays, rows with a null or repeated id and repeated rows too; very long texts
+    are searched whole; no rows give none; other columns are kept, whatever their
+    names.
     """
     kinds = F.array(*[F.lit(f"[{r.kind}]") for r in rules])
     found = _searched(docs, rules, id_col, text_col)
