@@ -39,12 +39,11 @@ def match_candidates(case_rows: DataFrame, districts: DataFrame, dockets: DataFr
         F.col("terminated_date").alias("fjc_terminated_date"),
         "recap_terminated_date",
     )
-    counted = pairs.withColumns(
-        {
-            "recap_candidates_for_fjc": F.count("*").over(W.partitionBy("case_identifier")),
-            "fjc_candidates_for_recap": F.count("*").over(W.partitionBy("recap_docket_id")),
-        }
-    )
+    counted = pairs
+    for key, name in [("case_identifier", "recap_candidates_for_fjc"), ("recap_docket_id", "fjc_candidates_for_recap")]:
+        # Counts are made before the shuffle, so a key with very many partners is no single task's work.
+        partners = pairs.groupBy(F.col(key).alias("_key")).agg(F.count("*").alias(name))
+        counted = counted.join(partners, F.col(key).eqNullSafe(F.col("_key"))).drop("_key")
     differ = F.col("fjc_terminated_date") != F.col("recap_terminated_date")
     status = (
         F.when((F.col("recap_candidates_for_fjc") > 1) | (F.col("fjc_candidates_for_recap") > 1), "collision")
