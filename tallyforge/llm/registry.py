@@ -1,5 +1,6 @@
 """The queries of this subpackage and, where SQL can express them, their twins."""
 
+from tallyforge.llm.crosstok import op11_cross_tokenizer
 from tallyforge.llm.decontaminate import OP3_SQL, op3_decontamination
 from tallyforge.llm.licenses import op7_license_scans
 from tallyforge.llm.lm import op10_lm_scoring
@@ -22,6 +23,7 @@ QUERIES = {
     "op8_token_counts": op8_token_counts,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_lm_scoring": op10_lm_scoring,
+    "op11_cross_tokenizer": op11_cross_tokenizer,
 }
 ORACLE = {
     "op1_secret_scans": OP1_SQL,
