@@ -2,6 +2,7 @@
 
 from tallyforge.llm.crosstok import op11_cross_tokenizer
 from tallyforge.llm.decontaminate import OP3_SQL, op3_decontamination
+from tallyforge.llm.filteraudit import OP12_SQL, op12_filter_audit
 from tallyforge.llm.licenses import op7_license_scans
 from tallyforge.llm.lm import op10_lm_scoring
 from tallyforge.llm.neardup import OP5_SQL, op5_minhash_near_dedup
@@ -24,6 +25,7 @@ QUERIES = {
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_lm_scoring": op10_lm_scoring,
     "op11_cross_tokenizer": op11_cross_tokenizer,
+    "op12_filter_audit": op12_filter_audit,
 }
 ORACLE = {
     "op1_secret_scans": OP1_SQL,
@@ -31,4 +33,5 @@ ORACLE = {
     "op4_url_filters": OP4_SQL,
     "op5_minhash_near_dedup": OP5_SQL,
     "op6_quality_rules": OP6_SQL,
+    "op12_filter_audit": OP12_SQL,
 }
