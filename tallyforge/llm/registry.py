@@ -11,6 +11,7 @@ from tallyforge.llm.pii import op2_pii
 from tallyforge.llm.quality import OP6_SQL, op6_quality_rules
 from tallyforge.llm.secrets import OP1_SQL, op1_secret_scans
 from tallyforge.llm.tokencount import op8_token_counts
+from tallyforge.llm.tokenfiles import op13_token_ids
 from tallyforge.llm.urlfilter import OP4_SQL, op4_url_filters
 
 QUERIES = {
@@ -26,6 +27,7 @@ QUERIES = {
     "op10_lm_scoring": op10_lm_scoring,
     "op11_cross_tokenizer": op11_cross_tokenizer,
     "op12_filter_audit": op12_filter_audit,
+    "op13_token_ids": op13_token_ids,
 }
 ORACLE = {
     "op1_secret_scans": OP1_SQL,
