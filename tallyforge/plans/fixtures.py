@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tallyforge.functions.codebook import FAMILIES
 from tallyforge.operators import publish, warehouse
+from tallyforge.sources.shared import files_under, new_path
 
 CUTOFF = "2001-12-31"
 WINDOW = ("2000-08-01", "2001-07-31")
@@ -100,22 +98,18 @@ def cases(fact_rows: DataFrame) -> DataFrame:
     )
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A folder that all executors see: the checkpoint folder, else a temporary one in a session of one process."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named is None and not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return named or tempfile.mkdtemp(prefix="tallyforge-")
-
-
-_marts: dict[tuple[str, str], str] = {}
+_marts: dict[tuple, str] = {}
 
 
 def written_mart(spark: SparkSession, sf_dir: str, made: Callable[[SparkSession, str], DataFrame]) -> DataFrame:
-    """The public mart of a source, written by filing year and sorted by district at its first use in a session."""
-    key = (spark.sparkContext.applicationId, sf_dir)
+    """The public mart of a source, written by filing year and sorted by district at its first use in a session.
+
+    It is written again where the source's files or their sizes have changed.
+    """
+    files = [f for t in ("lineitem", "orders", "customer", "nation") for f in files_under(spark, f"{sf_dir}/{t}.parquet")]
+    key = (spark.sparkContext.applicationId, tuple(files))
     if key not in _marts:
-        path = f"{shared_folder(spark)}/mart-{uuid.uuid4().hex}"
+        path = new_path(spark, "mart")
         publish.write_public(made(spark, sf_dir), path)
         _marts[key] = path
     return spark.read.parquet(_marts[key]).select(*publish.PUBLIC_COLUMNS)

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from tallyforge.operators import calibration, cube, marts, matching, metrics, planning, profiles, publish, survival, warehouse
@@ -11,6 +9,7 @@ from tallyforge.plans import fixtures as fx
 from tallyforge.plans import registry as core
 from tallyforge.plans.registry import TIMES, query, rounded
 from tallyforge.sources import ingest
+from tallyforge.sources.shared import new_path
 
 # Staging
 
@@ -35,7 +34,7 @@ def _tsv(spark, d):
     ]
     line = F.concat_ws("\t", *fields)
     rows = spark.read.parquet(f"{d}/orders.parquet").select(k.alias("k"), F.when(k % 97 == 0, F.concat(line, F.lit("\tmore"))).otherwise(line).alias("value"))
-    path = f"{fx.shared_folder(spark)}/extract-{uuid.uuid4().hex}"
+    path = new_path(spark, "extract")
     # One file, so that a row's number is its place by order key.
     ordered = rows.select("value", "k").coalesce(1).sortWithinPartitions("k")
     ordered.select("value").write.option("header", True).option("quote", "").option("sep", "\x01").csv(path)
