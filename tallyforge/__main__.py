@@ -8,7 +8,7 @@ import json
 from pyspark.sql import SparkSession
 
 from tallyforge.operators import metrics
-from tallyforge.plans import governance
+from tallyforge.plans import catalogue
 from tallyforge.sources import ingest
 
 
@@ -18,7 +18,7 @@ def main(arguments: list[str] | None = None) -> None:
     commands.add_parser("queries", help="names of all queries")
     commands.add_parser("registry", help="the metric registry as JSON")
     run = commands.add_parser("run", help="write one query's rows as Parquet")
-    run.add_argument("name", choices=sorted(governance.QUERIES))
+    run.add_argument("name", choices=sorted(catalogue.QUERIES))
     run.add_argument("sf_dir")
     run.add_argument("out")
     load = commands.add_parser("load", help="judge a tab-separated extract and load it once")
@@ -30,13 +30,13 @@ def main(arguments: list[str] | None = None) -> None:
     load.add_argument("--digest", required=True)
     a = parser.parse_args(arguments)
     if a.command == "queries":
-        print("\n".join(sorted(governance.QUERIES)))
+        print("\n".join(sorted(catalogue.QUERIES)))
     elif a.command == "registry":
         print(json.dumps(metrics.compiled(metrics.standard_registry()), sort_keys=True))
     else:
         spark = SparkSession.builder.appName("tallyforge").getOrCreate()
         if a.command == "run":
-            governance.QUERIES[a.name](spark, a.sf_dir).write.parquet(a.out)
+            catalogue.QUERIES[a.name](spark, a.sf_dir).write.parquet(a.out)
         else:
             header = a.header.split(",")
             rows = ingest.read_tsv(spark, a.path, header, header)

@@ -327,8 +327,12 @@ def fit(
     event: str = "event_observed",
     settings: Settings | None = None,
     validation: DataFrame | None = None,
+    weight: str | None = None,
 ) -> Model:
-    """Trains on all rows of train; with validation rows, stops early and keeps the trees up to the least loss there."""
+    """Trains on all rows of train; with validation rows, stops early and keeps the trees up to the least loss there.
+
+    ``weight`` names a column that says for how many equal rows a row stands.
+    """
     settings = settings or Settings()
     space = feature_space(train, categories, numbers)
     parts = [train.withColumn("held", F.lit(False))]
@@ -338,9 +342,10 @@ def fit(
     rows = None
     for p in parts:
         p = p.where(F.col(duration).isNotNull() & F.col(event).isNotNull())
-        p = p.select(*space.columns(), logs.alias("logs"), F.col(event).cast("boolean").alias("event"), "held")
+        n = (F.col(weight) if weight else F.lit(1)).cast("double").alias("n")
+        p = p.select(*space.columns(), logs.alias("logs"), F.col(event).cast("boolean").alias("event"), "held", n)
         rows = p if rows is None else rows.unionByName(p)
-    counted = rows.groupBy(*rows.columns).agg(F.count("*").cast("double").alias("n")).withColumn("total", F.lit(0.0))
+    counted = rows.groupBy(*rows.columns[:-1]).agg(F.sum("n").alias("n")).withColumn("total", F.lit(0.0))
     table = written(counted, "boosting")
     base = table.where("NOT held").agg((F.sum(F.col("logs") * F.col("n")) / F.sum("n")).alias("m")).first()["m"]
     if base is None:

@@ -1,4 +1,4 @@
-"""Calibration, resampling and development folds over scored cases, on sums that Spark adds up.
+"""Calibration and resampling over scored cases, on sums that Spark adds up.
 
 A fit looks at probabilities only through counts by bin (``BINS`` of them), so
 what reaches the driver is bounded whatever the number of cases.
@@ -7,13 +7,10 @@ what reaches the driver is bounded whatever the number of cases.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from collections.abc import Callable
 from datetime import date
 
 import numpy as np
-import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -29,31 +26,46 @@ BINS = 4096
 # Resampling
 
 
-def resampled_sums(rows: DataFrame, columns: list[str], replicates: int = 400, seed: int = 20260331) -> DataFrame:
+#: Draws: a prime below 2**31 (products of two remainders fit a 64-bit integer) and multipliers.
+PRIME, STEP, MIX = 2147483647, 48271, 69621
+#: A weight is the number of these that the draw exceeds: the Poisson(1) distribution's first sums.
+POISSON = [math.exp(-1) * sum(1 / math.factorial(j) for j in range(k + 1)) for k in range(12)]
+
+
+def digest_number(key: Column) -> Column:
+    """A 32-bit number from the digest of a row's key."""
+    return F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("long")
+
+
+def drawn_share(digest: Column, replicate: Column, seed: int) -> Column:
+    """A number in [0, 1) from a row's digest and the replicate, by two squarings modulo a prime, in integers that SQL engines share."""
+    start = (digest + (replicate + F.lit(seed % PRIME)) * STEP) % PRIME + 1
+    once = (start * start + replicate * MIX) % PRIME
+    twice = (once * once + digest) % PRIME
+    return (twice * STEP % PRIME) / PRIME
+
+
+def poisson_weight(share: Column) -> Column:
+    """The Poisson(1) number of a share."""
+    return sum(((share > c).cast("int") for c in POISSON[1:]), (share > POISSON[0]).cast("int"))
+
+
+def resampled_sums(rows: DataFrame, key: list[str], columns: list[str], replicates: int = 400, seed: int = 20260331) -> DataFrame:
     """(replicate, weight, one sum per column): sums of rows under Poisson(1) weights.
 
-    Each task draws its rows' weights for all replicates and adds them up, so a
-    task returns ``replicates`` rows, however many it read. Draws depend on how
-    rows are dealt to tasks; intervals agree up to the resampling error.
+    A row's weights follow from its key, so the sums do not depend on how rows
+    are dealt or in which order they come, and rows with equal keys are drawn
+    together. Tasks add up their rows; ``replicates`` rows leave each.
     """
-    values = rows.select(*[F.col(c).cast("double").alias(c) for c in columns]).dropna()
-
-    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rng = np.random.default_rng([seed, TaskContext.get().partitionId()])
-        total = np.zeros((replicates, len(columns) + 1))
-        for batch in batches:
-            data = np.column_stack([np.ones(batch.num_rows), *[c.to_numpy(zero_copy_only=False) for c in batch.columns]])
-            for low in range(0, len(data), 4096):
-                part = data[low : low + 4096]
-                total += rng.poisson(1.0, (replicates, len(part))) @ part
-        if total.any():
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.arange(replicates)), *[pa.array(total[:, k]) for k in range(total.shape[1])]],
-                names=["replicate", "weight", *columns],
-            )
-
-    drawn = values.mapInArrow(draw, "replicate long, weight double, " + ", ".join(f"`{c}` double" for c in columns))
-    return drawn.groupBy("replicate").agg(F.sum("weight").alias("weight"), *[F.sum(c).alias(c) for c in columns])
+    named = F.concat_ws("|", *[F.coalesce(F.col(k).cast("string"), F.lit("")) for k in key]).alias("_key")
+    values = rows.select(named, *[F.col(c).cast("double").alias(c) for c in columns]).dropna()
+    numbers = F.sequence(F.lit(0).cast("long"), F.lit(replicates - 1).cast("long"))
+    values = values.withColumn("_digest", digest_number(F.col("_key"))).drop("_key")
+    drawn = values.withColumn("replicate", F.explode(numbers))
+    drawn = drawn.withColumn("_share", drawn_share(F.col("_digest"), F.col("replicate"), seed))
+    drawn = drawn.withColumn("weight", poisson_weight(F.col("_share")))
+    sums = [F.sum(F.col("weight") * F.col(c)).alias(c) for c in columns]
+    return drawn.groupBy("replicate").agg(F.sum("weight").cast("double").alias("weight"), *sums)
 
 
 def interval(sums: DataFrame, statistic: Column) -> DataFrame:
@@ -62,24 +74,24 @@ def interval(sums: DataFrame, statistic: Column) -> DataFrame:
     return sums.select(statistic.alias("x")).agg(q).select(F.col("q")[0].alias("low"), F.col("q")[1].alias("high"))
 
 
-def mean_interval(rows: DataFrame, column: str, replicates: int = 400, seed: int = 20260331, absolute: bool = False) -> DataFrame:
+def mean_interval(rows: DataFrame, key: list[str], column: str, replicates: int = 400, seed: int = 20260331, absolute: bool = False) -> DataFrame:
     """(mean, low, high) of a mean, or of its absolute value."""
     whole = F.abs if absolute else (lambda x: x)
-    found = interval(resampled_sums(rows, [column], replicates, seed), whole(F.col(column) / F.col("weight")))
+    found = interval(resampled_sums(rows, key, [column], replicates, seed), whole(F.col(column) / F.col("weight")))
     return _beside(rows.agg(whole(F.avg(column)).alias("mean")), found)
 
 
-def improvement_interval(rows: DataFrame, baseline: str, challenger: str, replicates: int = 400, seed: int = 20260331) -> DataFrame:
+def improvement_interval(rows: DataFrame, key: list[str], baseline: str, challenger: str, replicates: int = 400, seed: int = 20260331) -> DataFrame:
     """(improvement, low, high) of 1 - mean challenger / mean baseline, both from the same resampled cases."""
     pairs = rows.dropna(subset=[baseline, challenger])
-    found = interval(resampled_sums(pairs, [baseline, challenger], replicates, seed), 1 - F.col(challenger) / F.col(baseline))
+    found = interval(resampled_sums(pairs, key, [baseline, challenger], replicates, seed), 1 - F.col(challenger) / F.col(baseline))
     return _beside(pairs.agg((1 - F.sum(challenger) / F.sum(baseline)).alias("improvement")), found)
 
 
-def cluster_interval(clusters: DataFrame, prediction: float, replicates: int = 400, seed: int = 20260331) -> DataFrame:
+def cluster_interval(clusters: DataFrame, key: list[str], prediction: float, replicates: int = 400, seed: int = 20260331) -> DataFrame:
     """(abs_error, low, high) of a predicted rate against resampled clusters of (cases, resolved)."""
     error = F.abs(F.lit(prediction) - F.col("resolved") / F.col("cases"))
-    found = interval(resampled_sums(clusters, ["cases", "resolved"], replicates, seed), error)
+    found = interval(resampled_sums(clusters, key, ["cases", "resolved"], replicates, seed), error)
     whole = F.abs(F.lit(prediction) - F.sum("resolved") / F.sum("cases"))
     return _beside(clusters.agg(whole.alias("abs_error")), found)
 
@@ -117,13 +129,13 @@ def aft_probability(location: Column, t: int, intercept: float = 0.0, slope: flo
     return normal_cdf((F.lit(math.log(t)) - (F.lit(intercept) + slope * location)) / scale)
 
 
-def _bounded_minimum(loss: Callable[[np.ndarray], float], start: list[float], bounds: list[tuple[float, float]], rounds: int = 60) -> np.ndarray:
-    """Least loss inside a box: coordinate steps that halve where nothing improves."""
+def _bounded_minimum(loss: Callable[[np.ndarray], float], start: list[float], bounds: list[tuple[float, float]], least_step: float = 1e-9) -> np.ndarray:
+    """Least loss inside a box: coordinate steps that halve where nothing improves, until they are small."""
     x = np.array(start, float)
     low, high = np.array(bounds).T
     step = (high - low) / 4
     best = loss(x)
-    for _ in range(rounds):
+    for _ in range(5000):
         moved = False
         for k in range(len(x)):
             for sign in (1, -1):
@@ -134,19 +146,14 @@ def _bounded_minimum(loss: Callable[[np.ndarray], float], start: list[float], bo
                     x, best, moved = y, value, True
         if not moved:
             step /= 2
-    return x
+            if step.max() < least_step:
+                return x
+    raise ArithmeticError("the calibration did not converge")
 
 
-def fit_logit_affine(scored: DataFrame, p: str, outcome: Column) -> tuple[float, float]:
-    """(intercept, log slope) of least squared error; from counts in bins of the logit."""
-    width = 2 * math.log(1 / EDGE) / BINS
-    bins = (
-        scored.where(F.col(p).isNotNull())
-        .groupBy(F.floor(logit(F.col(p)) / width).alias("bin"))
-        .agg(F.avg(logit(F.col(p))).alias("x"), F.count("*").alias("n"), F.avg(outcome.cast("double")).alias("y"))
-        .orderBy("bin").collect()
-    )
-    x, n, y = (np.array([r[k] for r in bins], float) for k in ("x", "n", "y"))
+def least_logit_affine(x: list[float], n: list[float], y: list[float]) -> tuple[float, float]:
+    """(intercept, log slope) of least squared error, from bins with a mean logit x, a weight n and a mean outcome y."""
+    x, n, y = (np.array(v, float) for v in (x, n, y))
     if not len(x):
         return 0.0, 0.0
 
@@ -158,12 +165,28 @@ def fit_logit_affine(scored: DataFrame, p: str, outcome: Column) -> tuple[float,
     return float(a), float(b)
 
 
-def fit_aft(cases: DataFrame, location: str, times: list[int], initial_scale: float = 1.0, width: float = 0.005) -> tuple[float, float, float]:
-    """(intercept, slope, scale) of least squared error over all times; from outcome counts in bins of the location."""
+def fit_logit_affine(scored: DataFrame, p: str, outcome: Column) -> tuple[float, float]:
+    """(intercept, log slope) of least squared error; from counts in bins of the logit."""
+    width = 2 * math.log(1 / EDGE) / BINS
+    bins = (
+        scored.where(F.col(p).isNotNull())
+        .groupBy(F.floor(logit(F.col(p)) / width).alias("bin"))
+        .agg(F.avg(logit(F.col(p))).alias("x"), F.count("*").alias("n"), F.avg(outcome.cast("double")).alias("y"))
+        .orderBy("bin").collect()
+    )
+    return least_logit_affine(*([r[k] for r in bins] for k in ("x", "n", "y")))
+
+
+def fit_aft(cases: DataFrame, location: str, times: list[int], initial_scale: float = 1.0) -> tuple[float, float, float]:
+    """(intercept, slope, scale) of least squared error over all times; from outcome counts in ``BINS`` bins of the location."""
+    ends = cases.agg(F.min(location).alias("low"), F.max(location).alias("high")).first()
+    if ends["low"] is None:
+        return 0.0, 1.0, initial_scale
+    width = (ends["high"] - ends["low"]) / BINS or 1.0
     outcomes = [F.avg(survival.outcome(t)).alias(f"y_{t}") for t in times]
     bins = (
         cases.where(F.col(location).isNotNull())
-        .groupBy(F.floor(F.col(location) / width).alias("bin"))
+        .groupBy(F.least(F.floor((F.col(location) - ends["low"]) / width), F.lit(BINS - 1)).alias("bin"))
         .agg(F.avg(location).alias("x"), F.count("*").alias("n"), *outcomes)
         .orderBy("bin").collect()
     )
@@ -177,7 +200,7 @@ def fit_aft(cases: DataFrame, location: str, times: list[int], initial_scale: fl
         return float((n[:, None] * (q * q - 2 * q * y)).sum())
 
     bounds = [(-2.0, 2.0), (0.5, 1.5), (math.log(0.25), math.log(4.0))]
-    a, b, s = _bounded_minimum(loss, [0.0, 1.0, math.log(initial_scale)], bounds, rounds=30)
+    a, b, s = _bounded_minimum(loss, [0.0, 1.0, math.log(initial_scale)], bounds, least_step=1e-5)
     return float(a), float(b), float(math.exp(s))
 
 
@@ -223,49 +246,6 @@ def guard_snapshot(rows: DataFrame, cutoff: str) -> DataFrame:
     return rows
 
 
-@dataclass(frozen=True)
-class Fold:
-    """Filing windows of one development fold: [start, end] as dates."""
-
-    name: str
-    train: tuple[str, str]
-    validate: tuple[str, str]
-    assess: tuple[str, str]
-
-
-def rolling_folds(cases: DataFrame, folds: list[Fold], times: list[int], minimum: int, certify_cases: int, limit: float) -> DataFrame:
-    """For each fold and time: calibration fitted on the validation window, and error and coverage on the assessed one.
-
-    A route and family certified on the validation window covers its cases of
-    the assessed window; all others count as abstentions there.
-    """
-    inside = lambda w: cases.where(F.col("filed_date").between(F.lit(w[0]).cast("date"), F.lit(w[1]).cast("date")))
-    out: DataFrame | None = None
-    for fold in folds:
-        train = inside(fold.train)
-        checked = survival.routed_probability(train, inside(fold.validate), times, minimum)
-        certified = survival.route_certification(checked, times, certify_cases, limit).where("certified")
-        certified = certified.select(F.col("route").alias("_r"), F.col("nature_family").alias("_f"))
-        judged = survival.routed_probability(train, inside(fold.assess), times, minimum)
-        same = (judged["route"] == certified["_r"]) & (judged["nature_family"] == certified["_f"])
-        judged = judged.join(certified, same, "left").withColumn("covered", F.col("_r").isNotNull())
-        parts = []
-        for t in times:
-            a, b = fit_logit_affine(checked, f"p_{t}", survival.outcome(t))
-            error = survival.outcome(t) - logit_affine(F.col(f"p_{t}"), a, b)
-            raw = survival.outcome(t) - F.col(f"p_{t}")
-            parts.append(
-                F.struct(
-                    F.lit(t).alias("horizon_days"), F.count("*").alias("cases"), F.count_if("covered").alias("covered_cases"),
-                    F.abs(F.avg(F.when(F.col("covered"), raw))).alias("abs_error"),
-                    F.abs(F.avg(F.when(F.col("covered"), error))).alias("calibrated_abs_error"),
-                )
-            )
-        row = judged.agg(F.array(*parts).alias("x")).select(F.lit(fold.name).alias("fold"), F.inline("x"))
-        out = row if out is None else out.unionByName(row)
-    return out
-
-
 def monthly_maximum(months: DataFrame) -> DataFrame:
     """(months, max_abs_error): the largest monthly error; infinite where no month has enough cases."""
     worst = F.coalesce(F.max("abs_error"), F.lit(float("inf")))

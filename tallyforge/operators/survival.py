@@ -139,12 +139,11 @@ def slice_calibration(scored: DataFrame, times: list[int], minimum: int) -> Data
 
 
 def route_certification(scored: DataFrame, times: list[int], minimum: int, limit: float) -> DataFrame:
-    """Routes with enough cases whose calibration error stays within the limit at every time."""
+    """Route keys (a level and its own values, other values null) with enough cases and a small calibration error at every time."""
     errors = [F.abs(F.avg(F.col(f"p_{t}") - outcome(t))) for t in times]
     worst = F.greatest(*errors) if len(errors) > 1 else errors[0]
-    out = scored.where(F.col("route") != "abstain").groupBy("route", "nature_family").agg(
-        F.count("*").alias("cases"), worst.alias("max_abs_error")
-    )
+    own = [F.when(F.col("route").isin([level for level, keys in LEVELS if k in keys]), F.col(k)).alias(k) for k in KEYS]
+    out = scored.where(F.col("route") != "abstain").groupBy("route", *own).agg(F.count("*").alias("cases"), worst.alias("max_abs_error"))
     return out.withColumn("certified", (F.col("cases") >= minimum) & (F.col("max_abs_error") <= limit))
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tallyforge.operators import calibration, cube, marts, matching, metrics, planning, profiles, publish, survival, warehouse
+from tallyforge.operators import calibration, cube, matching, metrics, planning, profiles, publish, survival, warehouse
 from tallyforge.plans import fixtures as fx
 from tallyforge.plans import registry as core
 from tallyforge.plans.registry import TIMES, query, rounded
@@ -312,35 +312,3 @@ def monthly_maximum(spark, d):
 )
 def route_summary(spark, d):
     return survival.route_summary(fx.cases(fx.facts(spark, d)), fx.ROUTE_SUPPORT)
-
-
-@query("cluster_interval")
-def cluster_interval(spark, d):
-    return calibration.cluster_interval(core._clusters(spark, d), 0.5)
-
-
-@query("improvement_interval")
-def improvement_interval(spark, d):
-    """The routed curves against one curve for all, on the same cases."""
-    routed = survival.integrated_brier(core._scored(spark, d), TIMES).withColumnRenamed("brier", "routed")
-    base = routed.where("routed IS NOT NULL")
-    flat = survival.integrated_brier(base.withColumns({f"p_{t}": F.lit(0.5) for t in TIMES}), TIMES)
-    return calibration.improvement_interval(flat, "brier", "routed")
-
-
-@query("rolling_folds")
-def rolling_folds(spark, d):
-    cases = fx.cases(fx.facts(spark, d))
-    folds = [
-        calibration.Fold(f"y{y}", ("1992-01-01", f"{y - 2}-12-31"), (f"{y - 1}-01-01", f"{y - 1}-12-31"), (f"{y}-01-01", f"{y}-12-31")) for y in (1995, 1996, 1997)
-    ]
-    return calibration.rolling_folds(cases, folds, [365, 730], fx.ROUTE_SUPPORT, 20, 0.2)
-
-
-#: A parametric survival model that trains by boosting has no Spark form here; the request is refused, as a value.
-@query("aft_training", "SELECT 'refused' AS status, 'no_validated_model' AS reason, 'case_forecast' AS capability", base=False)
-def aft_training(spark, d):
-    return spark.createDataFrame([tuple(planning.forecast_refusal().values())], "status string, reason string, capability string")
-
-
-QUERIES, ORACLE = core.QUERIES, core.ORACLE

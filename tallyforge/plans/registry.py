@@ -690,19 +690,52 @@ def slice_calibration(spark, d):
     return rounded(survival.slice_calibration(_scored(spark, d), TIMES, 20))
 
 
+_KEYED = ", ".join(
+    f"CASE WHEN route IN ({', '.join(repr(level) for level, keys in survival.LEVELS if k in keys)}) THEN {k} END AS {k}" for k in survival.KEYS
+)
+
+
 @query(
     "route_certification",
-    _SCORED + ", r AS (SELECT route, nature_family, count(*)::BIGINT AS cases, greatest(" + ", ".join(f"abs({_MEANS[t]})" for t in TIMES)
-    + ") AS e FROM scored WHERE route <> 'abstain' GROUP BY ALL) SELECT route, nature_family, cases, round(e, 9) AS max_abs_error, cases >= 20 AND e <= 0.1 AS certified FROM r",
+    _SCORED + f", r AS (SELECT route, {_KEYED}, count(*)::BIGINT AS cases, greatest(" + ", ".join(f"abs({_MEANS[t]})" for t in TIMES)
+    + ") AS e FROM (SELECT * FROM scored WHERE route <> 'abstain') GROUP BY ALL) SELECT * EXCLUDE (e), round(e, 9) AS max_abs_error, cases >= 20 AND e <= 0.1 AS certified FROM r",
 )
 def route_certification(spark, d):
     return rounded(survival.route_certification(_scored(spark, d), TIMES, 20, 0.1))
 
 
-@query("bootstrap_interval")
+SEED = 20260331
+
+
+def _drawn_sql(rows: str, key: str, sums: dict[str, str], statistic: str, whole: str) -> str:
+    """rows (key first) under the replicates' weights; the statistic's interval beside its whole value."""
+    weighed = ", ".join(f"sum(w * ({e})::DOUBLE) AS {c}" for c, e in sums.items())
+    prime, step, mix = calibration.PRIME, calibration.STEP, calibration.MIX
+    weight = " + ".join(f"(share > {c!r}::DOUBLE)::INTEGER" for c in calibration.POISSON)
+    return f""", keyed AS ({rows}), digests AS (SELECT *, ('0x' || left(md5({key}), 8))::BIGINT AS digest FROM keyed),
+draws AS (SELECT *, (digest + (replicate + {SEED % prime}) * {step}) % {prime} + 1 AS start FROM digests, range(400) AS r(replicate)),
+squared AS (SELECT *, (start * start + replicate * {mix}) % {prime} AS once FROM draws),
+shares AS (SELECT *, ((once * once + digest) % {prime} * {step} % {prime})::DOUBLE / {prime} AS share FROM squared),
+weighed AS (SELECT *, {weight} AS w FROM shares),
+replicates AS (SELECT replicate, sum(w)::DOUBLE AS weight, {weighed} FROM weighed GROUP BY 1)
+SELECT {whole}, round(quantile_cont({statistic}, 0.025), 9) AS low, round(quantile_cont({statistic}, 0.975), 9) AS high FROM replicates"""
+
+
+_BRIER = (
+    _SCORED + ", briers AS (SELECT source_record_identifier, (" + " + ".join(
+        f"(pow(p_{a} - {_Y[a]}, 2) + pow(p_{b} - {_Y[b]}, 2)) / 2 * {b - a}" for a, b in zip(TIMES[:-1], TIMES[1:], strict=True)
+    ) + f") / {TIMES[-1] - TIMES[0]} AS brier FROM scored)"
+)
+
+
+@query(
+    "bootstrap_interval",
+    _BRIER + _drawn_sql("SELECT * FROM briers WHERE brier IS NOT NULL", "source_record_identifier", {"brier": "brier"}, "brier / weight",
+    "(SELECT round(avg(brier), 9) FROM keyed) AS mean"),
+)
 def bootstrap_interval(spark, d):
     scored = survival.integrated_brier(_scored(spark, d), TIMES).select("source_record_identifier", "brier")
-    return calibration.mean_interval(scored, "brier")
+    return rounded(calibration.mean_interval(scored, ["source_record_identifier"], "brier", seed=SEED))
 
 
 _WINDOW98 = "filed_date BETWEEN DATE '1997-01-01' AND DATE '1998-12-31'"

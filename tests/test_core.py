@@ -7,6 +7,7 @@ import math
 import zipfile
 from datetime import date
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -14,7 +15,7 @@ from tallyforge.contracts import Contract, ContractError, require, violations
 from tallyforge.functions import semantics
 from tallyforge.functions.codebook import FAMILIES, codebook
 from tallyforge.operators import calibration, cube, explorer, marts, matching, metrics, planning, publish, survival, warehouse
-from tallyforge.plans import fixtures, governance, registry
+from tallyforge.plans import catalogue, fixtures, governance, registry
 from tallyforge.sources import ingest
 
 SF = "/root/testdata/sf0.001"
@@ -87,17 +88,30 @@ def test_curves_never_rise(spark):
 
 def test_resampled_intervals(spark):
     rows = spark.range(500).select("id", (F.col("id") % 10).cast("double").alias("v"), (F.col("id") % 10 / 2).alias("w"))
-    mean, low, high = calibration.mean_interval(rows, "v", 200).first()
+    mean, low, high = calibration.mean_interval(rows, ["id"], "v", 200).first()
     assert mean == 4.5 and low < mean < high and high - low < 1.2
-    mean, low, high = calibration.mean_interval(rows.withColumn("v", -F.col("v")), "v", 200, absolute=True).first()
+    mean, low, high = calibration.mean_interval(rows.withColumn("v", -F.col("v")), ["id"], "v", 200, absolute=True).first()
     assert mean == 4.5 and low < mean < high
-    gain, low, high = calibration.improvement_interval(rows, "v", "w", 200).first()
+    gain, low, high = calibration.improvement_interval(rows, ["id"], "v", "w", 200).first()
     assert gain == 0.5 and abs(low - 0.5) < 1e-9 and abs(high - 0.5) < 1e-9
-    clusters = spark.createDataFrame([(40, 10 + k % 7) for k in range(60)], "cases long, resolved long")
-    error, low, high = calibration.cluster_interval(clusters, 0.4, 200).first()
+    clusters = spark.createDataFrame([(k, 40, 10 + k % 7) for k in range(60)], "k long, cases long, resolved long")
+    error, low, high = calibration.cluster_interval(clusters, ["k"], 0.4, 200).first()
     true = abs(0.4 - sum(10 + k % 7 for k in range(60)) / 2400)
     assert abs(error - true) < 1e-12 and low < true < high
-    assert calibration.mean_interval(rows.limit(0), "v", 20).first() == (None, None, None)
+    assert calibration.mean_interval(rows.limit(0), ["id"], "v", 20).first() == (None, None, None)
+
+
+def test_draws_follow_the_rows_and_not_their_tasks(spark):
+    rows = spark.range(2000).select("id", (F.col("id") % 10).cast("double").alias("v"))
+    one, many = (sorted(map(tuple, calibration.resampled_sums(rows.repartition(n), ["id"], ["v"], 300).collect())) for n in (1, 7))
+    assert one == many and len(one) == 300
+    weights = np.array([r[1] for r in one]) / 2000
+    assert abs(weights.mean() - 1) < 0.01 and 0.7 < weights.std() * math.sqrt(2000) < 1.3  # of a Poisson(1) sum
+    draws = rows.select(*[calibration.poisson_weight(calibration.drawn_share(calibration.digest_number(F.col("id").cast("string")), F.lit(r).cast("long"), 1)).alias(f"r{r}") for r in range(40)]).toPandas().to_numpy()
+    share = [(draws == k).mean() for k in range(5)]
+    assert share == pytest.approx([math.exp(-1) / math.factorial(k) for k in range(5)], abs=0.005)
+    across = np.corrcoef(draws.T)[np.triu_indices(40, 1)]
+    assert abs(across.mean()) < 0.003 and abs(across).max() < 0.12
 
 
 def test_calibration_is_recovered(spark):
@@ -393,4 +407,4 @@ def test_planning():
 
 
 def test_registry_is_complete():
-    assert set(governance.ORACLE) <= set(governance.QUERIES) and len(governance.QUERIES) > 80
+    assert set(catalogue.ORACLE) <= set(catalogue.QUERIES) and len(catalogue.QUERIES) > 80
