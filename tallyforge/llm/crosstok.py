@@ -46,7 +46,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyforge.llm.scratch import Scratch
-from tallyforge.llm.texts import slices
+from tallyforge.llm.texts import byte_level, slices
 
 #: B ids of a stripe.
 STRIPE_ROWS = 128
@@ -69,13 +69,6 @@ def default_files() -> tuple[str, str]:
     return public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
 
 
-def byte_level() -> dict[str, int]:
-    """Character of a byte-level vocabulary -> byte: visible Latin-1 stands for itself, the rest from U+0100 on."""
-    visible = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    hidden = [b for b in range(256) if b not in visible]
-    return {chr(b): b for b in visible} | {chr(256 + i): b for i, b in enumerate(hidden)}
-
-
 class Vocabularies:
     """Both tokenizers and the bytes of their entries."""
 

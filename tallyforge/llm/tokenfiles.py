@@ -36,7 +36,8 @@ import re
 import struct
 import uuid
 import zlib
-from collections.abc import Iterator
+from array import array
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -53,15 +54,15 @@ from pyspark.sql.datasource import (
 )
 
 from tallyforge.llm.scratch import Scratch
-from tallyforge.llm.texts import slices
+from tallyforge.llm.texts import Recent, byte_level, slices
 
 FORMAT = "ranked_ids"
 MANIFEST = "manifest.json"
 END_ID = 1
 #: Ids of a block, and the bound of an id.
 BLOCK, MOST_ID = 1 << 20, 1 << 24
-#: Words that a worker remembers; the table starts again beyond it.
-REMEMBERED = 400_000
+#: Words and pieces of words in a generation of what a worker remembers.
+REMEMBERED = 250_000
 
 # Coding
 
@@ -307,39 +308,60 @@ _SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
 _GAP = re.compile(r"[\x20\x09-\x0D]+")
 
 
-class WordIds(dict):
-    """Ids of texts as little-endian 32-bit bytes; remembers words, which the tokenizer encodes alone."""
+class WordIds:
+    """Ids of texts as little-endian 32-bit bytes; remembers words and their pieces.
+
+    A plain word's pieces (those of the pre-tokenizer) go to the tokenizer's
+    model alone; any other word goes through the whole tokenizer.
+    """
 
     def __init__(self, file: str):
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(file)
+        self._model = self._tokenizer.model
         special = [t.content for t in self._tokenizer.get_added_tokens_decoder().values()]
         self._special = re.compile("(" + "|".join(map(re.escape, special)) + ")") if special else None
-
-    def _learn(self, words: list[str]) -> dict[str, bytes]:
-        if len(self) > REMEMBERED:
-            self.clear()
-        new = [w for w in dict.fromkeys(words) if w not in self]
-        found = self._tokenizer.encode_batch_fast(new, add_special_tokens=False)
-        fresh = {w: np.array(x.ids, "<u4").tobytes() for w, x in zip(new, found, strict=True)}
-        self.update((w, x) for w, x in fresh.items() if len(w) <= 64)
-        return fresh
-
-    def _words(self, words: list[str]) -> bytes:
-        found = list(map(self.get, words))
+        self._byte_chars = {b: c for c, b in byte_level().items()}
+        self._plain, self._others = Recent(REMEMBERED), Recent(REMEMBERED)
+
+    def _plain_word(self, word: str) -> bytes:
+        """Ids of a word; of its pieces, remembered like words, where it has several."""
+        pieces = [word] if word.isalpha() else _SPLIT.findall(word)
+        if len(pieces) == 1:
+            spelt = word if word.isascii() and word.isprintable() else "".join(map(self._byte_chars.__getitem__, word.encode()))
+            return self._kept(self._plain, word, array("I", [t.id for t in self._model.tokenize(spelt)]).tobytes())
+        found, young, again, known = [], self._plain.young, self._plain.again, True
+        for piece in pieces:
+            x = young.get(piece) or again(piece)
+            if x is None:
+                x, known = self._plain_word(piece), False
+            found.append(x)
+        ids = b"".join(found)
+        # A word with a new piece is likely to be rare; it is remembered if it comes again.
+        return self._kept(self._plain, word, ids) if known else ids
+
+    def _other_word(self, word: str) -> bytes:
+        return self._kept(self._others, word, array("I", self._tokenizer.encode(word, add_special_tokens=False).ids).tobytes())
+
+    @staticmethod
+    def _kept(table: Recent, word: str, ids: bytes) -> bytes:
+        return table.keep(word, ids) if len(word) <= 64 else ids
+
+    def _words(self, words: list[str], table: Recent, made: Callable[[str], bytes]) -> bytes:
+        found = list(map(table.young.get, words))
         if None in found:
-            fresh = self._learn(words)
-            found = [fresh[w] if w in fresh else self[w] for w in words]
+            again = table.again
+            found = [again(w) or made(w) if x is None else x for w, x in zip(words, found, strict=True)]
         return b"".join(found)
 
     def _part(self, part: str) -> bytes:
         """Ids of a part of a text that no word crosses."""
         if self._special and self._special.search(part):
-            return b"".join(self._words([x]) if k % 2 else self._part(x) for k, x in enumerate(self._special.split(part)))
+            return b"".join(self._other_word(x) if k % 2 else self._part(x) for k, x in enumerate(self._special.split(part)))
         if _PLAIN.fullmatch(part):
-            return self._words(_SPLIT.findall(part.lower()))
-        return self._words([w for w in _GAP.split(part) if w])
+            return self._words(part.lower().split(), self._plain, self._plain_word)
+        return self._words([w for w in _GAP.split(part) if w], self._others, self._other_word)
 
     def ids(self, text: str) -> bytes:
         return b"".join(map(self._part, slices(text, _GAP)))

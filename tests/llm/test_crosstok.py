@@ -12,13 +12,13 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from tallyforge.llm import crosstok
+from tallyforge.llm import crosstok, texts
 from tallyforge.llm.registry import QUERIES
 
 A = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
 A.encode_special_tokens = True
 B = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
-AS_BYTE = crosstok.byte_level()
+AS_BYTE = texts.byte_level()
 
 
 def plain_groups(text):
