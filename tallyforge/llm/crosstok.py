@@ -9,8 +9,8 @@ row of the count matrix. Documents are then scored by the counts of their links.
 How it runs:
 
 * Texts are encoded where they lie, in units that both tokenizers treat
-  alone (a single space between two visible characters starts a token of either),
-  so a worker remembers units. Links leave a task packed: a run of documents
+  alone (between two visible characters, a single space starts a token of either
+  and a line break is one), so a worker remembers units. Links leave a task packed: a run of documents
   gives one row for each stripe of B ids, with pairs, document and multiplicity
   in sorted narrow arrays. These rows and the documents' digests are written.
 * B ids are dealt to stripes by their remainder. A stripe's links are dealt to
@@ -37,8 +37,8 @@ from __future__ import annotations
 
 import hashlib
 import re
+from array import array
 from collections.abc import Iterator
-from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -46,7 +46,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyforge.llm.scratch import Scratch
-from tallyforge.llm.texts import byte_level, slices
+from tallyforge.llm.texts import Recent, byte_level, slices
 
 #: B ids of a stripe.
 STRIPE_ROWS = 128
@@ -54,11 +54,18 @@ STRIPE_ROWS = 128
 PART_LINKS = 8_000_000
 #: Links after which a task hands on what it has gathered, and documents that it may span (16 bits).
 FLUSH_LINKS, FLUSH_DOCS = 1 << 20, 1 << 16
-#: Units that a worker remembers; the table starts again beyond it.
-REMEMBERED = 250_000
+#: Units, and pieces of units, in a generation of what a worker remembers.
+REMEMBERED = 150_000
 
 #: A space where a token of either tokenizer starts, whatever stands around.
-UNIT = re.compile(r"(?<=[!-~\w]) (?=[!-~\w])")
+GAP = re.compile(r"(?<=[!-~\w]) (?=[!-~\w])")
+#: Before such a space, or a line break that is a token of its own in both.
+UNIT = re.compile(r"(?<=[!-~\w])(?=[ \n][!-~\w])")
+#: Characters on which Python's classes agree with A's pre-tokenizer: ASCII but 0x1C-0x1F, and the letters of
+#: Latin-1 and Latin Extended-A/B. Its pattern (fixed value), in Python's classes.
+PLAIN = re.compile(r"[\x00-\x1b\x20-\x7fÀ-ÖØ-öø-ɏ]+")
+PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
+MISSPELT = (b"", b"", -1, -1)
 DIGEST = "n_a long, n_b long, n_groups long, n_links long, groups_sha256 string"
 PACKED = "stripe int, base long, links long, b binary, a binary, doc binary, times binary"
 
@@ -93,76 +100,96 @@ class Vocabularies:
         #: Units may be encoded alone if no piece goes on over a word's end.
         self.split = all("▁" not in p.lstrip("▁") for _, p in pieces)
 
-    def encode(self, units: list[str]) -> Iterator[tuple[list[int], list[int]]]:
-        """Ids of each unit after a space; B's encoder adds the space itself."""
-        a = self.a.encode_batch_fast([" " + u for u in units], add_special_tokens=False)
-        b = self.b.encode(units, num_threads=1)
-        return ((x.ids, y) for x, y in zip(a, b, strict=True))
+    def encode_a(self, texts: list[str]) -> list[list[int]]:
+        return [x.ids for x in self.a.encode_batch_fast(texts, add_special_tokens=False)]
 
 
-def groups_of(a: list[int], b: list[int], a_ends: list[int], b_ends: list[int]) -> list[tuple[list[int], list[int]]]:
-    """The ids of both sides between shared ends; both sides spell the same bytes."""
-    shared = set(a_ends).intersection(b_ends)
-    out, i, j = [], 0, 0
-    for k, end in enumerate(a_ends):
-        if end in shared:
-            m = j
-            while b_ends[m] != end:
-                m += 1
-            out.append((a[i : k + 1], b[j : m + 1]))
-            i, j = k + 1, m + 1
-    return out
+class Aligner:
+    """Aligns texts unit by unit, and remembers units and the pieces that A makes of them.
 
-
-class Aligner(dict):
-    """Unit of text -> (groups as text, linked pairs as 64-bit codes, tokens of A, tokens of B), None where bytes differ."""
+    A unit starts with the space or line break before it. What is known of it:
+    its groups as text, linked pairs as 64-bit codes, and the tokens of A and B;
+    nothing where the bytes differ.
+    """
 
     def __init__(self, a_file: str, b_file: str):
         self.v = Vocabularies(a_file, b_file)
         self.a_size = len(self.v.a_bytes)
+        self._known, self._pieces = Recent(REMEMBERED), Recent(REMEMBERED)
+        self._model = self.v.a.model
+        self._char = {b: c for c, b in byte_level().items()}
+        self._lengths = [list(map(len, x)) for x in (self.v.a_bytes, self.v.b_bytes)]
+        self._names = [list(map(str, range(len(x)))) for x in (self.v.a_bytes, self.v.b_bytes)]
 
     def units(self, part: str) -> list[str]:
-        return UNIT.split(part) if self.v.split else [part]
+        """Units of a slice after a space, each with the space or line break that it starts with."""
+        return UNIT.split(" " + part) if self.v.split else [" " + part]
+
+    def _ids_a(self, unit: str) -> list[int]:
+        if not PLAIN.fullmatch(unit):
+            return self.v.encode_a([unit])[0]
+        out: list[int] = []
+        for piece in PIECES.findall(unit):
+            found = self._pieces.young.get(piece) or self._pieces.again(piece)
+            if found is None:
+                found = [t.id for t in self._model.tokenize("".join(map(self._char.__getitem__, piece.encode())))]
+                if len(piece) <= 64:
+                    self._pieces.keep(piece, found)
+            out += found
+        return out
+
+    def _unit(self, unit: str, b: list[int]):
+        a, bytes_a, bytes_b = self._ids_a(unit), self.v.a_bytes, self.v.b_bytes
+        raw = unit.encode()
+        if unit[0] == "\n":
+            b = b[1:]  # B puts a space of its own before the line break
+        if b"".join([bytes_a[i] for i in a]) != raw or b"".join([bytes_b[i] for i in b]) != raw:
+            return None
+        (size_a, size_b), (name_a, name_b) = self._lengths, self._names
+        groups, codes, own_a, own_b, at_a, at_b, k = [], array("q"), [], [], 0, 0, 0
+        for i in a:
+            at_a += size_a[i]
+            own_a.append(name_a[i])
+            while at_b < at_a:
+                j = b[k]
+                at_b += size_b[j]
+                own_b.append(name_b[j])
+                k += 1
+            if at_a == at_b:
+                groups.append(f"{','.join(own_a)}|{','.join(own_b)}")
+                codes.append(j * self.a_size + i)
+                own_a, own_b = [], []
+        return ";".join(groups).encode(), codes.tobytes(), len(a), len(b)
 
     def parts(self, part: str) -> list:
         """What the units of a text's slice give, in order."""
         units = self.units(part)
-        if len(self) > REMEMBERED:
-            self.clear()
-        new = [u for u in dict.fromkeys(units) if u not in self]
-        if new:
-            self.update(zip(new, map(self._unit, new, self.v.encode(new)), strict=True))
-            found = [self[u] for u in units]
-            for u in new:
-                if len(u) > 64:
-                    del self[u]
-            return found
-        return [self[u] for u in units]
-
-    def _unit(self, unit: str, ids: tuple[list[int], list[int]]):
-        a, b = ids
-        spelt_a, spelt_b = [self.v.a_bytes[i] for i in a], [self.v.b_bytes[i] for i in b]
-        raw = b" " + unit.encode()
-        if b"".join(spelt_a) != raw or b"".join(spelt_b) != raw:
-            return None
-        found = groups_of(a, b, list(accumulate(map(len, spelt_a))), list(accumulate(map(len, spelt_b))))
-        text = ";".join([f"{','.join(map(str, x))}|{','.join(map(str, y))}" for x, y in found])
-        codes = np.array([y[-1] * self.a_size + x[-1] for x, y in found], np.int64)
-        return text.encode(), codes.tobytes(), len(a), len(b)
+        found = list(map(self._known.young.get, units))
+        if None in found:
+            new = [u for u in dict.fromkeys(units) if u not in self._known.young and self._known.again(u) is None]
+            fresh = {}
+            spelt = [u[1:] if u[0] == " " else u for u in new]  # B puts a space before each
+            for u, ids in zip(new, self.v.b.encode(spelt, num_threads=1), strict=True):
+                fresh[u] = x = self._unit(u, ids) or MISSPELT
+                if len(u) <= 64:
+                    self._known.keep(u, x)
+            young, old = self._known.young, self._known.old
+            found = [x or fresh.get(u) or young.get(u) or old[u] for u, x in zip(units, found, strict=True)]
+        return found
 
     def slices(self, text: str) -> Iterator[str]:
-        return slices(text, UNIT) if self.v.split else iter([text])
+        return slices(text, GAP) if self.v.split else iter([text])
 
     def align(self, text: str) -> Iterator[tuple[bytes, bytes, int, int]]:
         """Per slice: groups, codes and token counts; nothing where the text is not spelt by both."""
         if not text:
             return
         parts = list(self.slices(text))
-        if len(parts) > 1 and any(x is None for p in parts for x in self.parts(p)):
+        if len(parts) > 1 and any(x is MISSPELT for p in parts for x in self.parts(p)):
             return
         for p in parts:
             found = self.parts(p)
-            if any(x is None for x in found):
+            if MISSPELT in found:
                 return
             groups, codes, n_a, n_b = zip(*found, strict=True)
             yield b";".join(groups), b"".join(codes), sum(n_a), sum(n_b)
