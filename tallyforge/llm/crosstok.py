@@ -55,7 +55,7 @@ PART_LINKS = 8_000_000
 #: Links after which a task hands on what it has gathered, and documents that it may span (16 bits).
 FLUSH_LINKS, FLUSH_DOCS = 1 << 20, 1 << 16
 #: Units, and pieces of units, in a generation of what a worker remembers.
-REMEMBERED = 150_000
+REMEMBERED = 200_000
 
 #: A space where a token of either tokenizer starts, whatever stands around.
 GAP = re.compile(r"(?<=[!-~\w]) (?=[!-~\w])")
@@ -65,6 +65,11 @@ UNIT = re.compile(r"(?<=[!-~\w])(?=[ \n][!-~\w])")
 #: Latin-1 and Latin Extended-A/B. Its pattern (fixed value), in Python's classes.
 PLAIN = re.compile(r"[\x00-\x1b\x20-\x7fÀ-ÖØ-öø-ɏ]+")
 PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
+#: Units that are cut further, where only the first sign may be a space or line break: at changes of kind, but for an
+#: apostrophe before letters, as A takes some of them together.
+LETTER = re.compile(r"[^\W\d_]")
+WORDS = re.compile(r"[ \n]?[!-~À-ÖØ-öø-ɏ]+")
+UNIT_PIECES = re.compile(r"\n|'[^\W\d_]+| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+")
 MISSPELT = (b"", b"", -1, -1)
 DIGEST = "n_a long, n_b long, n_groups long, n_links long, groups_sha256 string"
 PACKED = "stripe int, base long, links long, b binary, a binary, doc binary, times binary"
@@ -76,6 +81,10 @@ def default_files() -> tuple[str, str]:
     return public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
 
 
+def kind_of(character: str) -> str:
+    return "letter" if LETTER.match(character) else "digit" if character.isdigit() else "other"
+
+
 class Vocabularies:
     """Both tokenizers and the bytes of their entries."""
 
@@ -99,13 +108,16 @@ class Vocabularies:
             raise ValueError("every token must have bytes")
         #: Units may be encoded alone if no piece goes on over a word's end.
         self.split = all("▁" not in p.lstrip("▁") for _, p in pieces)
+        #: So may letters, digits and other signs of a plain word, if no piece of such signs has two of these kinds.
+        own = [p.lstrip("▁") for i, p in pieces if not (self.b.is_byte(i) or self.b.is_control(i) or self.b.is_unknown(i))]
+        self.finer = self.split and all(len(set(map(kind_of, p))) < 2 for p in own if WORDS.fullmatch(p))
 
     def encode_a(self, texts: list[str]) -> list[list[int]]:
         return [x.ids for x in self.a.encode_batch_fast(texts, add_special_tokens=False)]
 
 
 class Aligner:
-    """Aligns texts unit by unit, and remembers units and the pieces that A makes of them.
+    """Aligns texts unit by unit, and remembers units and their pieces.
 
     A unit starts with the space or line break before it. What is known of it:
     its groups as text, linked pairs as 64-bit codes, and the tokens of A and B;
@@ -115,7 +127,7 @@ class Aligner:
     def __init__(self, a_file: str, b_file: str):
         self.v = Vocabularies(a_file, b_file)
         self.a_size = len(self.v.a_bytes)
-        self._known, self._pieces = Recent(REMEMBERED), Recent(REMEMBERED)
+        self._known = Recent(REMEMBERED)
         self._model = self.v.a.model
         self._char = {b: c for c, b in byte_level().items()}
         self._lengths = [list(map(len, x)) for x in (self.v.a_bytes, self.v.b_bytes)]
@@ -126,23 +138,15 @@ class Aligner:
         return UNIT.split(" " + part) if self.v.split else [" " + part]
 
     def _ids_a(self, unit: str) -> list[int]:
+        """Ids of a unit by A; a plain one's pre-tokens go to the tokenizer's model."""
         if not PLAIN.fullmatch(unit):
             return self.v.encode_a([unit])[0]
-        out: list[int] = []
-        for piece in PIECES.findall(unit):
-            found = self._pieces.young.get(piece) or self._pieces.again(piece)
-            if found is None:
-                found = [t.id for t in self._model.tokenize("".join(map(self._char.__getitem__, piece.encode())))]
-                if len(piece) <= 64:
-                    self._pieces.keep(piece, found)
-            out += found
-        return out
+        spelt = ("".join(map(self._char.__getitem__, x.encode())) for x in PIECES.findall(unit))
+        return [t.id for x in spelt for t in self._model.tokenize(x)]
 
     def _unit(self, unit: str, b: list[int]):
         a, bytes_a, bytes_b = self._ids_a(unit), self.v.a_bytes, self.v.b_bytes
         raw = unit.encode()
-        if unit[0] == "\n":
-            b = b[1:]  # B puts a space of its own before the line break
         if b"".join([bytes_a[i] for i in a]) != raw or b"".join([bytes_b[i] for i in b]) != raw:
             return None
         (size_a, size_b), (name_a, name_b) = self._lengths, self._names
@@ -161,20 +165,51 @@ class Aligner:
                 own_a, own_b = [], []
         return ";".join(groups).encode(), codes.tobytes(), len(a), len(b)
 
+    def _encoded_b(self, units: list[str]) -> Iterator[list[int]]:
+        """B puts a space before each text; a unit without one is encoded after a line break, which stands alone."""
+        spelt = [u[1:] if u[0] == " " else "\n" + u for u in units]
+        ids = self.v.b.encode(spelt, num_threads=1)
+        return (x if u[0] == " " else x[2:] for u, x in zip(units, ids, strict=True))
+
+    def _learn(self, units: list[str]) -> dict[str, tuple]:
+        """What new units give; those of several kinds of signs are put together from their pieces, which are remembered alike."""
+        known, made = self._known, {}
+        cut = {u: UNIT_PIECES.findall(u) if self.v.finer and WORDS.fullmatch(u) else [u] for u in units}
+        new = [p for p in dict.fromkeys(p for x in cut.values() for p in x) if p not in known.young and known.again(p) is None]
+        for p, ids in zip(new, self._encoded_b(new), strict=True):
+            made[p] = x = self._unit(p, ids) or MISSPELT
+            if len(p) <= 64:
+                known.keep(p, x)
+        for u, pieces in cut.items():
+            if u in made:
+                continue
+            fresh = False
+            found = []
+            for p in pieces:
+                x = made.get(p)
+                fresh = fresh or x is not None
+                found.append(x or known.young.get(p) or known.old.get(p))
+            if MISSPELT in found:
+                x = MISSPELT
+            else:
+                groups, codes, n_a, n_b = zip(*found, strict=True)
+                x = b";".join(groups), b"".join(codes), sum(n_a), sum(n_b)
+            made[u] = x
+            # A unit with a new piece is likely to be rare; it is remembered if it comes again.
+            if not fresh and len(u) <= 64:
+                known.keep(u, x)
+        return made
+
     def parts(self, part: str) -> list:
         """What the units of a text's slice give, in order."""
         units = self.units(part)
         found = list(map(self._known.young.get, units))
         if None in found:
-            new = [u for u in dict.fromkeys(units) if u not in self._known.young and self._known.again(u) is None]
-            fresh = {}
-            spelt = [u[1:] if u[0] == " " else u for u in new]  # B puts a space before each
-            for u, ids in zip(new, self.v.b.encode(spelt, num_threads=1), strict=True):
-                fresh[u] = x = self._unit(u, ids) or MISSPELT
-                if len(u) <= 64:
-                    self._known.keep(u, x)
-            young, old = self._known.young, self._known.old
-            found = [x or fresh.get(u) or young.get(u) or old[u] for u, x in zip(units, found, strict=True)]
+            again = self._known.again
+            found = [again(u) if x is None else x for u, x in zip(units, found, strict=True)]
+            if None in found:
+                made = self._learn([u for u, x in zip(units, found, strict=True) if x is None])
+                found = [made[u] if x is None else x for u, x in zip(units, found, strict=True)]
         return found
 
     def slices(self, text: str) -> Iterator[str]:
