@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import os
 import re
 import shutil
 import tempfile
@@ -73,3 +74,12 @@ def read_text(spark: SparkSession, path: str) -> str | None:
     finally:
         stream.close()
     return bytes(data).decode()
+
+
+def arrow_files(path: str):
+    """(Arrow file system, path in it) of a path or URI; for code in tasks, which has no JVM at hand."""
+    from pyarrow import fs
+
+    if path.startswith("file:"):
+        path = "/" + path[5:].lstrip("/")
+    return fs.FileSystem.from_uri(path if "://" in path else f"file://{os.path.abspath(path)}")
