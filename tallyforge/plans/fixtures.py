@@ -101,13 +101,22 @@ def cases(fact_rows: DataFrame) -> DataFrame:
 _marts: dict[tuple, str] = {}
 
 
+def _mart_key(spark: SparkSession, sf_dir: str) -> tuple:
+    files = [f for t in ("lineitem", "orders", "customer", "nation") for f in files_under(spark, f"{sf_dir}/{t}.parquet")]
+    return (spark.sparkContext.applicationId, tuple(files))
+
+
+def mart_path(spark: SparkSession, sf_dir: str) -> str:
+    """Where the public mart of a source lies, once it was written."""
+    return _marts[_mart_key(spark, sf_dir)]
+
+
 def written_mart(spark: SparkSession, sf_dir: str, made: Callable[[SparkSession, str], DataFrame]) -> DataFrame:
     """The public mart of a source, written by filing year and sorted by district at its first use in a session.
 
     It is written again where the source's files or their sizes have changed.
     """
-    files = [f for t in ("lineitem", "orders", "customer", "nation") for f in files_under(spark, f"{sf_dir}/{t}.parquet")]
-    key = (spark.sparkContext.applicationId, tuple(files))
+    key = _mart_key(spark, sf_dir)
     if key not in _marts:
         path = new_path(spark, "mart")
         publish.write_public(made(spark, sf_dir), path)

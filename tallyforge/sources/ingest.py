@@ -276,8 +276,8 @@ def accounting(triaged: DataFrame) -> dict[str, int]:
     return row.asDict()
 
 
-def normalise_dockets(rows: DataFrame, courts: list[str], start: str, end: str) -> DataFrame:
-    """Docket rows with the first rule that they break, or with their normalised values."""
+def normalise_dockets(rows: DataFrame, courts: list[str], start: str, end: str, keep: list[str] | None = None) -> DataFrame:
+    """Docket rows with the first rule that they break, or with their normalised values; columns to keep come along."""
     filed = F.try_to_date(F.col("date_filed"), "yyyy-MM-dd")
     inside = F.coalesce(filed.between(F.lit(start).cast("date"), F.lit(end).cast("date")), F.lit(False))
     core = F.trim("docket_number_core")
@@ -298,6 +298,7 @@ def normalise_dockets(rows: DataFrame, courts: list[str], start: str, end: str)
         filed.alias("filed_date"),
         F.try_to_date(F.col("date_terminated"), "yyyy-MM-dd").alias("terminated_date"),
         reason.alias("reject_reason"),
+        *(keep or []),
     )
 
 
