@@ -18,16 +18,22 @@ TOTAL_TOLERANCE, DISTRICT_TOLERANCE = 0.005, 0.02
 def match_candidates(case_rows: DataFrame, districts: DataFrame, dockets: DataFrame) -> DataFrame:
     """Pairs that agree on four keys, with how many partners either side has and a status.
 
-    The district map has a row for each district, so Spark may broadcast it;
-    the dockets are joined by shuffle on the keys.
+    An identifier names one row of its side, so a case's partners are the
+    dockets with its keys, and a docket's the cases. Both sides are dealt by the
+    keys once; partners are counted there and joined there. Rows that lack a key
+    match nothing. The district map has a row for each district, so Spark may
+    broadcast it.
     """
-    left = case_rows.join(districts, "district_code")
-    right = dockets.select(
-        "recap_docket_id",
-        *[F.col(k) for k in MATCH_KEYS],
-        F.col("terminated_date").alias("recap_terminated_date"),
+    same_keys = W.partitionBy(*MATCH_KEYS)
+    left = case_rows.join(districts, "district_code").dropna(subset=MATCH_KEYS).select(
+        "case_identifier", "source_record_identifier", "district_code", *MATCH_KEYS, F.col("terminated_date").alias("fjc_terminated_date"),
+        F.count("*").over(same_keys).alias("fjc_candidates_for_recap"),
+    )
+    right = dockets.dropna(subset=MATCH_KEYS).select(
+        "recap_docket_id", *MATCH_KEYS, F.col("terminated_date").alias("recap_terminated_date"),
+        F.count("*").over(same_keys).alias("recap_candidates_for_fjc"),
     )
-    pairs = left.join(right, MATCH_KEYS).select(
+    counted = left.join(right, MATCH_KEYS).select(
         "case_identifier",
         "source_record_identifier",
         "recap_docket_id",
@@ -36,14 +42,11 @@ def match_candidates(case_rows: DataFrame, districts: DataFrame, dockets: DataFr
         "office_code",
         F.col("docket_number").alias("docket_number_core"),
         "filed_date",
-        F.col("terminated_date").alias("fjc_terminated_date"),
+        "fjc_terminated_date",
         "recap_terminated_date",
+        "recap_candidates_for_fjc",
+        "fjc_candidates_for_recap",
     )
-    counted = pairs
-    for key, name in [("case_identifier", "recap_candidates_for_fjc"), ("recap_docket_id", "fjc_candidates_for_recap")]:
-        # Counts are made before the shuffle, so a key with very many partners is no single task's work.
-        partners = pairs.groupBy(F.col(key).alias("_key")).agg(F.count("*").alias(name))
-        counted = counted.join(partners, F.col(key).eqNullSafe(F.col("_key"))).drop("_key")
     differ = F.col("fjc_terminated_date") != F.col("recap_terminated_date")
     status = (
         F.when((F.col("recap_candidates_for_fjc") > 1) | (F.col("fjc_candidates_for_recap") > 1), "collision")

@@ -46,16 +46,16 @@ def incremental_facts(spark, d):
 @query(
     "docket_extract",
     """WITH r AS (SELECT *, row_number() OVER (ORDER BY o_orderkey) AS n FROM orders)
-SELECT n::BIGINT AS source_row_number, CASE WHEN o_orderkey % 40 = 0 THEN 'field_count' WHEN o_orderkey % 9 = 0 THEN 'not_civil' WHEN o_orderdate::DATE < DATE '1994-01-01' THEN 'filed_outside_population'
+SELECT n::BIGINT AS source_row_number, CASE WHEN o_orderkey % 40 = 0 THEN 'field_count' WHEN o_orderkey % 9 = 0 THEN 'not_civil' WHEN o_orderdate::DATE NOT BETWEEN DATE '1994-01-01' AND DATE '2000-12-31' THEN 'filed_outside_population'
     WHEN o_orderkey % 11 = 0 THEN 'invalid_docket_core' END AS reason,
   CASE WHEN o_orderkey % 40 <> 0 THEN o_orderkey::VARCHAR END AS recap_docket_id, CASE WHEN o_orderkey % 40 <> 0 THEN o_orderdate::DATE END AS filed_date,
-  CASE WHEN o_orderkey % 40 <> 0 THEN length(o_comment) + 15 END::BIGINT AS note_length FROM r""",
+  CASE WHEN o_orderkey % 40 <> 0 THEN length(o_orderpriority) + 14 END::BIGINT AS note_length FROM r""",
     base=False,
 )
 def docket_extract(spark, d):
     """Dockets as bz2-compressed CSV in one ordered file, with line breaks and quotes in a field, and some rows with a field too many."""
     k = F.col("o_orderkey")
-    quoted = F.concat(F.lit('"a ""quoted""\n'), F.replace("o_comment", F.lit('"'), F.lit('""')), F.lit(',\nb"'))
+    quoted = F.concat(F.lit('"a ""quoted""\n'), F.col("o_orderpriority"), F.lit(',\nb"'))
     fields = [
         k.cast("string"), F.lit("court01"), F.lit(""), F.when(k % 9 == 0, "cr").otherwise("cv"), F.lit("1"),
         F.when(k % 11 == 0, "x").otherwise(F.lpad((k % 10_000_000).cast("string"), 7, "0")), F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit(""), quoted,

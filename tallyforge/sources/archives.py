@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from tallyforge.sources.ingest import MAX_EXPANDED_BYTES, MAX_MEMBERS, MAX_RATIO, IngestError
-from tallyforge.sources.shared import arrow_files
+from tallyforge.sources.shared import arrow_files, written
 
 #: Bytes of a line, and lines and bytes of a record.
 MAX_LINE_BYTES, MAX_RECORD_LINES, MAX_RECORD_BYTES = 1 << 20, 10_000, 8 << 20
@@ -149,7 +149,8 @@ def tsv_fields(lines: DataFrame, header: list[str], selected: list[str]) -> Data
 def placed_lines(spark: SparkSession, path: str) -> DataFrame:
     """(file, value, line, starts, record): every line with its number and its record's, both from 0 in its file.
 
-    ``starts`` says whether the line is its record's first.
+    ``starts`` says whether the line is its record's first. The text is
+    decompressed once, into a written table that all further steps read.
     """
     lines = spark.read.text(path).select(
         "value", F.monotonically_increasing_id().alias("_at"),
@@ -157,6 +158,7 @@ def placed_lines(spark: SparkSession, path: str) -> DataFrame:
     )
     size = F.octet_length("value")
     lines = lines.withColumn("value", F.when(size <= MAX_LINE_BYTES, F.col("value")).otherwise(F.raise_error(F.lit("a line exceeds its budget"))))
+    lines = written(lines, "lines")
     quotes = (F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))).cast("long")
     inside = W.partitionBy("file", "_block").orderBy("_at")
     lines = lines.withColumn("_q", quotes).withColumn("_before", F.sum("_q").over(inside.rowsBetween(W.unboundedPreceding, -1)))
@@ -183,7 +185,7 @@ def csv_records(spark: SparkSession, path: str) -> DataFrame:
     A record of too many lines or bytes, as after a quote that is never closed,
     has no text and is marked.
     """
-    lines = placed_lines(spark, path)
+    lines = written(placed_lines(spark, path), "placed")
     long = lines.groupBy("file", "record").agg(F.count("*").alias("_n"), F.sum(F.octet_length("value") + 1).alias("_bytes")).where("_n > 1")
     marked = lines.join(long, ["file", "record"], "left")
     single = marked.where("_n IS NULL").select("file", "record", F.col("value").alias("text"), F.lit(False).alias("too_long"))
