@@ -17,7 +17,8 @@ words and one unseen word, like the base model. It starts as the base model
 Training. Truncated backpropagation in numpy. Tasks train copies of the model
 on their own training documents and Spark averages the copies by documents
 trained, for ``ROUNDS`` rounds (one: a second adds little and costs as much as
-the first). Every training document is read whole, its
+the first). What the mean gains over the base depends on the documents a task
+has, and does not shrink with more tasks of as many documents. Every training document is read whole, its
 windows in order and the end token included: ``LANES`` documents go side by
 side, the state is carried from window to window, and a document that ends
 makes room for the next, which starts from a zero state. Each window has the
@@ -54,8 +55,8 @@ HEAD = 1 << 18
 VOCAB = 2046
 HIDDEN = 16
 WINDOW = 16
-#: Documents that a task trains on side by side.
-LANES = 128
+#: Documents that a task trains on side by side: with fewer, a task takes more steps over the same documents, at a higher cost.
+LANES = 32
 ROUNDS = 1
 RATE = 0.75
 #: Symbols of documents that wait for a lane.
