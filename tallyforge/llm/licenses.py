@@ -6,8 +6,9 @@ grams of ``GRAM`` words are winnowed (the least hash of every ``WINNOW`` grams
 in a row is kept, the last one among equals), so a document and a template that
 share ``GRAM + WINNOW - 1`` words share a fingerprint. Fingerprints that meet
 the index on nearby diagonals (places in the document minus places in the
-template) make a candidate region, and a banded local alignment of the region's
-words with the template's reports matched words and their span.
+template) make a candidate region. Where the region has enough of the template's
+words, however ordered, a banded local alignment of the region's words with the
+template's reports matched words and their span.
 
 A short template is fingerprinted by all its grams, and so are the documents for
 such grams; they are short enough that one survives as many changed or missing
@@ -15,7 +16,8 @@ words as the coverage allows. A long one may lack a fingerprint where changes
 leave nowhere ``GRAM + WINNOW - 1`` words in a row.
 
 Defined results: a null or empty text has no matches; a document that holds a
-template more than once reports each place; of alignments with equal scores the
+template more than once reports each place; templates of any number are looked
+for, in shards; of alignments with equal scores the
 one nearest the fingerprint's diagonal wins; places of different templates may
 overlap; rows with a null or repeated id, and repeated rows, are scanned one by
 one; a very long text is scanned whole; an empty table gives no rows; other
@@ -39,8 +41,8 @@ WINNOW = 4
 #: Words that an alignment may drift from the diagonal it starts on.
 BAND = 8
 MIN_COVERAGE = 0.8
-#: The index is held by every task; beyond this many words of templates it is refused.
-MAX_TEMPLATE_WORDS = 1_000_000
+#: Words of the templates that a task holds at a time; more templates are dealt into shards, one pass each.
+SHARD_WORDS = 1_000_000
 
 #: License notices (fixed values), in the words that documents use.
 TEMPLATES = {
@@ -203,6 +205,23 @@ def align(
     return best[1], best[2], best[3]
 
 
+def possible(words: np.ndarray, order: np.ndarray, template: np.ndarray, diagonals: np.ndarray, needed: float, band: int = BAND) -> np.ndarray:
+    """Which diagonals have, within the band, enough of the template's words to match ``needed`` of them, each as often as it has them.
+
+    An alignment matches no more than that, so the others need none. ``order``
+    sorts the document's words.
+    """
+    low = np.maximum(diagonals - band, 0)
+    high = np.minimum(diagonals + len(template) + band, len(words))
+    total = np.zeros(len(diagonals), np.int64)
+    for word, times in zip(*np.unique(template, return_counts=True), strict=True):
+        first, last = np.searchsorted(words, word, "left", sorter=order), np.searchsorted(words, word, "right", sorter=order)
+        if first < last:
+            at = np.sort(order[first:last])
+            total += np.minimum(np.searchsorted(at, high) - np.searchsorted(at, low), times)
+    return total >= needed
+
+
 def scan_words(words: np.ndarray, index: Index, min_coverage: float) -> list[tuple[int, int, int, int]]:
     """(template, matched, first word, last word + 1) of every accepted region of one document."""
     found: dict[int, list[tuple[int, int]]] = {}
@@ -216,17 +235,21 @@ def scan_words(words: np.ndarray, index: Index, min_coverage: float) -> list[tup
         for p in np.flatnonzero(high > low):
             for e in range(low[p], high[p]):
                 found.setdefault(int(owner[e]), []).append((int(kept[p]) - int(place[e]), int(kept[p])))
+    order = np.argsort(words, kind="stable") if found else None
     out = []
     for t, hits in sorted(found.items()):
         template = index.texts[t]
+        needed = min_coverage * len(template)
+        near = np.unique(np.array(hits), axis=0)
+        near = near[possible(words, order, template, near[:, 0], needed)]
         # Words of accepted places take no part in further ones, so places never overlap.
         free = np.ones(len(words), bool)
         tried = None
-        for diagonal, at in sorted(set(hits)):
+        for diagonal, at in near.tolist():
             # A better place nearby goes first; then the hit's own place is looked for again.
             while free[at] and diagonal != tried:
                 matched, first, last = align(words, template, diagonal, free=free)
-                if matched >= min_coverage * len(template):
+                if matched >= needed:
                     out.append((t, matched, first, last))
                     free[first:last] = False
                 else:
@@ -275,21 +298,37 @@ def _with_hits(words: np.ndarray, bounds: np.ndarray, index: Index) -> np.ndarra
     return np.flatnonzero(hit)
 
 
+def shards_of(templates: dict[str, str], most: int) -> list[dict[str, str]]:
+    """Templates in their order, with at most so many words together; a longer template is a shard of its own."""
+    out: list[dict[str, str]] = []
+    held = most
+    for name, text in sorted(templates.items()):
+        size = len(text.split())
+        if held + size > most:
+            out.append({})
+            held = 0
+        out[-1][name] = text
+        held += size
+    return out
+
+
 def license_matches(
     docs: DataFrame,
     templates: dict[str, str] = TEMPLATES,
     id_col: str = "doc_id",
     text_col: str = "text",
     min_coverage: float = MIN_COVERAGE,
+    shard_words: int = SHARD_WORDS,
 ) -> DataFrame:
     """One row for each place of a license: id, license, matched_words, template_words, start, end (code points)."""
-    index = build_index(templates, min_coverage)
-    if sum(map(len, index.texts)) > MAX_TEMPLATE_WORDS:
-        raise ValueError(f"templates of more than {MAX_TEMPLATE_WORDS} words are not held by tasks")
     texts = docs.select(id_col, text_col)
     kind = texts.schema[id_col].dataType.simpleString()
     columns = f"id {kind}, license string, matched_words long, template_words long, start long, end long"
-    found = texts.mapInArrow(_scan(index, min_coverage), columns).withColumnRenamed("id", id_col)
+    parts = [texts.mapInArrow(_scan(build_index(s, min_coverage), min_coverage), columns) for s in shards_of(templates, shard_words)]
+    found = parts[0] if parts else texts.limit(0).mapInArrow(_scan(build_index({}, min_coverage), min_coverage), columns)
+    for p in parts[1:]:
+        found = found.unionByName(p)
+    found = found.withColumnRenamed("id", id_col)
     return found.withColumn("coverage", F.round(F.col("matched_words") / F.col("template_words"), 6))
 
 

@@ -3,6 +3,8 @@
 import random
 import re
 
+import numpy as np
+
 from tallyforge.llm import licenses
 
 
@@ -105,3 +107,58 @@ def test_whole_texts_are_found(spark):
     assert sorted((str(r.doc_id), r.license) for r in out) == [("7", "isc-text")] * 2 + [("None", "mit-grant"), ("None", "mit-text")]
     whole = next(r for r in out if r.license == "mit-text")
     assert whole.matched_words == whole.template_words - 3
+
+
+def test_dense_hits_are_ruled_out_before_they_are_aligned(monkeypatch):
+    """A text full of a notice's common words takes no alignment; the notice inside it is found all the same."""
+    calls = []
+    align = licenses.align
+    monkeypatch.setattr(licenses, "align", lambda *a, **k: (calls.append(1), align(*a, **k))[1])
+    dense = "the cat sat under the table and looked " * 5000
+    assert places(dense) == [] and not calls
+    text = dense + "Released under the MIT License. " + dense
+    assert [(x[0], x[1]) for x in places(text)] == [("mit", 5)] and 0 < len(calls) < 60
+
+
+def test_the_bound_never_rules_out_a_match():
+    rng = random.Random(5)
+    index = licenses.build_index(licenses.TEMPLATES)
+    for _ in range(60):
+        t = rng.randrange(len(index.texts))
+        template = index.texts[t].tolist()
+        doc = [rng.randrange(9) for _ in range(rng.randrange(30))]
+        for w in template:
+            x = rng.random()
+            doc += [w, rng.randrange(9)] if x < 0.05 else [rng.randrange(9)] if x < 0.12 else [] if x < 0.15 else [w]
+        words = np.array(doc + [rng.randrange(9) for _ in range(rng.randrange(30))], np.uint64)
+        order = np.argsort(words, kind="stable")
+        for diagonal in range(-8, 40):
+            matched, *_ = licenses.align(words, index.texts[t], diagonal)
+            assert licenses.possible(words, order, index.texts[t], np.array([diagonal]), matched)[0]
+
+
+def test_recall_of_winnowed_templates():
+    """With 18 % of their words changed at random, at least nine of ten long templates are found (here, nearly all)."""
+    rng = random.Random(11)
+    filler = [f"word{i}" for i in range(50)]
+    for name in ("mit-text", "isc-text", "bsd-clause", "apache-notice", "gpl-notice"):
+        if name not in licenses.TEMPLATES:
+            continue
+        words = licenses.TEMPLATES[name].split()
+        found = 0
+        for _ in range(40):
+            own = [rng.choice(filler) if rng.random() < 0.18 else w for w in words]
+            while sum(a == b for a, b in zip(own, words)) < 0.81 * len(words):
+                k = rng.randrange(len(words))
+                own[k] = words[k]
+            text = " ".join([*rng.choices(filler, k=20), *own, *rng.choices(filler, k=20)])
+            found += any(x[0] == name for x in places(text))
+        assert found >= 36, (name, found)
+
+
+def test_many_templates_in_shards(spark):
+    docs = spark.createDataFrame([(i, "so it begins. " + t + " and ends.") for i, t in enumerate(licenses.TEMPLATES.values())], "doc_id long, text string")
+    rows = lambda most: sorted(map(tuple, licenses.license_matches(docs, shard_words=most).collect()))
+    assert rows(1) == rows(60) == rows(licenses.SHARD_WORDS) and len(rows(60)) >= len(licenses.TEMPLATES)
+    assert [len(x) for x in licenses.shards_of({"a": "x y", "b": "x", "c": "x y z w"}, 3)] == [2, 1]
+    assert licenses.license_matches(docs, templates={}).count() == 0
