@@ -33,6 +33,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tallyforge.llm import bytescan
 
@@ -435,9 +436,10 @@ def find_personal_data(
 ) -> DataFrame:
     """id, n_email, n_ip, n_card, n_phone, base_sha256, spans for each row of docs.
 
-    ``labelled`` has (sentence, place, word, label); at most ``max_words`` words of it are used to train.
+    ``labelled`` has (sentence, place, word, label); whole sentences in order of their number, of at most ``max_words``
+    words together, are used to train.
     """
-    table = labelled_rows() if labelled is None else [tuple(r) for r in labelled.limit(max_words).collect()]
+    table = labelled_rows() if labelled is None else first_sentences(labelled, max_words)
     sentences: dict[int, list[tuple[int, str, str]]] = {}
     for sentence, place, word, label in table:
         sentences.setdefault(sentence, []).append((place, word, label))
@@ -448,6 +450,21 @@ def find_personal_data(
     return texts.mapInArrow(_find(field), columns).withColumnRenamed("id", id_col)
 
 
+def first_sentences(labelled: DataFrame, max_words: int) -> list[tuple[int, str, str, str]]:
+    """(sentence, place, word, label) of the first whole sentences with at most so many words together."""
+    names = labelled.columns[:4]
+    sizes = labelled.groupBy(names[0]).agg(F.count("*").alias("n")).orderBy(names[0]).limit(max_words).collect()
+    total, last = 0, None
+    for r in sizes:
+        total += r["n"]
+        if total > max_words:
+            break
+        last = r[0]
+    if last is None:
+        raise ValueError(f"no labelled sentence has at most {max_words} words")
+    return [tuple(r) for r in labelled.select(*names).where(F.col(names[0]) <= last).collect()]
+
+
 def labelled_rows(sentences: int = 300, seed: int = 11) -> list[tuple[int, int, str, str]]:
     """The small labelled table: sentences made by rule from frames of invented words and personal data."""
     rng = np.random.default_rng(seed)

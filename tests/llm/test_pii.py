@@ -6,6 +6,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -141,3 +142,14 @@ def test_a_very_long_text_of_numbers(spark):
     docs = spark.createDataFrame([(1, "123 4567 " * 400_000), (2, "call +49 30 1234567 now")], "doc_id int, text string")
     out = {r.doc_id: r for r in pii.find_personal_data(docs).collect()}
     assert out[2].n_phone == 1 and len(out) == 2
+
+
+def test_labels_are_whole_sentences_in_order(spark):
+    rows = [(s, p, f"w{s}-{p}", "O") for s in range(30) for p in range(s % 5 + 1)]
+    table = spark.createDataFrame(rows, "sentence int, place int, word string, label string").repartition(4, "word")
+    got = pii.first_sentences(table, 20)
+    want = [r for r in rows if r[0] <= 6]  # 1 + 2 + 3 + 4 + 5 + 1 + 2 words; the next sentence would be too long
+    assert sorted(got) == want and len(got) == 18
+    assert sorted(pii.first_sentences(table, 1000)) == rows
+    with pytest.raises(ValueError, match="no labelled sentence"):
+        pii.first_sentences(table, 0)
