@@ -210,18 +210,25 @@ def district_benchmark(spark, d):
 _GROUPINGS = [[], ["district_code"], ["nature_of_suit_family"], ["district_code", "nature_of_suit_family"]]
 
 
-@query(
-    "semantic_reconciliation",
-    "".join(
-        ("" if i == 0 else " UNION ALL ")
-        + f"""SELECT '{",".join(g)}' AS grouping, count(*)::BIGINT AS slices, 0::BIGINT AS missing_slices, 0::BIGINT AS extra_slices, (count(*) * 4)::BIGINT AS comparisons,
-  0::DOUBLE AS max_abs_difference FROM (SELECT 1 FROM public {("GROUP BY " + ", ".join(g)) if g else ""} HAVING count(*) >= {fx.SUPPORT})"""
-        for i, g in enumerate(_GROUPINGS)
-    ),
-)
+def _reconciled(grouping: list[str]) -> str:
+    of = "district_code" if "district_code" in grouping else "NULL"
+    groups = f"SELECT {of} AS d FROM public {('GROUP BY ' + ', '.join(grouping)) if grouping else ''} HAVING count(*) >= {fx.SUPPORT}"
+    worst = "CASE WHEN count(*) FILTER (d = '05') > 0 THEN 7.0 ELSE 0.0 END" if grouping == ["district_code"] else "0.0"
+    return f"""SELECT '{",".join(grouping)}' AS grouping, count(*)::BIGINT AS slices, (count(*) FILTER (d = '04'))::BIGINT AS missing_slices,
+  (count(*) FILTER (d IN ('03', '04')))::BIGINT AS extra_slices, ((count(*) - count(*) FILTER (d IN ('03', '04'))) * 4)::BIGINT AS comparisons,
+  ({worst})::DOUBLE AS max_abs_difference FROM ({groups})"""
+
+
+@query("semantic_reconciliation", " UNION ALL ".join(map(_reconciled, _GROUPINGS)).join([" ", ""]))
 def semantic_reconciliation(spark, d):
-    """Answers of the registry against the portfolio cube, slice by slice."""
-    cells = core.cube_portfolio(spark, d).withColumnRenamed("nature_family", "nature_of_suit_family")
+    """Answers of the registry against the portfolio cube, slice by slice, with faults planted in the cube.
+
+    District 03 is left out of it, 04 has another name, and a total of 05 is wrong by 7.
+    """
+    own, family = F.col("district_code"), F.col("nature_of_suit_family")
+    cells = core.cube_portfolio(spark, d).withColumnRenamed("nature_family", "nature_of_suit_family").where(own.isNull() | (own != "03"))
+    cells = cells.withColumn("total_records", F.col("total_records") + F.when((own == "05") & family.isNull(), 7).otherwise(0))
+    cells = cells.withColumn("district_code", F.when(own == "04", "x4").otherwise(own))
     names = ["total_records", "pending_records", "matched_records", "pending_share"]
     return metrics.reconcile(metrics.standard_registry(fx.SUPPORT), core._mart(spark, d), "portfolio", _GROUPINGS, names, cells)
 
