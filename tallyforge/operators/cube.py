@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tallyforge.functions.semantics import age_band, ratio
+from tallyforge.functions.semantics import age_band, band_order, ratio
 
 MINIMUM_SUPPORT = 200
 
@@ -175,15 +175,27 @@ def marts_from_public(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame,
     return portfolio, cohorts, inventory, durations
 
 
+#: Dimensions in the order that published cells are sorted by (fixed order).
+ORDERED = ["district_code", "nature_family", "filing_year", "age_band"]
+
+
+def publication_order(cells: DataFrame) -> list[Column]:
+    """Sort keys of published cells: dimensions with their totals (nulls) first, age bands by age, then all other columns."""
+    known = [c for c in ORDERED if c in cells.columns]
+    values = {c: F.col(c) for c in [*known, *[c for c in cells.columns if c not in known]]}
+    if "age_band" in values:
+        values["age_band"] = F.when(F.col("age_band").isNotNull(), band_order(F.col("age_band")))
+    return [v.asc_nulls_first() for v in values.values()]
+
+
 def cube_json(cells: dict[str, DataFrame], path: str) -> str:
-    """Published cells as canonical JSON, put in place by a rename; returns its digest.
+    """Published cells as canonical JSON in publication order, put in place by a rename; returns its digest.
 
     The cube has at most as many rows as dimensions have values, so it passes through the driver.
     """
     body = {}
     for name, df in sorted(cells.items()):
-        rows = [r.asDict() for r in df.collect()]
-        body[name] = sorted(rows, key=lambda r: json.dumps(r, sort_keys=True, default=str))
+        body[name] = [r.asDict() for r in df.orderBy(*publication_order(df)).collect()]
     text = json.dumps(body, sort_keys=True, separators=(",", ":"), allow_nan=False, default=str).encode()
     staged = Path(f"{path}.staged")
     staged.write_bytes(text)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tallyforge.operators import calibration, cube, matching, metrics, planning, profiles, publish, survival, warehouse
@@ -189,6 +190,19 @@ def published_pending_age(spark, d):
     return rounded(cube.published_pending_age(core.cube_pending_age(spark, d)), 4)
 
 
+@query(
+    "cell_order",
+    f""", ages AS ({_AGES})
+SELECT district_code, nature_family, age_band, row_number() OVER (ORDER BY district_code NULLS FIRST, nature_family NULLS FIRST,
+  CASE age_band WHEN 'under_1_year' THEN 1 WHEN '1_to_2_years' THEN 2 WHEN '2_to_5_years' THEN 3 WHEN '5_years_or_more' THEN 4 END NULLS FIRST)::BIGINT AS place FROM ages""",
+)
+def cell_order(spark, d):
+    """Each published cell's place in publication order; the cube has few cells, so one task may number them."""
+    cells = core.cube_pending_age(spark, d)
+    place = F.row_number().over(W.orderBy(*cube.publication_order(cells))).cast("long")
+    return cells.select("district_code", "nature_family", "age_band", place.alias("place"))
+
+
 @query(
     "family_totals",
     f""", cells AS (SELECT nature_family, sum(total_records)::BIGINT AS total_records FROM portfolio GROUP BY 1 HAVING sum(total_records) >= {fx.SUPPORT})

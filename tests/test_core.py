@@ -222,6 +222,14 @@ def test_cube_json(spark, tmp_path):
     assert metrics.as_markdown(metrics.standard_registry()).count("\n") > 14
 
 
+def test_published_cells_put_totals_first_and_bands_by_age(spark):
+    bands = ["5_years_or_more", None, "under_1_year", "2_to_5_years", "1_to_2_years"]
+    cells = spark.createDataFrame([(d, b, 1) for d in ("02", None, "01") for b in bands], "district_code string, age_band string, n int")
+    got = [(r.district_code, r.age_band) for r in cells.orderBy(*cube.publication_order(cells)).collect()]
+    by_age = [None, "under_1_year", "1_to_2_years", "2_to_5_years", "5_years_or_more"]
+    assert got == [(d, b) for d in (None, "01", "02") for b in by_age]
+
+
 def test_partition_of_cases_and_exceptions(spark):
     facts = fixtures.facts(spark, SF)
     assert warehouse.cases(facts).count() + warehouse.identity_exceptions(facts).count() == facts.count()
