@@ -56,7 +56,7 @@ VOCAB = 2046
 HIDDEN = 16
 WINDOW = 16
 #: Documents that a task trains on side by side: with fewer, a task takes more steps over the same documents, at a higher cost.
-LANES = 64
+LANES = 128
 ROUNDS = 1
 RATE = 0.75
 #: Symbols of documents that wait for a lane.

@@ -68,7 +68,7 @@ def test_the_gain_does_not_shrink_with_more_tasks_of_as_many_documents(spark):
     for n in (1, 8):
         rows = [r for r in lm.lm_scores(docs.where(F.col("doc_id") % 8 < n).repartition(n, "doc_id")).collect() if r.held_out]
         gains.append(sum(r.score - r.base_score for r in rows) / sum(r.n_tokens for r in rows))
-    assert min(gains) > 0.05 and gains[1] > gains[0] - 0.02
+    assert min(gains) > 0.05 and gains[1] > gains[0] - 0.02, gains
 
 
 def test_ids_of_any_type_and_clashing_columns(spark):
