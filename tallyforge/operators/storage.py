@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -74,13 +75,15 @@ def layout_faults(footer: DataFrame, sorted_by: str, most_rows: int, codec: str)
 
 
 def _writer(path: str, columns: list[str], group_rows: int):
+    """Writes the files that a task's rows, which come in order, are of; one row for each file."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import pyarrow.parquet as pq
         from pyspark import TaskContext
 
         fs, at = arrow_files(path)
-        number = writer = sink = None
-        name, rows, held, held_rows = "", 0, [], 0
+        schema = number = writer = sink = None
+        made, rows, held, held_rows = "", 0, [], 0
 
         def group(n: int) -> None:
             nonlocal held, held_rows
@@ -89,37 +92,45 @@ def _writer(path: str, columns: list[str], group_rows: int):
             rest = table.slice(n)
             held, held_rows = rest.to_batches(), rest.num_rows
 
+        def close() -> pa.RecordBatch:
+            if held_rows:
+                group(held_rows)
+            writer.close()
+            sink.close()
+            digest, size = hashlib.sha256(), 0
+            with fs.open_input_stream(made) as f:
+                while block := f.read(1 << 22):
+                    digest.update(block)
+                    size += len(block)
+            name = f"part-{number:08d}.parquet"
+            fs.move(made, f"{at}/{name}")  # another attempt's file would be the same
+            return pa.RecordBatch.from_pydict(
+                {"file_number": pa.array([number], pa.int64()), "file": [name], "rows": [rows], "bytes": [size], "sha256": [digest.hexdigest()]}
+            )
+
         for batch in batches:
             if not batch.num_rows:
                 continue
-            if number is None:
-                number = batch.column("_file")[0].as_py()
-                name = f"part-{number:08d}.parquet"
+            if schema is None:
                 fs.create_dir(at, recursive=True)
-                sink = fs.open_output_stream(f"{at}/.{name}-{TaskContext.get().taskAttemptId()}")
                 schema = pa.schema([batch.schema.field(c).remove_metadata() for c in columns])
-                writer = pq.ParquetWriter(sink, schema, compression="zstd", write_statistics=True, store_schema=False)
             own = pa.RecordBatch.from_arrays([batch.column(c) for c in columns], schema=schema)
-            held.append(own)
-            held_rows, rows = held_rows + own.num_rows, rows + own.num_rows
-            while held_rows >= group_rows:
-                group(group_rows)
-        if number is None:
-            return
-        if held_rows:
-            group(held_rows)
-        writer.close()
-        sink.close()
-        made = f"{at}/.{name}-{TaskContext.get().taskAttemptId()}"
-        digest, size = hashlib.sha256(), 0
-        with fs.open_input_stream(made) as f:
-            while block := f.read(1 << 22):
-                digest.update(block)
-                size += len(block)
-        fs.move(made, f"{at}/{name}")  # another attempt's file would be the same
-        yield pa.RecordBatch.from_pydict(
-            {"file_number": pa.array([number], pa.int64()), "file": [name], "rows": [rows], "bytes": [size], "sha256": [digest.hexdigest()]}
-        )
+            of = batch.column("_file").to_numpy()
+            ends = [*(np.flatnonzero(np.diff(of)) + 1), len(of)]
+            for start, end in zip([0, *ends[:-1]], ends, strict=True):
+                if of[start] != number:
+                    if number is not None:
+                        yield close()
+                    number, rows = int(of[start]), 0
+                    made = f"{at}/.part-{number:08d}.parquet-{TaskContext.get().taskAttemptId()}"
+                    sink = fs.open_output_stream(made)
+                    writer = pq.ParquetWriter(sink, schema, compression="zstd", write_statistics=True, store_schema=False)
+                held.append(own.slice(start, end - start))
+                held_rows, rows = held_rows + int(end - start), rows + int(end - start)
+                while held_rows >= group_rows:
+                    group(group_rows)
+        if number is not None:
+            yield close()
 
     return run
 
@@ -142,17 +153,24 @@ def ranked(rows: DataFrame, keys: list[str]) -> DataFrame:
     return numbered.withColumn("_part", part).join(first, "_part").select(*rows.columns, (F.col("_first") + inside).alias("_rank"))
 
 
+#: Rows of the consecutive files that one task writes, if there are more files than tasks.
+TASK_ROWS = 1 << 19
+
+
 def write_fixed(rows: DataFrame, path: str, keys: list[str], file_rows: int = 1 << 22, group_rows: int = 1 << 17) -> DataFrame:
     """Writes files that depend on the rows alone; returns (file_number, file, rows, bytes, sha256) of each.
 
     Every file holds the same number of consecutive ranks, in row groups of a
     fixed size and under a fixed name. However the rows are dealt, equal rows
-    give equal files.
+    give equal files. A task writes consecutive files one after the other, so
+    the number of tasks follows that of the rows and not that of the files.
     """
-    placed = written(ranked(rows, keys).withColumn("_file", F.floor(F.col("_rank") / file_rows).cast("long")), "placed")
-    last = placed.agg(F.max("_file").alias("n")).first()["n"]
-    n = 1 if last is None else last + 1
-    dealt = placed.repartitionById(n, F.col("_file").cast("int")).sortWithinPartitions("_rank").drop("_rank")
+    placed = ranked(rows, keys).withColumn("_file", F.floor(F.col("_rank") / file_rows).cast("long"))
+    n = placed.count()
+    files = max(1, -(-n // file_rows))
+    tasks = min(files, max(rows.sparkSession.sparkContext.defaultParallelism, -(-n // TASK_ROWS)))
+    run = -(-files // tasks)
+    dealt = placed.repartitionById(-(-files // run), F.floor(F.col("_file") / run).cast("int")).sortWithinPartitions("_rank").drop("_rank")
     made = dealt.mapInArrow(_writer(path, rows.columns, group_rows), "file_number long, file string, rows long, bytes long, sha256 string")
     return written(made, "files")
 

@@ -165,10 +165,10 @@ def mart_footers(spark, d):
 SELECT i::BIGINT AS file_number, least(1000, n - 1000 * i)::BIGINT AS rows, true AS same FROM n, range((n + 999) // 1000) AS r(i)""",
 )
 def fixed_layout(spark, d):
-    """The public rows written twice under different partitionings: each file's rows, and whether both have the same bytes."""
+    """The public rows written twice, as the mart's files deal them and dealt by key: each file's rows, and whether both have the same bytes."""
     rows = core._mart(spark, d)
-    one = storage.write_fixed(rows.repartition(3), new_path(spark, "fixed"), ["filed_month", "district_code"], 1000, 400)
-    two = storage.write_fixed(rows.repartition(5, "release_record_key"), new_path(spark, "fixed"), ["filed_month", "district_code"], 1000, 400)
+    one = storage.write_fixed(rows, new_path(spark, "fixed"), ["filed_month", "district_code"], 1000, 400)
+    two = storage.write_fixed(rows.repartition("release_record_key"), new_path(spark, "fixed"), ["filed_month", "district_code"], 1000, 400)
     two = two.select("file_number", F.col("sha256").alias("_sha"))
     return one.join(two, "file_number").select("file_number", "rows", (F.col("sha256") == F.col("_sha")).alias("same"))
 

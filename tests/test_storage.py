@@ -59,6 +59,14 @@ def test_equal_rows_give_equal_files(spark, tmp_path):
     assert storage.write_fixed(rows.limit(0), f"{tmp_path}/d", ["k"]).collect() == []
 
 
+def test_a_task_writes_many_files(spark, tmp_path):
+    rows = spark.range(5000).select(F.col("id").alias("k"))
+    made = storage.write_fixed(rows, f"{tmp_path}/many", ["k"], 10, 4)
+    assert len(made.inputFiles()) <= spark.sparkContext.defaultParallelism
+    assert [(r.file_number, r.rows) for r in made.orderBy("file_number").collect()] == [(i, 10) for i in range(500)]
+    assert pq.read_table(f"{tmp_path}/many/part-00000123.parquet").column("k").to_pylist() == list(range(1230, 1240))
+
+
 def test_a_changed_value_or_type_is_refused(spark, tmp_path):
     rows = spark.createDataFrame([(1, None, "a"), (None, 1, "a"), (1, None, "a")], "a int, b int, c string")
     before = storage.copy_verified(rows, f"{tmp_path}/good")
