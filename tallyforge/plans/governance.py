@@ -10,7 +10,7 @@ from tallyforge.plans import fixtures as fx
 from tallyforge.plans import registry as core
 from tallyforge.plans.registry import TIMES, query, rounded
 from tallyforge.sources import ingest
-from tallyforge.sources.shared import new_path
+from tallyforge.sources.shared import new_path, write_parts
 
 # Staging
 
@@ -23,7 +23,7 @@ _FIELDS = """SELECT o_orderkey, 'c' || (o_custkey % 5) AS circuit, ' ' || lpad((
 
 
 def _tsv(spark, d):
-    """The orders as a tab-separated extract in files of its own, each with the header, one row with a field too many."""
+    """The orders as a tab-separated extract in parts in the order of their keys, each with the header, some rows with a field too many."""
     k, c = F.col("o_orderkey"), F.col("o_custkey")
     ended = F.col("o_orderstatus") == "F"
     fields = [
@@ -36,20 +36,12 @@ def _tsv(spark, d):
     line = F.concat_ws("\t", *fields)
     rows = spark.read.parquet(f"{d}/orders.parquet").select(k.alias("k"), F.when(k % 97 == 0, F.concat(line, F.lit("\tmore"))).otherwise(line).alias("value"))
     path = new_path(spark, "extract")
-    # One file, so that a row's number is its place by order key.
-    ordered = rows.select("value", "k").coalesce(1).sortWithinPartitions("k")
-    ordered.select("value").write.option("header", True).option("quote", "").option("sep", "\x01").csv(path)
+    write_parts(rows, "k", "\t".join(HEADER), path)
     return path
 
 
 def _extract(spark, d):
-    path = _tsv(spark, d)
-    # The writer's own header line is the column's name; the agreed header stands in for it.
-    lines = ingest.numbered_lines(spark, path).where("line > 0").select("value", (F.col("line") - 1).alias("line"))
-    target = f"{path}-agreed"
-    head = spark.range(1).select(F.lit("\t".join(HEADER)).alias("value"), F.lit(-1).cast("long").alias("line"))
-    lines.unionByName(head).coalesce(1).sortWithinPartitions("line").select("value").write.text(target)
-    return ingest.read_tsv(spark, target, HEADER, HEADER)
+    return ingest.read_tsv(spark, _tsv(spark, d), HEADER, HEADER, parts=True)
 
 
 _STAGED = f"""WITH f AS ({_FIELDS}), numbered AS (SELECT *, row_number() OVER (ORDER BY o_orderkey) - 1 AS r FROM f),

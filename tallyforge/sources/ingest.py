@@ -76,7 +76,7 @@ def unpack(path: str, folder: str) -> str:
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(value, line): every line with its 0-based number in its file.
+    """(value, line, earlier): every line with its 0-based number in its file, and the rows of files with earlier names, a header each not counted.
 
     Files are read in parallel. A line's place in its block is known where it is
     read; a running sum over the blocks' counts, a small table, gives where the
@@ -89,15 +89,21 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     before = W.partitionBy("_file").orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
     blocks = lines.groupBy("_file", "_block").agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
     blocks = blocks.withColumn("_offset", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-    placed = lines.join(blocks.drop("_n"), ["_file", "_block"])
-    return placed.select("value", (F.col("_offset") + F.col("_at") - F.col("_first")).alias("line"))
+    files = W.orderBy("_file").rowsBetween(W.unboundedPreceding, -1)  # a row a file
+    sizes = blocks.groupBy("_file").agg(F.sum("_n").alias("_lines"))
+    sizes = sizes.select("_file", F.coalesce(F.sum(F.col("_lines") - 1).over(files), F.lit(0)).alias("earlier"))
+    blocks = blocks.drop("_n").join(sizes, "_file")
+    placed = lines.join(F.broadcast(blocks), ["_file", "_block"])  # a row a block
+    return placed.select("value", (F.col("_offset") + F.col("_at") - F.col("_first")).alias("line"), "earlier")
 
 
-def read_tsv(spark: SparkSession, path: str, header: list[str], selected: list[str]) -> DataFrame:
+def read_tsv(spark: SparkSession, path: str, header: list[str], selected: list[str], parts: bool = False) -> DataFrame:
     """Selected columns of a tab-separated file as strings, with row numbers and structural rejects.
 
     Only a file's first line is its header, and it must be exactly as agreed; a
-    later line like it is a row. Rows are numbered from 0 in ``source_row_number``.
+    later line like it is a row. Rows are numbered from 0 in ``source_row_number``,
+    in each file or, where the files are parts of one table in the order of their
+    names, through all parts.
     A row with another number of fields, or with bytes that are no UTF-8 in a
     selected field, gets a ``_structural`` reason. Unselected fields are not
     looked at.
@@ -116,7 +122,8 @@ def read_tsv(spark: SparkSession, path: str, header: list[str], selected: list[s
     reason = F.when(header_differs, "header").when(fields != len(header), "field_count").when(bad, "invalid_utf8")
     values = [F.nullif(F.try_validate_utf8(v), F.lit("")).alias(c) for c, v in raw.items()]
     rows = lines.where((F.col("line") > 0) | header_differs)
-    return rows.select(*values, (F.col("line") - 1).alias("source_row_number"), reason.alias("_structural"))
+    number = F.col("line") - 1 + (F.col("earlier") if parts else F.lit(0))
+    return rows.select(*values, number.alias("source_row_number"), reason.alias("_structural"))
 
 
 def read_rejects(spark: SparkSession, path: str) -> DataFrame:

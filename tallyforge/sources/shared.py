@@ -10,6 +10,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -34,6 +35,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def write_parts(lines: DataFrame, key: str, header: str, path: str, compression: str = "none") -> None:
+    """``value`` in the order of a key, as text files whose names have that order too; each begins with the header."""
+    ordered = lines.repartitionByRange(key).sortWithinPartitions(key)
+    first = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)) == 0
+    ordered.select(F.when(first, F.concat(F.lit(f"{header}\n"), F.col("value"))).otherwise(F.col("value")).alias("value")).write.option("compression", compression).text(path)
+
+
 def files_under(spark: SparkSession, path: str) -> list[tuple[str, int]]:
     """(path, bytes) of every file under a path that Spark can read, in order; by its file systems, on the driver."""
     jvm = spark.sparkContext._jvm
