@@ -14,7 +14,7 @@ from tallyforge.plans import fixtures as fx
 from tallyforge.plans import registry as core
 from tallyforge.plans.registry import query
 from tallyforge.sources import archives, drift, ingest
-from tallyforge.sources.shared import arrow_files, new_path
+from tallyforge.sources.shared import arrow_files, new_path, write_parts
 
 # Upkeep
 
@@ -53,7 +53,7 @@ SELECT n::BIGINT AS source_row_number, CASE WHEN o_orderkey % 40 = 0 THEN 'field
     base=False,
 )
 def docket_extract(spark, d):
-    """Dockets as bz2-compressed CSV in one ordered file, with line breaks and quotes in a field, and some rows with a field too many."""
+    """Dockets as bz2-compressed CSV in ordered parts, with line breaks and quotes in a field, and some rows with a field too many."""
     k = F.col("o_orderkey")
     quoted = F.concat(F.lit('"a ""quoted""\n'), F.col("o_orderpriority"), F.lit(',\nb"'))
     fields = [
@@ -63,10 +63,9 @@ def docket_extract(spark, d):
     head = "id,court_id,blocked,federal_dn_case_type,federal_dn_office_code,docket_number_core,date_filed,date_terminated,note"
     line = F.concat_ws(",", *fields, F.when(k % 40 == 0, "more"))
     rows = spark.read.parquet(f"{d}/orders.parquet").select(k.alias("k"), line.alias("value"))
-    rows = rows.unionByName(spark.range(1).select(F.lit(-1).cast("long").alias("k"), F.lit(head).alias("value")))
     path = new_path(spark, "dockets")
-    rows.coalesce(1).sortWithinPartitions("k").select("value").write.option("compression", "bzip2").text(path)
-    read = archives.read_csv(spark, path, head.split(",")[:-1])
+    write_parts(rows, "k", head, path, "bzip2")
+    read = archives.read_csv(spark, path, head.split(",")[:-1], parts=True)
     good = read.where("_structural IS NULL")
     out = ingest.normalise_dockets(good, ["court01"], "1994-01-01", "2000-12-31", keep=["source_row_number", "note"])
     out = out.select("source_row_number", F.col("reject_reason").alias("reason"), "recap_docket_id", "filed_date", F.length("note").cast("long").alias("note_length"))
