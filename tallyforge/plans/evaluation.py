@@ -9,6 +9,7 @@ from tallyforge.operators.survival import KEYS
 from tallyforge.plans import fixtures as fx
 from tallyforge.plans import registry as core
 from tallyforge.plans.registry import SEED, TIMES, query, rounded
+from tallyforge.sources.shared import written
 
 # Intervals
 
@@ -65,22 +66,27 @@ RULES = folds.Rules((30, 180, 365, 545, 730), training_cases=fx.ROUTE_SUPPORT, c
 SMALL = boosting.Settings(rounds=12, depth=3, rate=0.3, least_hessian=20.0, patience=4)
 
 
+def _cases(spark, d):
+    """What folds and training read of the cases, written once."""
+    return written(fx.cases(fx.facts(spark, d)).select("source_record_identifier", *KEYS, "filed_date", "duration_days", "event_observed"), "cases")
+
+
 @query("rolling_folds")
 def rolling_folds(spark, d):
-    return rounded(folds.rolling_folds(fx.cases(fx.facts(spark, d)), FOLDS, RULES))
+    return rounded(folds.rolling_folds(_cases(spark, d), FOLDS, RULES))
 
 
 @query("challenger_fold")
 def challenger_fold(spark, d):
     """The last fold's curves and its boosted challenger, beside each other."""
-    return rounded(folds.rolling_folds(fx.cases(fx.facts(spark, d)), FOLDS[-1:], RULES, SMALL), 6)
+    return rounded(folds.rolling_folds(_cases(spark, d), FOLDS[-1:], RULES, SMALL), 6)
 
 
 # Challenger
 
 
 def trained(spark, d) -> boosting.Model:
-    rows = fx.cases(fx.facts(spark, d)).where("filed_date < DATE '1998-01-01'").withColumn("filing_year", F.year("filed_date"))
+    rows = _cases(spark, d).where("filed_date < DATE '1998-01-01'").withColumn("filing_year", F.year("filed_date"))
     train, held = (rows.where(condition) for condition in (fx.order_key() % 5 > 0, fx.order_key() % 5 == 0))
     return boosting.fit(train, KEYS, ["filing_year"], settings=SMALL, validation=held)
 
